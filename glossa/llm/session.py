@@ -53,11 +53,12 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the frame's input (file bytes for scans); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's size of the frame's input (file bytes for scans), 0 if it has none; no job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def ranges(df: DataFrame, each: int = 4 << 20) -> int:
     """Key ranges so that one range gets a bounded share of the input, however large it is."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(input_bytes(df), 1 << 50) // each + 1)
+    return max(least, input_bytes(df) // each + 1)
