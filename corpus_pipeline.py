@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, mixing, pii, quality
+from glossa.llm import bpe, mixing, neardup, pii, quality
 from glossa.llm.session import new_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,6 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs).where("kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.distinct_documents(docs).select(*COLUMNS)
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(pii.pseudonymised(docs))
 
@@ -35,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary_path(spark)).drop("text", "decoded")
 
 
-STAGES = [("quality", quality_rules), ("pseudonyms", pseudonyms), ("mixture", mixture), ("tokens", tokens)]
+STAGES = [("quality", quality_rules), ("near-duplicates", near_duplicates), ("pseudonyms", pseudonyms), ("mixture", mixture), ("tokens", tokens)]
 
 #: SQL can express neither the suffix array nor the merges; the stages are tested against brute force.
 ORACLE_SQL = None
