@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, fingerprint, licenses, mixing, neardup, pii, quality, sharding, substring
+from glossa.llm import bpe, fingerprint, licenses, mixing, neardup, pii, quality, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
 
@@ -58,5 +62,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+
+ORACLES = {
+    "op8_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+        f as (select *, min(case when payload_bytes >= 100 then page_id end) over (partition by payload_digest) as first from p)
+        select page_id, payload_bytes, payload_digest,
+          case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+          case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
