@@ -32,8 +32,12 @@ WINDOW = 50
 #: Bits of an anchor's fingerprint (a chance hit only costs time) and of a document's place in a collection.
 BITS, PLACE = 36, 12
 CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 1 << PLACE
-_PACKED = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("more", pa.binary())])
-_SQL = "range int, doc_id bigint, docs binary, keys binary, more binary"
+#: A collection's rows for a range, or (told) an answer that the collection gives itself; home: the collection's first document.
+_PACKED = pa.schema([("range", pa.int32()), ("told", pa.bool_()), ("home", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("more", pa.binary())])
+_SQL = "range int, told boolean, home bigint, docs binary, keys binary, more binary"
+#: An answer: keys and, for each, the place of its document among docs.
+_ANSWER = pa.schema([("home", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
+_ANSWER_SQL = "home bigint, docs binary, keys binary, places binary"
 _HITS = "doc_id bigint, found binary"
 
 
@@ -96,7 +100,7 @@ class _Collection:
         for r, a, z in zip(*_runs(of), strict=True):
             here, back = np.unique(places[a:z], return_inverse=True)
             x, y = np.searchsorted(extra_of, [r, r + 1])
-            out.append((r, None, _bytes(docs[here], "<i8"), *self.packed(keys[a:z], back, extra[x:y])))
+            out.append((r, False, self.ids[0], _bytes(docs[here], "<i8"), *self.packed(keys[a:z], back, extra[x:y])))
             if len(out) == 16:
                 yield _batch(out)
                 out = []
@@ -110,16 +114,9 @@ class _Collection:
         raise NotImplementedError
 
     def answers(self, docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Keys for documents as rows that ranges pass on."""
-        order = np.argsort(places, kind="stable")
-        keys, places = keys[order], places[order]
-        out = []
-        for p, a, z in zip(*_runs(places), strict=True):
-            out.append((int(docs[p]) % self.count, int(docs[p]), None, _bytes(keys[a:z], "<u8"), None))
-            if len(out) == 500:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
+        """Keys for the collection's own documents, a row that a range passes on."""
+        if len(keys):
+            yield _batch([(self.ids[0] % self.count, True, self.ids[0], _bytes(docs, "<i8"), _bytes(keys, "<u8"), _bytes(places, "<u2"))])
 
 
 class _Probes(_Collection):
@@ -150,21 +147,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PACKED.types)], schema=_PACKED)
 
 
-def _by_doc(found: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "found": pa.array([f for _, f in found], pa.binary())})
-
-
-def _passed_on(t: pa.Table) -> tuple[list[tuple[int, bytes]], list[tuple[np.ndarray, bytes, bytes]]]:
-    """Answers made by collections, and collections' rows."""
+def _rows(t: pa.Table) -> tuple[list[tuple], list[tuple[int, np.ndarray, bytes, bytes]]]:
+    """Answers that collections gave themselves, and collections' rows."""
     told, rows = [], []
-    for d, docs, keys, more in zip(*[t[c].to_pylist() for c in ("doc_id", "docs", "keys", "more")], strict=True):
-        if docs is None:
-            told.append((d, keys))
-        else:
-            rows.append((np.frombuffer(docs, "<i8"), keys, more))
+    for own, home, docs, keys, more in zip(*[t[c].to_pylist() for c in ("told", "home", "docs", "keys", "more")], strict=True):
+        told.append((home, docs, keys, more)) if own else rows.append((home, np.frombuffer(docs, "<i8"), keys, more))
     return told, rows
 
 
+def _answer(home: int, docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[tuple]:
+    return [(home, _bytes(docs, "<i8"), _bytes(keys, "<u8"), _bytes(places, "<u2"))] if len(keys) else []
+
+
+def _answers(found: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(_ANSWER.types)], schema=_ANSWER)
+
+
+def _by_document(t: pa.Table) -> pa.Table:
+    """Of one collection: the keys found for each document."""
+    keys = np.concatenate([np.frombuffer(k, "<u8") for k in t["keys"].to_pylist()])
+    ids = np.concatenate([np.frombuffer(d, "<i8")[np.frombuffer(p, "<u2")] for d, p in zip(t["docs"].to_pylist(), t["places"].to_pylist(), strict=True)])
+    order = np.argsort(ids, kind="stable")
+    keys, ids = keys[order], ids[order]
+    docs, starts, ends = _runs(ids)
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "found": pa.array([_bytes(keys[a:z], "<u8") for a, z in zip(starts, ends, strict=True)], pa.binary())})
+
+
 def _members(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which of x are in the sorted array."""
     if not len(among):
@@ -175,40 +183,34 @@ def _members(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def _met(t: pa.Table) -> pa.Table:
     """Of one range: probes that an indexed block and another collection have."""
-    told, rows = _passed_on(t)
+    told, rows = _rows(t)
     if rows:
-        keys = [_undeltas(k) for _, k, _ in rows]
+        keys = [_undeltas(k) for _, _, k, _ in rows]
         prints = [k >> np.uint64(PLACE) for k in keys]
-        blocks = np.unique(np.concatenate([np.frombuffer(m, "<u8") for _, _, m in rows]))
+        blocks = np.unique(np.concatenate([np.frombuffer(m, "<u8") for *_, m in rows]))
         value, count = np.unique(np.concatenate(prints), return_counts=True)
         shared = value[(count > 1) & _members(value, blocks)]
-        for (docs, _, _), k, p in zip(rows, keys, prints, strict=True):
+        for (home, docs, _, _), k, p in zip(rows, keys, prints, strict=True):
             hit = _members(p, shared)
-            told += _grouped(docs, p[hit], (k[hit] & np.uint64((1 << PLACE) - 1)).astype(np.int64))
-    return _by_doc(told)
-
-
-def _grouped(docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(places, kind="stable")
-    keys, places = keys[order], places[order]
-    return [(int(docs[p]), _bytes(keys[a:z], "<u8")) for p, a, z in zip(*_runs(places), strict=True)]
+            told += _answer(home, docs, p[hit], k[hit] & np.uint64((1 << PLACE) - 1))
+    return _answers(told)
 
 
 def _later(t: pa.Table) -> pa.Table:
     """Of one range: windows of all documents but the smallest that has them."""
-    told, rows = _passed_on(t)
+    told, rows = _rows(t)
     if rows:
-        keys = [np.frombuffer(k, "<u8") for _, k, _ in rows]
-        ids = [docs[np.frombuffer(m, "<u2")] for docs, _, m in rows]
+        keys = [np.frombuffer(k, "<u8") for _, _, k, _ in rows]
+        ids = [docs[np.frombuffer(m, "<u2")] for _, docs, _, m in rows]
         every, all_ids = np.concatenate(keys), np.concatenate(ids)
         order = np.lexsort((all_ids, every))
         at = np.ones(len(order), bool)
         at[1:] = every[order][1:] != every[order][:-1]
         value, least = every[order][at], all_ids[order][at]
-        for (docs, _, m), k, d in zip(rows, keys, ids, strict=True):
+        for (home, docs, _, m), k, d in zip(rows, keys, ids, strict=True):
             gone = least[np.searchsorted(value, k)] != d
-            told += _grouped(docs, k[gone], np.frombuffer(m, "<u2").astype(np.int64)[gone])
-    return _by_doc(told)
+            told += _answer(home, docs, k[gone], np.frombuffer(m, "<u2")[gone])
+    return _answers(told)
 
 
 def _spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -341,7 +343,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = ranges(docs, 8 << 20)
     state_at, hits_at = new_folder(spark, "substring-state"), new_folder(spark, "substring-hits")
-    hits = _probed(docs, window, count).groupBy("range").applyInArrow(_met, _HITS)
+    # A collection's answers come together again, and each document gets its own.
+    by_document = lambda packed, of_range: packed.groupBy("range").applyInArrow(of_range, _ANSWER_SQL).groupBy("home").applyInArrow(_by_document, _HITS)
+    hits = by_document(_probed(docs, window, count), _met)
     hits.write.option("compression", "zstd").parquet(hits_at)
     release(spark)
     gathered = lambda h: h.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
@@ -351,6 +355,6 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     release(spark)
     state = spark.read.schema(_STATE_SQL).parquet(state_at)
     open_ = state.where("starts is not null").select("doc_id", "text", "starts")
-    gone = gathered(_extended(open_, window, count).groupBy("range").applyInArrow(_later, _HITS))
+    gone = gathered(by_document(_extended(open_, window, count), _later))
     cleaned = _removed(open_.join(gone, "doc_id", "left"), window)
     return state.where("starts is null").select("doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept")).unionByName(cleaned)
