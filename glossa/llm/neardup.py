@@ -5,9 +5,10 @@
    frequency. (By its own frequency a shingle of a large group of copies would count less than the copies' differences.)
 2. Each text is sampled BANDS * ROWS times; two texts agree in a sample with the probability of their weighted Jaccard
    similarity. Texts of equal words form a class at once, and one of them stands for it.
-3. Bands of ROWS samples make candidates. In each bucket a pivot is compared with the members of other classes; verified
-   pairs join classes, and the next pivots, twice as many each round, meet the rest until no bucket has two classes
-   whose members haven't met. So no pair of a bucket is skipped unless it is in one class already.
+3. Bands of ROWS samples make candidates. First, in a few rounds, each bucket takes a pivot at random and each document
+   is compared with one pivot of another class; verified pairs join classes, which leaves most buckets with one class.
+   Then in each other bucket pivots, twice as many each round, are compared with all members of other classes, until no
+   bucket has two classes whose members haven't met. So no pair of a bucket is skipped unless it is in one class already.
 4. Pairs are verified by the weighted Jaccard similarity of their whole texts.
 
 Defined cases: null and empty texts are equal texts and so one class; texts of one to four words are one shingle; texts
@@ -30,6 +31,8 @@ from glossa.llm.session import cut, drop_folder, release, written
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 10
 BUCKETS = 1 << 16
+#: Rounds in which each document meets one pivot.
+SCOUTS = 3
 #: Values of Gamma(2, 1) at the middles of 65,536 equal shares, by Newton's method on its distribution function.
 _SHARES = (np.arange(65536) + 0.5) / 65536
 
@@ -138,22 +141,25 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
 
 
 def _weighed(docs: DataFrame, idf) -> DataFrame:
-    """doc_id with its shingles: sorted 64-bit hashes and 32-bit weights, packed."""
+    """doc_id with its shingles: sorted 32-bit hashes (equal ones of a text summed) and 32-bit weights, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column("doc_id"), utf8(b.column("text"))
             for a, z in slices([len(t) for t in texts], 1 << 20):
                 text, hashes, weight = shingles(words(texts[a:z]), idf.value)
+                own = text.astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
+                first = np.flatnonzero(np.diff(own, prepend=np.uint64(2**64 - 1)))
+                text, hashes, weight = text[first], own[first] & np.uint64(0xFFFFFFFF), np.add.reduceat(weight, first) if len(first) else weight
                 at = np.searchsorted(text, np.arange(z - a + 1))
                 cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([hashes[i:j].astype("<u8").tobytes() for i, j in cuts], pa.binary()), pa.array([weight[i:j].astype("<f4").tobytes() for i, j in cuts], pa.binary())], names=["doc_id", "hashes", "weights"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([hashes[i:j].astype("<u4").tobytes() for i, j in cuts], pa.binary()), pa.array([weight[i:j].astype("<f4").tobytes() for i, j in cuts], pa.binary())], names=["doc_id", "hashes", "weights"])
 
     return docs.mapInArrow(run, "doc_id bigint, hashes binary, weights binary")
 
 
 def weighted_jaccard(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
-    (x, u), (y, v) = [(np.frombuffer(h, "<u8"), np.frombuffer(w, "<f4").astype(np.float64)) for h, w in (a, b)]
+    (x, u), (y, v) = [(np.frombuffer(h, "<u4"), np.frombuffer(w, "<f4").astype(np.float64)) for h, w in (a, b)]
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     shared = float(np.minimum(u[i], v[j]).sum())
     every = float(u.sum() + v.sum()) - shared
@@ -201,24 +207,47 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     release(spark)
     weighed, weighed_at = written(_weighed(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), idf).dropDuplicates(["doc_id"]), "near-weights")
     release(spark)
-    rest, pivots, moved = members.withColumn("class", F.col("doc_id")), 1, None
-    moved = spark.createDataFrame([], "doc_id bigint, class bigint")
+    rest, moved = members.withColumn("class", F.col("doc_id")), spark.createDataFrame([], "doc_id bigint, class bigint")
+
+    def several(rest: DataFrame) -> DataFrame:
+        """The buckets of more than one class."""
+        keys = rest.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key")
+        return cut(rest.join(keys, "key", "left_semi"))
+
+    def met(chosen: DataFrame, rest: DataFrame) -> DataFrame:
+        a = chosen.select("key", F.col("doc_id").alias("a"), F.col("class").alias("one"))
+        b = rest.select("key", F.col("doc_id").alias("b"), F.col("class").alias("other"))
+        return a.join(b, "key").where("one <> other")
+
+    def joined(pairs: DataFrame, rest: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rest and moved with the classes of verified pairs joined."""
+        links = cut(_verified(pairs, weighed, similarity))
+        if not links.limit(1).count():
+            return rest, moved
+        merged = components(links)
+        renamed = lambda df: df.join(merged, df["class"] == merged["node"], "left").select(*[c for c in df.columns if c != "class"], F.coalesce("label", "class").alias("class"))
+        fresh = merged.where("node <> label").select(F.col("node").alias("doc_id"), F.col("label").alias("class"))
+        return cut(renamed(rest)), cut(renamed(moved).unionByName(fresh))
+
+    for turn in range(SCOUTS):
+        rest = several(rest)
+        if not rest.limit(1).count():
+            break
+        pivot = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "class")).alias("p")).select("key", "p.doc_id", "p.class")
+        one = met(pivot, rest).groupBy("b").agg(F.min(F.struct("a", "one", "other")).alias("p")).select("p.a", "b", "p.one", "p.other")
+        rest, moved = joined(one, rest, moved)
+        release(spark)
+    pivots = 1
     while True:
-        open_ = rest.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key")
-        rest = cut(rest.join(open_, "key", "left_semi"))
+        rest = several(rest)
         if not rest.limit(1).count():
             break
         order = Window.partitionBy("key").orderBy("doc_id")
         chosen = cut(rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank"))
-        met = chosen.select("key", F.col("doc_id").alias("a"), F.col("class").alias("one")).join(rest.select("key", F.col("doc_id").alias("b"), F.col("class").alias("other")), "key").where("b > a and one <> other")
-        links = cut(_verified(met.select("a", "b", "one", "other").dropDuplicates(["a", "b"]), weighed, similarity))
-        merged = components(links)
-        rest = rest.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-        renamed = lambda df: df.join(merged, df["class"] == merged["node"], "left").select(*[c for c in df.columns if c != "class"], F.coalesce("label", "class").alias("class"))  # noqa: E731,B023
-        rest = cut(renamed(rest))
-        fresh = merged.where("node <> label").select(F.col("node").alias("doc_id"), F.col("label").alias("class"))
-        moved = cut(renamed(moved).unionByName(fresh))
+        left = rest.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+        rest, moved = joined(met(chosen, rest).where("b > a").select("a", "b", "one", "other").dropDuplicates(["a", "b"]), left, moved)
         pivots *= 2
+        release(spark)
     drop_folder(spark, weighed_at)
     # A class's number is moved at most once to each final one, as earlier moves are renamed with later ones.
     final = moved.select(F.col("doc_id").alias("first"), "class")
