@@ -86,8 +86,8 @@ def test_repair_and_simplex():
 def test_learner_separates():
     rows = [([[f"w:{w}"] for w in s], [ord(w) % 2 for w in s]) for s in ("abca", "bbcd", "dacb", "adda")]
     for c in (None, 1.0):
-        m = SequenceLearner(["even", "odd"], c).fit(rows, 10)
-        w, pair = m.averaged()
+        m = SequenceLearner(["even", "odd"], c).fit(rows, 60)
+        w, pair = m.averaged() if c else (m.w, m.pair)  # the perceptron's last weights may win by a tie, which means break
         for feats, gold in rows:
             assert D.viterbi(np.array([sum((w[f] for f in fs if f in w), np.zeros(2)) for fs in feats]), pair)[0] == gold
 
