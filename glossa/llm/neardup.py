@@ -9,7 +9,8 @@
    is compared with one pivot of another class; verified pairs join classes, which leaves most buckets with one class.
    Then in each other bucket pivots, twice as many each round, are compared with all members of other classes, until no
    bucket has two classes whose members haven't met. So no pair of a bucket is skipped unless it is in one class already.
-4. Pairs are verified by the weighted Jaccard similarity of their whole texts.
+4. Pairs are verified by the weighted Jaccard similarity of their whole texts. All that pass are edges; in a round classes
+   are joined by one step along them, and the connected parts are found once, at the end.
 
 Defined cases: null and empty texts are equal texts and so one class; texts of one to four words are one shingle; texts
 are taken whole; rows that share a doc_id share a class; a null doc_id gives a null class; an empty table gives an
@@ -207,7 +208,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     release(spark)
     weighed, weighed_at = written(_weighed(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), idf).dropDuplicates(["doc_id"]), "near-weights")
     release(spark)
-    rest, moved = members.withColumn("class", F.col("doc_id")), spark.createDataFrame([], "doc_id bigint, class bigint")
+    rest, edges = members.withColumn("class", F.col("doc_id")), spark.createDataFrame([], "one bigint, other bigint")
 
     def several(rest: DataFrame) -> DataFrame:
         """The buckets of more than one class."""
@@ -219,38 +220,40 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         b = rest.select("key", F.col("doc_id").alias("b"), F.col("class").alias("other"))
         return a.join(b, "key").where("one <> other")
 
-    def joined(pairs: DataFrame, rest: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """rest and moved with the classes of verified pairs joined."""
-        links = cut(_verified(pairs, weighed, similarity))
-        if not links.limit(1).count():
-            return rest, moved
-        merged = components(links)
-        renamed = lambda df: df.join(merged, df["class"] == merged["node"], "left").select(*[c for c in df.columns if c != "class"], F.coalesce("label", "class").alias("class"))
-        fresh = merged.where("node <> label").select(F.col("node").alias("doc_id"), F.col("label").alias("class"))
-        return cut(renamed(rest)), cut(renamed(moved).unionByName(fresh))
-
-    for turn in range(SCOUTS):
-        rest = several(rest)
-        if not rest.limit(1).count():
-            break
-        pivot = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "class")).alias("p")).select("key", "p.doc_id", "p.class")
-        one = met(pivot, rest).groupBy("b").agg(F.min(F.struct("a", "one", "other")).alias("p")).select("p.a", "b", "p.one", "p.other")
-        rest, moved = joined(one, rest, moved)
-        release(spark)
-    pivots = 1
+    def joined(links: DataFrame, rest: DataFrame, turn: int) -> DataFrame:
+        """rest with classes renamed along the links: to the linked class of the least hash, and once more to that one's.
+
+        It is only to spare comparisons: members of a renamed class are linked to its new name by `edges`.
+        """
+        hashed = lambda c: F.xxhash64(c, F.lit(turn))
+        both = links.unionByName(links.select(F.col("other").alias("one"), F.col("one").alias("other"))).where(hashed("one") < hashed("other"))
+        up = both.groupBy("other").agg(F.min(F.struct(hashed("one").alias("h"), "one"))["one"].alias("near"))
+        far = up.select(F.col("other").alias("at"), F.col("near").alias("far"))
+        names = up.join(far, up["near"] == far["at"], "left").select("other", F.coalesce("far", "near").alias("name"))
+        return cut(rest.join(names, rest["class"] == names["other"], "left").select("key", "doc_id", F.coalesce("name", "class").alias("class")))
+
+    turn, pivots = 0, 1
     while True:
         rest = several(rest)
         if not rest.limit(1).count():
             break
-        order = Window.partitionBy("key").orderBy("doc_id")
-        chosen = cut(rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank"))
-        left = rest.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-        rest, moved = joined(met(chosen, rest).where("b > a").select("a", "b", "one", "other").dropDuplicates(["a", "b"]), left, moved)
-        pivots *= 2
+        if turn < SCOUTS:
+            of_hash = F.struct(F.xxhash64("class", F.lit(turn)), "doc_id", "class")
+            pivot = rest.groupBy("key").agg(F.min(of_hash).alias("p")).select("key", "p.doc_id", "p.class")
+            pairs = met(pivot, rest).groupBy("b").agg(F.min(F.struct(F.xxhash64("one", F.lit(turn)), "a", "one", "other")).alias("p")).select("p.a", "b", "p.one", "p.other")
+        else:
+            order = Window.partitionBy("key").orderBy("doc_id")
+            chosen = cut(rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank"))
+            pairs = met(chosen, rest).where("b > a").dropDuplicates(["a", "b"]).select("a", "b", "one", "other")
+            rest = rest.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+            pivots *= 2
+        links = cut(_verified(pairs, weighed, similarity))
+        edges = edges.unionByName(links)
+        rest = joined(links, rest, turn)
+        turn += 1
         release(spark)
     drop_folder(spark, weighed_at)
-    # A class's number is moved at most once to each final one, as earlier moves are renamed with later ones.
-    final = moved.select(F.col("doc_id").alias("first"), "class")
+    final = components(edges).select(F.col("node").alias("first"), F.col("label").alias("class"))
     return firsts.drop("bands").join(final, "first", "left").select("doc_id", F.coalesce("class", "first").alias("class_id"))
 
 
