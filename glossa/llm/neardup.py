@@ -7,7 +7,7 @@
    similarity. Texts of equal words form a class at once, and one of them stands for it.
 3. Bands of ROWS samples make candidates. First, in a few rounds, each bucket takes a pivot at random and each document
    is compared with one pivot of another class; verified pairs join classes, which leaves most buckets with one class.
-   Then in each other bucket pivots, twice as many each round, are compared with all members of other classes, until no
+   Then in each other bucket pivots, four times as many each round, are compared with all members of other classes, until no
    bucket has two classes whose members haven't met. So no pair of a bucket is skipped unless it is in one class already.
 4. Pairs are verified by the weighted Jaccard similarity of their whole texts. All that pass are edges; in a round classes
    are joined by one step along them, and the connected parts are found once, at the end.
@@ -232,7 +232,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         names = up.join(far, up["near"] == far["at"], "left").select("other", F.coalesce("far", "near").alias("name"))
         return cut(rest.join(names, rest["class"] == names["other"], "left").select("key", "doc_id", F.coalesce("name", "class").alias("class")))
 
-    turn, pivots = 0, 1
+    turn, pivots = 0, 4
     while True:
         rest = several(rest)
         if not rest.limit(1).count():
@@ -246,7 +246,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             chosen = cut(rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank"))
             pairs = met(chosen, rest).where("b > a").dropDuplicates(["a", "b"]).select("a", "b", "one", "other")
             rest = rest.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-            pivots *= 2
+            pivots *= 4
         links = cut(_verified(pairs, weighed, similarity))
         edges = edges.unionByName(links)
         rest = joined(links, rest, turn)
