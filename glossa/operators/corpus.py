@@ -206,9 +206,14 @@ def ancestry(tokens: DataFrame) -> DataFrame:
 # --- parts ----------------------------------------------------------------------------------------------------------
 
 
+def sized(tokens: DataFrame) -> DataFrame:
+    """tokens with n, the number of tokens of their sentence."""
+    return tokens.withColumn("n", F.count("*").over(Window.partitionBy(*SENT)))
+
+
 def short(tokens: DataFrame, most: int) -> DataFrame:
     """Tokens of sentences of at most so many tokens, with n."""
-    return tokens.withColumn("n", F.count("*").over(Window.partitionBy(*SENT))).where(F.col("n") <= most)
+    return sized(tokens).where(F.col("n") <= most)
 
 
 def arc_candidates(tokens: DataFrame, reach: int | None = None) -> DataFrame:

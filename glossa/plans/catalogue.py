@@ -348,12 +348,65 @@ def linear_scores(t, docs):
 
 @query()
 def chu_liu_edmonds(t, docs):
-    return D.parsed(C.silver_scores(C.arc_candidates(C.short(t, 8))))
+    return D.parsed(C.silver_scores(C.arc_candidates(C.sized(t))))
 
 
 @query()
 def eisner(t, docs):
-    return D.parsed(C.silver_scores(C.arc_candidates(C.short(t, 8))), D.projective)
+    return D.parsed(C.silver_scores(C.arc_candidates(C.sized(t))), D.projective)
+
+
+# The ten queries above whose SQL holds a limit of 8 or 12 tokens, over all sentences; SQL over whole tables would be too slow.
+
+
+@query()
+def ancestors_whole(t, docs):
+    return C.ancestors(C.sized(t))
+
+
+@query()
+def nonprojective_arcs_whole(t, docs):
+    return C.nonprojective(t.where("head > 0"), C.ancestors(t)).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def arc_candidates_whole(t, docs):
+    return C.arc_candidates(C.sized(t))
+
+
+@query()
+def sibling_parts_whole(t, docs):
+    return C.sibling_parts(C.arc_candidates(C.sized(t)))
+
+
+@query()
+def grandparents_whole(t, docs):
+    return C.grandparent_parts(C.arc_candidates(C.sized(t)))
+
+
+@query()
+def head_bigrams_whole(t, docs):
+    return C.head_bigram_parts(C.arc_candidates(C.sized(t)))
+
+
+@query()
+def coparents_whole(t, docs):
+    return C.coparent_parts(C.arc_candidates(C.sized(t)))
+
+
+@query()
+def label_argmax_whole(t, docs):
+    return C.best_heads(C.silver_scores(C.arc_candidates(C.sized(t))))
+
+
+@query()
+def label_marginals_whole(t, docs):
+    return C.marginals(C.silver_scores(C.arc_candidates(C.sized(t)))).select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p"))
+
+
+@query()
+def topk_heads_whole(t, docs):
+    return C.top_heads(C.silver_scores(C.arc_candidates(C.sized(t))), 3, 0.001).select("doc_id", "sent_id", "m", "h", "rank")
 
 
 @query()
