@@ -7,7 +7,7 @@ character class and step, how many steps the walk stays. A fingerprint samples S
 same steps for all texts of about one length (each slot takes the step with the smallest hash of those below the
 walk's length), and keeps 8 bits of the characters there.
 
-Bands of sampled slots find candidates, which the edit distance of the texts verifies (`near_classes`).
+Not built: bands of sampled slots that find candidates anywhere in a corpus, and their check by the texts' edit distance.
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint; texts are walked whole; equal texts have
 equal fingerprints; repeated rows get equal rows; an empty table gives an empty one; other columns are not read.
