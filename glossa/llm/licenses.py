@@ -1,8 +1,9 @@
 """Licence detection by ordered signature rules: patterns behind a keyword gate, with priority and containment.
 
 DataFrame functions only. A text is lower-cased in A-Z and reduced to its words (runs of digits, letters a-z and
-characters beyond ASCII) with one blank around each, so that rules see words and nothing else. The rules are the table
-of licences below times the forms in which a licence is named. A keyword of each rule gates it: a rule's pattern only
+characters beyond ASCII) with one blank around each, so that rules see words and nothing else. The rules are sentences of
+licence texts, SPDX ids, and the table of licences' names times the forms in which a licence is named (which only add
+confidence to a name). A keyword of each rule gates it: a rule's pattern only
 runs on texts that hold its keyword. Of overlapping detections the containing one wins; of equal intervals the rule
 that comes first.
 
@@ -110,6 +111,43 @@ LICENCES = (
     ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?"),
     ("cc-by-sa", "commons", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by", "commons", r"creative commons attribution(?: [1-4] [05])?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl (?:version |v )?3(?: 0)?(?: only| or later)?"),
+    ("agpl-3.0", "agplv3", r"(?:gnu )?agplv3(?: or later)?(?: license)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl license"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl (?:version |v )?2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl (?:version |v )?2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl (?:version |v )?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", r"(?:gnu )?lgplv2 1(?: or later)?(?: license)?"),
+    ("lgpl-3.0", "lgplv3", r"(?:gnu )?lgplv3(?: or later)?(?: license)?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl license"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl (?:version |v )?1(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl (?:version |v )?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl (?:version |v )?3(?: 0)?(?: only| or later)?"),
+    ("gpl", "gpl", r"gnu gpl"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?: (?:version |v )?1 [123])?(?: only| or later)?"),
+    ("mpl-1.0", "mpl", r"mpl (?:version |v )?1 0"),
+    ("mpl-1.1", "mpl", r"mpl (?:version |v )?1 1"),
+    ("mpl-2.0", "mpl", r"mpl (?:version |v )?2 0"),
+    ("epl-1.0", "epl", r"epl (?:version |v )?1 0"),
+    ("epl-2.0", "epl", r"epl (?:version |v )?2 0"),
+    ("edl-1.0", "edl", r"edl 1 0"),
+    ("cpl-1.0", "cpl", r"cpl 1 0"),
+    ("eupl-1.1", "eupl", r"eupl (?:version |v )?1 1"),
+    ("eupl-1.2", "eupl", r"eupl (?:version |v )?1 2"),
+    ("artistic-1.0", "artistic", r"artistic 1 0"),
+    ("artistic-2.0", "artistic", r"artistic 2 0"),
+    ("bsl-1.0", "bsl", r"bsl 1 0"),
+    ("busl-1.1", "busl", r"busl 1 1"),
+    ("php-3.01", "php", r"php 3 01"),
+    ("ofl-1.1", "ofl", r"ofl (?:version |v )?1 1"),
+    ("upl-1.0", "upl", r"upl 1 0"),
+    ("ms-pl", "pl", r"ms pl"),
+    ("ms-rl", "rl", r"ms rl"),
+    ("osl-3.0", "osl", r"osl (?:version |v )?3 0"),
+    ("afl-3.0", "afl", r"afl (?:version |v )?3 0"),
+    ("sspl-1.0", "sspl", r"sspl (?:version |v )?1(?: 0)?"),
+    ("odbl-1.0", "odbl", r"odbl (?:version |v )?1 0"),
+    ("bsd-2-clause", "freebsd", r"freebsd license"),
     ("public-domain", "domain", r"public domain"),
     ("reserved", "reserved", r"(?:all|no|some) rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
@@ -117,6 +155,41 @@ LICENCES = (
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
 )
 
+#: SPDX ids that are too short or common to stand without "SPDX-License-Identifier:" before them.
+SPDX_IDS = (
+    ("mit", "mit"), ("mit-0", "mit 0"), ("isc", "isc"), ("x11", "x11"), ("zlib", "zlib"), ("libpng", "libpng(?: 2 0)?"), ("openssl", "openssl"), ("ruby", "ruby"),
+    ("postgresql", "postgresql"), ("ncsa", "ncsa"), ("python-2.0", "(?:python|psf) 2 0"), ("php-3.0", "php 3 0"), ("elastic-2.0", "elastic 2 0"),
+    ("odc-by-1.0", "odc by 1 0"), ("apache-1.0", "apache 1 0"), ("apache-1.1", "apache 1 1"),
+)
+
+#: label, gating keyword, pattern: sentences of the licences' own texts and notices.
+TEXTS = (
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software(?: and associated documentation files)?)?"),
+    ("bsl-1.0", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided )"),
+    ("postgresql", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:[^ ]+ ){1,16}nor the names of (?:its|their|the) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl-2.0", "redistribute", r"redistribute it and or modify it under the terms of the gnu general public license (?:version 2 )?as published by the free software foundation(?: either)? version 2"),
+    ("gpl-3.0", "redistribute", r"redistribute it and or modify it under the terms of the gnu general public license (?:version 3 )?as published by the free software foundation(?: either)? version 3"),
+    ("lgpl-2.0", "redistribute", r"redistribute it and or modify it under the terms of the gnu (?:library|lesser) general public license as published by the free software foundation(?: either)? version 2(?! 1 )"),
+    ("lgpl-2.1", "redistribute", r"redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 2 1"),
+    ("lgpl-3.0", "redistribute", r"redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 3"),
+    ("agpl-3.0", "redistribute", r"redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation(?: either)? version 3"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("ncsa", "restriction", r"to deal with the software without restriction"),
+    ("wtfpl", "fuck", r"do what the fuck you want to(?: public license)?"),
+    ("cc0-1.0", "waived", r"waived all copyright and related or neighbou?ring rights"),
+    ("cc0-1.0", "waives", r"waives all (?:of )?(?:his or her |their )?copyright and related (?:or neighbou?ring )?rights"),
+    ("ofl-1.1", "font", r"the font software may be sold as part of a larger software package"),
+    ("artistic-2.0", "verbatim", r"you are permitted to use the standard version and create and use modified versions for any purpose without restriction"),
+)
+
 #: The forms in which a licence is named: words before it, words that every match of the form holds, confidence. The plain name comes last.
 FORMS = (
     (r"spdx license identifier ", " spdx license identifier ", 1.0),
@@ -128,10 +201,21 @@ FORMS = (
 )
 
 
+def _spelled(core: str) -> str:
+    """A pattern that takes licence for license and v2 for v 2, as words are split at blanks only."""
+    return core.replace("license", "licen[cs]e").replace("(?:version |v )?", "(?:version |v ?)?").replace("licen[cs]e[cs]e", "licen[cs]e")
+
+
 @lru_cache
 def rules() -> tuple[tuple[str, str, str, str, float], ...]:
     """(label, keyword, the form's words, pattern, confidence) in order of priority."""
-    return tuple((label, keyword, held, f"(?<= ){before}{core}(?= )", trust) for before, held, trust in FORMS for label, keyword, core in LICENCES)
+    # One id or one of an expression: the words between are of the expression.
+    before = r"(?<= spdx license identifier | spdx license identifier [a-z0-9 ]{1,120} (?:or|and) )"
+    spdx = [(label, "spdx", " spdx license identifier ", f"(?<= )(?={core} ){before}{core}(?= )", 1.0) for label, core in SPDX_IDS]
+    texts = [(label, keyword, " ", f"(?<= ){_spelled(core)}(?= )", 0.95) for label, keyword, core in TEXTS]
+    keywords = lambda k: ("license", "licence") if k == "license" else (k,)
+    named = [(label, k, held, f"(?<= ){before}{_spelled(core)}(?= )", trust) for before, held, trust in FORMS for label, keyword, core in LICENCES for k in keywords(keyword)]
+    return (*spdx, *texts, *named)
 
 
 @lru_cache
