@@ -97,32 +97,123 @@ def test_suffix_array_repeats(odd, empty):
     assert quality.judged(empty).count() == 0
 
 
-def test_neardup_against_all_pairs(spark, odd, empty):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    idf = neardup.word_frequencies(docs)
-    packed = []
+def _plain_rarity(rows):
+    """Inverse document frequency of each word by counting."""
+    found = [set(t.split()) for _, t in rows]
+    df = {}
+    for ws in found:
+        for x in ws:
+            df[x] = df.get(x, 0) + 1
+    return {x: 1 + np.log(len(rows) / max(n, len(rows) / neardup.RAREST)) for x, n in df.items()}
+
+
+def _plain_similarity(rows):
+    """All texts' shingles and weights without the module's code, and the weighted Jaccard similarity of two."""
+    idf = _plain_rarity(rows)
+    bags = []
     for _, t in rows:
-        _, h, w = neardup.shingles(words([t]), idf)
-        packed.append(((h >> np.uint64(32)).astype("<u4").tobytes(), w.astype("<f4").tobytes()))
-    parent = {d: d for d, _ in rows}
+        ws, bag = t.split(), {}
+        for g in [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)] or ([tuple(ws)] if ws else []):
+            bag[g] = bag.get(g, 0.0) + float(np.mean([idf[x] for x in g]))
+        bags.append(bag)
+
+    def similarity(i, j):
+        a, b = bags[i], bags[j]
+        if not a and not b:
+            return 1.0
+        if len(b) < len(a):
+            a, b = b, a
+        shared = sum(min(v, b[k]) for k, v in a.items() if k in b)
+        return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+    return similarity
+
+
+def _plain_classes(rows, similarity):
+    """class of each row by all pairs: the smallest non-null doc_id of its connected part."""
+    parent = list(range(len(rows)))
 
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
     for i in range(len(rows)):
         for j in range(i):
-            if neardup.weighted_jaccard(packed[i], packed[j]) >= 0.8:
-                a, b = sorted((root(rows[i][0]), root(rows[j][0])))
-                parent[b] = a
-    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {d: root(d) for d, _ in rows}
+            if root(i) != root(j) and similarity(i, j) >= 0.8:
+                parent[root(i)] = root(j)
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        ids.setdefault(root(i), []).append(d)
+    return [min((d for d in ids[root(i)] if d is not None), default=None) for i in range(len(rows))]
+
+
+def test_neardup_against_all_pairs(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, (r.text or "")) for r in docs.collect()]
+    want = dict(zip([d for d, _ in rows], _plain_classes(rows, _plain_similarity(rows)), strict=True))
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == want
     got = sorted(((r.doc_id or 0), r.class_id) for r in neardup.classes(odd).collect())
     assert got == [(0, None), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5)]
     assert neardup.classes(empty).count() == 0
 
 
+def test_neardup_group_of_edited_copies(spark):
+    """A third of all rows are copies of one text with edits of every size; chains of links join more than direct ones."""
+    rng, words_ = random.Random(8), [f"w{i}" for i in range(400)]
+    base, rows = [rng.choice(words_) for _ in range(150)], []
+    for i in range(240):
+        if i % 3:
+            ws = [rng.choice(words_) for _ in range(rng.randint(20, 150))]
+        else:
+            ws = [w if rng.random() > rng.choice([0, 0.01, 0.03, 0.06]) else rng.choice(words_) for w in base]
+        rows.append((i if i % 11 else (None if i % 2 else 7), " ".join(ws)))
+    similarity = _plain_similarity(rows)
+    want = _plain_classes(rows, similarity)
+    got = neardup.labelled(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((str(d), str(c)) for (d, _), c in zip(rows, want, strict=True)) == sorted((str(r.doc_id), str(r.class_id)) for r in got)
+    assert max(np.unique([str(c) for c in want], return_counts=True)[1]) > 25
+
+
+def test_neardup_bands_find_pairs():
+    rng = np.random.default_rng(0)
+    for p, least in ((0.8, 0.965), (0.85, 0.99), (0.9, 0.998)):
+        agree = rng.random((50_000, neardup.SAMPLES)) < p
+        found = np.zeros(len(agree), bool)
+        for chosen in neardup._BAND_SAMPLES:
+            found |= agree[:, chosen].all(1)
+        assert found.mean() > least
+
+
+def test_samples_agree_as_similarity_says():
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(600)]
+    other = [w if rng.random() > 0.03 else "zz" for w in base]
+    rows = [(0, " ".join(base)), (1, " ".join(other))]
+    similarity = _plain_similarity(rows)(0, 1)
+    w = words([t.encode() for _, t in rows])
+    idf = _plain_rarity(rows)
+    table = {int(words([x.encode()]).hashes[0]): v for x, v in idf.items()}
+    rarity = neardup.Rarity(np.zeros(0, np.uint64), np.zeros(0), 1)
+    rarity.of = lambda h: np.array([table[int(x)] for x in h], np.float32)
+    agreed = []
+    for seed in range(60):
+        old = neardup._SEEDS
+        neardup._SEEDS = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, neardup.SAMPLES, dtype=np.uint64)
+        found = neardup.samples(*neardup.shingles(w, rarity), 2)
+        neardup._SEEDS = old
+        agreed.append((found[0] == found[1]).mean())
+    assert abs(np.mean(agreed) - similarity) < 0.04
+
+
+def test_one_row_stays_of_each_class(spark, empty):
+    rows = [(1, "a b", "x", 1), (1, "a b", "x", 2), (None, "a b", "y", 3), (2, None, "z", 4), (None, "", None, 5), (None, "q", "w", 6), (None, "q", "w", 7), (3, "word " * 30000, "c", 8), (4, "word " * 30000, "c", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, label int")
+    got = neardup.distinct_documents(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r.text and r.text[:3], r.k1) for r in got.collect()) == [(0, "q", "w"), (1, "a b", "x"), (2, None, "z"), (3, "wor", "c")]
+    assert neardup.distinct_documents(empty).count() == 0
+
+
 def test_lookup_table(odd, empty):
     names = [f"s{i}" for i in range(10)]
     t = sharding.lookup_table(names, 1009)
