@@ -244,6 +244,7 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     keyed = _keyed(docs)
     rarity = spark.sparkContext.broadcast(word_frequencies(keyed))
+    release(spark)
     signed = kept(_signed(keyed, rarity), "signed")
     keys = [f"b{k}" for k in range(BANDS)]
     nodes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *[F.min(b).alias(b) for b in keys])
@@ -255,7 +256,8 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     known = ["k1", "k2", "id", "no_id"]
     with_id = lambda df, c: df.withColumns({"id": F.coalesce(c, F.lit(0)), "no_id": F.col(c).isNull()})
     wanted = kept(with_id(members.select("node").distinct().join(nodes, "node"), "first").select("node", *known), "wanted")
-    texts = with_id(keyed, "doc_id").select("text", *known).join(wanted, known).dropDuplicates(known).select("node", "text")
+    # Never by broadcast, as the members grow with the input.
+    texts = with_id(keyed, "doc_id").select("text", *known).join(wanted.hint("merge"), known).dropDuplicates(known).select("node", "text")
     weighed = kept(_weighed(texts, rarity), "weights")
     release(spark)
 
