@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a new local one is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset a new local one is set, if all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
     return os.path.dirname(sc._jsc.sc().getCheckpointDir().get())
 

@@ -6,8 +6,10 @@ range's end if need be; so ranges need no index and every record belongs to one
 executors reach, by any file system of pyarrow. A writing task that is run again writes a new file, and only the files
 named by the tasks that succeeded are read.
 
-Defined cases: a null payload is empty; null ids are kept; repeated rows give a record each; payloads are kept whole;
-an empty table gives no archive and an empty result; other columns are not read.
+Defined cases: a null payload is empty; rows of a null page_id are kept and revisit the page of an equal payload that has an
+id (without one they are responses); rows of one page_id give a record each, judged by their own payloads (equal ones of the
+smallest page_id are all responses); payloads are kept whole; an empty table gives no archive and an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -62,14 +64,15 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 def decided(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to: for each page the response that it revisits, or null.
 
-    Only ids and digests are compared; a digest's first page is found by partial minima, and pages other than the first
-    are joined back by their id.
+    Only ids and digests are compared: a digest's first page is found by partial minima, and the pages other than the first
+    are joined back by id and digest, so that a common page's payloads don't meet in one task.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest")
-    first = cut(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = cut(large.join(first, "digest").where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).distinct())
-    return rows.join(later, "page_id", "left")
+    with_id = lambda df: df.withColumns({"no_id": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0))})
+    large = with_id(rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest"))
+    first = cut(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"))
+    later = cut(large.join(first, "digest").where("no_id or id <> first").select("no_id", "id", "digest", F.col("first").alias("refers_to")).distinct())
+    return with_id(rows).join(later, ["no_id", "id", "digest"], "left").drop("no_id", "id")
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:

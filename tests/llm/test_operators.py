@@ -289,6 +289,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_and_null_ids(spark):
+    x, y = "x" * 150, "y" * 150
+    rows = [(1, x), (1, y), (2, x), (2, x), (None, x), (None, "z" * 150), (3, y), (3, "x"), (4, "x")]
+    got = warc.round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    first = {x: 1, y: 1}
+    want = [(i, len(h), "revisit" if first.get(h, i) != i else "response", first[h] if first.get(h, i) != i else None) for i, h in rows]
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in got)
+
+
 def test_licences(spark, odd, empty):
     rows = [(1, "Licensed under CC BY-NC 4.0, and GNU General Public License, version 3. All rights RESERVED"), (2, "cc by cc by"), (3, "Released under the MIT License."), (4, "ccé by")]
     got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -298,30 +307,69 @@ def test_licences(spark, odd, empty):
     assert {(r.doc_id, r.n_words, r.score) for r in licenses.scanned(odd).collect()} >= {(1, 0, 0.0), (4, 2, 0.0)} and licenses.scanned(empty).count() == 0
 
 
-def test_mixture(spark, odd, empty):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = mixing.mixed(docs).collect()
-    again = mixing.mixed(docs.repartition(7)).collect()
-    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    sizes, targets, taken = {}, {}, {}
-    for r in got:
-        assert r.size == len(texts[r.doc_id].encode().split()) and 0 <= r.taken <= 2 * r.size
-        sizes[r.source], targets[r.source] = r.source_size, r.target
-        taken[r.source] = taken.get(r.source, 0) + r.taken
-    names = sorted(sizes)
+def _plain_mix(rows):
+    """(source, size, turns of the two passes) in order; words taken of each row by a plain queue, and the sources' targets."""
+    sizes = {}
+    for s, n, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    want, full, budget = {}, set(), 1.5 * sum(sizes.values())
-    while True:
+    full, budget = set(), 1.5 * sum(sizes.values())
+    while len(full) < len(names):
         level = (budget - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in names if s not in full)
         new = {s for s in names if s not in full and level * weight[s] > 2 * sizes[s]}
         if not new:
             break
         full |= new
-    want = {s: 2.0 * sizes[s] if s in full else level * weight[s] for s in names}
+    target = {s: 2.0 * sizes[s] if s in full else level * weight[s] for s in names}
+    packets = []
     for s in names:
-        assert np.isclose(targets[s], want[s]) and abs(taken[s] - want[s]) <= 2
-    assert mixing.mixed(odd).count() == len(ODD) and mixing.mixed(empty).count() == 0
+        done = 0
+        for copy in (0, 1):
+            for turn, i in sorted((turns[copy], i) for i, (t, _, turns) in enumerate(rows) if t == s):
+                n = rows[i][1]
+                for at in range(0, n, mixing.QUANTUM):
+                    done += min(mixing.QUANTUM, n - at)
+                    packets.append((done / target[s], turn, i, copy, at, min(mixing.QUANTUM, n - at)))
+    left, taken = int(sum(target.values()) + 1e-6), [0] * len(rows)
+    for *_, i, _, _, words_ in sorted(packets):
+        taken[i] += min(words_, left)
+        left -= min(words_, left)
+    return taken, target
+
+
+def test_mixture(spark, odd, empty):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
+    turns = F.array(*[F.xxhash64(key, F.lit(k)) for k in (0, 1)])
+    rows = docs.select("doc_id", "source", "text", turns.alias("turns")).collect()
+    want, target = _plain_mix([(r.source, len((r.text or "").encode().split()), r.turns) for r in rows])
+    got = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    assert {r.doc_id: n for r, n in zip(rows, want, strict=True)} == {d: r.taken for d, r in got.items()}
+    again = mixing.mixed(docs.repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got.values()) == sorted((r.doc_id, r.taken) for r in again)
+    for s, t in target.items():
+        of = [r for r in got.values() if r.source == s]
+        assert np.isclose(of[0].target, t) and abs(sum(r.taken for r in of) - t) <= 2 * mixing.QUANTUM and all(r.taken <= 2 * r.size for r in of)
+    small = mixing.mixed(odd)
+    assert small.count() == len(ODD) and {(r.doc_id, r.taken) for r in small.collect()} >= {(1, 0), (None, 6)} and mixing.mixed(empty).count() == 0
+
+
+def test_remix_keeps_rows_of_null_and_repeated_ids(spark, empty):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "s", "a b c " * 20, 1), (7, "s", "d e f " * 20, 2), (7, "t", "g h " * 20, 3), (None, "t", None, 4), (8, "u", "", 5)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, row int").withColumn("size", F.lit("kept"))
+    mix = sorted((r.doc_id or 0, r.source, r.taken, r.copies) for r in mixing.mixed(docs).collect())
+    out = mixing.remixed(docs)
+    assert out.columns == docs.columns and sum(c for *_, c in mix) == out.count()
+    counts = {}
+    for r in out.collect():
+        counts[r.row] = counts.get(r.row, 0) + 1
+    assert set(counts) <= {1, 2, 3} and all(n <= 4 for n in counts.values()) and len(counts) == 3
+    assert mixing.remixed(empty).count() == 0
 
 
 def test_pipeline(spark):
