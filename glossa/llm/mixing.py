@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.session import written
+from glossa.llm.session import positional, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 QUANTUM = 128
@@ -64,8 +64,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
 def remixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
     """docs as the mix takes it: a document that is taken twice stands there twice, one that isn't taken goes."""
     columns = docs.columns
-    own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)]
-    rows, _ = written(_keyed(docs.select(*own, "doc_id", "source", "text"), seed).drop("text"), "mix-documents")
+    named = {c: F.col(f"_{columns.index(c)}") for c in ("doc_id", "source", "text")}
+    rows, _ = written(_keyed(positional(docs).withColumns(named), seed).drop("text"), "mix-documents")
     chosen = _taken(rows.select("row", "doc_id", "source", "size", "key"), weights, share, most).where("copies > 0").select("row", "copies")
     found = rows.join(chosen.withColumnRenamed("row", "of"), F.col("row") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])

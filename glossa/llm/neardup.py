@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.arrays import Words, grams, mix, slices, utf8, words
-from glossa.llm.session import drop_folder, release, written
+from glossa.llm.session import drop_folder, positional, release, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS, SAMPLES = 5, 12, 30
@@ -332,9 +332,8 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     key = ["k1", "k2", "id", "no_id"]
     rows = labelled(docs, similarity).select("label", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "k1", "k2")
     chosen, _ = written(rows.groupBy("label").agg(F.min(F.struct("no_id", "id", "k1", "k2")).alias("p")).select("p.*"), "near-chosen")
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
     text = F.coalesce(F.col(f"_{columns.index('text')}").cast("string"), F.lit(""))
     doc_id = F.col(f"_{columns.index('doc_id')}").cast("long")
-    with_key = renamed.withColumns({"k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text), "id": F.coalesce(doc_id, F.lit(0)), "no_id": doc_id.isNull()})
+    with_key = positional(docs).withColumns({"k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text), "id": F.coalesce(doc_id, F.lit(0)), "no_id": doc_id.isNull()})
     one = with_key.join(chosen, key, "left_semi").dropDuplicates(key)
     return one.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])

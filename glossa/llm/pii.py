@@ -1,24 +1,32 @@
 """Pseudonyms for personal data that keep the format: a keyed Feistel permutation over the symbols of each value.
 
 DataFrame functions only. A value keeps its length, separators, letter case and symbol kinds; one key maps equal values
-to equal pseudonyms in every document and different values to different ones. Numbers and dates are validated first:
-cards by the Luhn sum, IBANs by their country's length and modulo 97, addresses by octet range, dates by the calendar, and their pseudonyms are
-valid again. What fails its validation is left as it is.
+to equal pseudonyms in every document and different values of a kind to different ones: each kind is permuted within its
+own set of valid strings. Numbers and dates are validated first: cards by the Luhn sum, IBANs by their country's length,
+modulo 97 and check digits 02 to 98, addresses by octets without leading zeros up to 255, social security numbers by area
+(not 000, 666 or from 900), group and serial, dates by the calendar of 1800 to 2199, and their pseudonyms are valid again.
+What fails its validation is left as it is. A phone's country code, an email's last label and the name before a secret stay.
+
+The key is the caller's secret; queries take it from the session's setting KEY_SETTING, and DEFAULT_KEY, which anybody can
+read here and so protects nothing, only where that is unset.
 
 Defined cases: a null text stays null, an empty one empty, both with counts of 0; texts are scanned whole; repeated rows
 get equal results; an empty table gives an empty one; only the named text column is read, and columns of the input that
-have the names of the added counts are replaced.
+have the names of the added counts are replaced (all others stay, whatever their names).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm.session import positional
+
 ROUNDS = 8
 DEFAULT_KEY = "glossa-demonstration-key"
+KEY_SETTING = "spark.glossa.pii.key"
 
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -85,8 +93,9 @@ def permuted(x: Column, key: str, kind: str) -> Column:
 
     def round_(halves: Column, r: Column) -> Column:
         left, right = halves["left"], halves["right"]
-        # the noise is bound to a name, or it would be hashed again for each symbol
-        moved = F.transform(F.array(_noise(key, kind, r, text(right))), lambda noise: F.transform(left, lambda c, i: _shift(c, _number(noise, F.pmod(i, F.lit(16)) * 4 + 1, 4))))[0]
+        # one hash for each 16 symbols, bound to a name, or it would be made again for each symbol
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(left) / 16).cast("int")), lambda b: _noise(key, kind, r, F.concat_ws("\x1e", text(right), b.cast("string"))))
+        moved = F.transform(F.array(blocks), lambda noise: F.transform(left, lambda c, i: _shift(c, _number(F.get(noise, F.floor(i / 16).cast("int")), F.pmod(i, F.lit(16)) * 4 + 1, 4))))[0]
         return F.struct(right.alias("left"), moved.alias("right"))
 
     symbols = F.filter(_chars(x), lambda c: c.rlike("[A-Za-z0-9]"))
@@ -104,16 +113,17 @@ def permuted(x: Column, key: str, kind: str) -> Column:
     )
 
 
-def permuted_number(x: Column, a: int, b: int, key: str, kind: str) -> Column:
+def permuted_number(x: Column, a: Column | int, b: Column | int, key: str, kind: str) -> Column:
     """A keyed permutation of 0 to a * b - 1: the same rounds on the quotient and the remainder."""
+    a, b = [F.lit(n) if isinstance(n, int) else n for n in (a, b)]
 
     def round_(s: Column, r: Column) -> Column:
         even = F.pmod(r, F.lit(2)) == 0
-        hi = F.when(even, F.pmod(s["hi"] + _number(_noise(key, kind, r, s["lo"].cast("string")), 1, 14), F.lit(a))).otherwise(s["hi"])
-        lo = F.when(even, s["lo"]).otherwise(F.pmod(s["lo"] + _number(_noise(key, kind, r, s["hi"].cast("string")), 1, 14), F.lit(b)))
+        hi = F.when(even, F.pmod(s["hi"] + _number(_noise(key, kind, r, s["lo"].cast("string")), 1, 14), a)).otherwise(s["hi"])
+        lo = F.when(even, s["lo"]).otherwise(F.pmod(s["lo"] + _number(_noise(key, kind, r, s["hi"].cast("string")), 1, 14), b))
         return F.struct(hi.alias("hi"), lo.alias("lo"))
 
-    start = F.struct(F.floor(x / b).cast("long").alias("hi"), F.pmod(x, F.lit(b)).cast("long").alias("lo"))
+    start = F.struct(F.floor(x / b).cast("long").alias("hi"), F.pmod(x, b).cast("long").alias("lo"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: s["hi"] * b + s["lo"])
 
 
@@ -147,13 +157,26 @@ def _iban(x: Column, key: str) -> Column:
 
 
 def _ip(x: Column, key: str) -> Column:
-    octets = F.transform(F.split(x, r"\."), lambda o: o.cast("long"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o)
-    return F.transform(F.array(permuted_number(number, 65536, 65536, key, "ip")), lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / 256**k), F.lit(256)).cast("long").cast("string") for k in (3, 2, 1, 0)]))[0]
+    """Among the addresses whose octets have as many digits each: 0 to 9, 10 to 99 or 100 to 255."""
+    octets = F.split(x, r"\.")
+    least = lambda o: F.when(F.length(o) == 1, 0).when(F.length(o) == 2, 10).otherwise(100).cast("long")
+    size = lambda o: F.when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156).cast("long")
+    rank = lambda k: F.get(octets, k).cast("long") - least(F.get(octets, k))
+    sizes = [size(F.get(octets, k)) for k in range(4)]
+    a, b = sizes[0] * sizes[1], sizes[2] * sizes[3]
+    number = (rank(0) * sizes[1] + rank(1)) * b + rank(2) * sizes[3] + rank(3)
+
+    def written(n: Column) -> Column:
+        hi, lo = F.floor(n / b).cast("long"), F.pmod(n, b)
+        ranks = [F.floor(hi / sizes[1]).cast("long"), F.pmod(hi, sizes[1]), F.floor(lo / sizes[3]).cast("long"), F.pmod(lo, sizes[3])]
+        return F.concat_ws(".", *[(r + least(F.get(octets, k))).cast("string") for k, r in enumerate(ranks)])
 
+    return F.transform(F.array(permuted_number(number, a, b, key, "ip")), written)[0]
 
-#: Days of the calendar's cycle of 400 years from 1800-01-01, as a product.
-DAYS = (27, 5411)
+
+#: Days of the calendar's cycle of 400 years from 1800-01-01, as a product; and those of them after a month's 12th.
+DAYS, LATE_DAYS = (27, 5411), (9, 9833)
+_FIRST = "1800-01-01"
 
 
 def _date_format(x: Column) -> Column:
@@ -166,12 +189,40 @@ _FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")
 
 def _days(x: Column) -> Column:
     day = reduce(lambda rest, k: F.when(_date_format(x) == k, F.try_to_timestamp(x, F.lit(_FORMATS[k])).cast("date")).otherwise(rest), range(4), F.lit(None).cast("date"))
-    return F.datediff(day, F.lit("1800-01-01").cast("date"))
+    return F.datediff(day, F.lit(_FIRST).cast("date"))
 
 
 def _date(x: Column, key: str) -> Column:
-    fresh = F.date_add(F.lit("1800-01-01").cast("date"), permuted_number(_days(x), *DAYS, key, "date").cast("int"))
-    return F.transform(F.array(fresh), lambda d: reduce(lambda rest, k: F.when(_date_format(x) == k, F.date_format(d, _FORMATS[k])).otherwise(rest), range(4), F.lit(None).cast("string")))[0]
+    """Among the days; a month/day/year among those after a month's 12th, as it could not be told from day/month/year else."""
+    first = F.lit(_FIRST).cast("date")
+    day = F.date_add(first, _days(x))
+    fresh = F.date_add(first, permuted_number(_days(x), *DAYS, key, "date").cast("int"))
+    # The late days in order: of month k since 1800 the first is the day firsts(k).
+    months = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    firsts = lambda k: F.datediff(F.add_months(first, k), first) - k * 12
+    rank = permuted_number((_days(x) - (months + 1) * 12).cast("long"), *LATE_DAYS, key, "late-date")
+
+    def late(r: Column) -> Column:
+        about = F.floor(r / 18.4369).cast("int")
+        month = F.array_max(F.filter(F.sequence(F.greatest(about - 3, F.lit(0)), F.least(about + 3, F.lit(4799))), lambda k: firsts(k) <= r))
+        return F.transform(F.array(month), lambda k: F.date_add(F.add_months(first, k), (r - firsts(k) + 12).cast("int")))[0]
+
+    made = F.when(_date_format(x) == 2, F.transform(F.array(rank), late)[0]).otherwise(fresh)
+    return F.transform(F.array(made), lambda d: reduce(lambda rest, k: F.when(_date_format(x) == k, F.date_format(d, _FORMATS[k])).otherwise(rest), range(4), F.lit(None).cast("string")))[0]
+
+
+def _ssn(x: Column, key: str) -> Column:
+    """Area (898 of them), group and serial together."""
+    number = lambda at, n: F.substring(x, at, n).cast("long")
+    area = number(1, 3) - 1 - (number(1, 3) > 666).cast("long")
+    low = permuted_number((area * 99 + number(5, 2) - 1) * 9999 + number(8, 4) - 1, 898 * 99, 9999, key, "ssn")
+
+    def written(n: Column) -> Column:
+        place = F.floor(n / (99 * 9999)).cast("long") + 1
+        parts = [(place + (place >= 666).cast("long"), 3), (F.pmod(F.floor(n / 9999).cast("long"), F.lit(99)) + 1, 2), (F.pmod(n, F.lit(9999)) + 1, 4)]
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), w, "0") for p, w in parts])
+
+    return F.transform(F.array(low), written)[0]
 
 
 def _secret(x: Column, key: str) -> Column:
@@ -190,12 +241,12 @@ def _email(x: Column, key: str) -> Column:
 def kind_of(x: Column) -> Column:
     """The kind of a match after validation; null if no kind holds."""
     whole = lambda k: x.rlike(f"^(?:{PATTERNS[k]})$")
-    octets = F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255)
+    octets = F.forall(F.split(x, r"\."), lambda o: (o.cast("int") <= 255) & ~o.rlike("^0[0-9]"))
     day = _days(x)
     tests = {
         "email": whole("email"),
         "secret": whole("secret"),
-        "iban": whole("iban") & (_mod97(F.concat(F.substr(F.replace(x, F.lit(" "), F.lit("")), F.lit(5)), F.substring(x, 1, 4))) == 1),
+        "iban": whole("iban") & F.substring(x, 3, 2).between("02", "98") & (_mod97(F.concat(F.substr(F.replace(x, F.lit(" "), F.lit("")), F.lit(5)), F.substring(x, 1, 4))) == 1),
         "ip": whole("ip") & octets,
         "date": whole("date") & day.between(0, DAYS[0] * DAYS[1] - 1),
         "ssn": whole("ssn") & ~x.rlike("^(000|666|9)|-00-|-0000$"),
@@ -209,10 +260,7 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     """x in its kind's format under the key; x itself where the kind is null."""
     plain = F.regexp_extract(x, r"^(\+[0-9]{1,3}(?:[ .-]|(?=\())?)?", 0)
     phone = F.concat(plain, permuted(F.substring(x, F.length(plain) + 1, F.length(x)), key, "phone"))
-    area = F.substring(x, 1, 4)
-    low = permuted_number((F.substring(x, 5, 2).cast("long") - 1) * 9999 + F.substring(x, 8, 4).cast("long") - 1, 99, 9999, key, "ssn")
-    ssn = F.transform(F.array(low), lambda n: F.concat(area, F.lpad((F.floor(n / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.pmod(n, F.lit(9999)) + 1).cast("string"), 4, "0")))[0]
-    made = {"email": _email(x, key), "secret": _secret(x, key), "iban": _iban(x, key), "ip": _ip(x, key), "date": _date(x, key), "ssn": ssn, "card": _card(x, key), "phone": phone}
+    made = {"email": _email(x, key), "secret": _secret(x, key), "iban": _iban(x, key), "ip": _ip(x, key), "date": _date(x, key), "ssn": _ssn(x, key), "card": _card(x, key), "phone": phone}
     return reduce(lambda rest, k: F.when(kind == k, made[k]).otherwise(rest), made, x)
 
 
@@ -221,19 +269,20 @@ def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -
 
     Matches are found from the left and don't overlap. The key belongs to the caller; under one key equal values agree.
     """
-    t = F.col(f"`{text}`")
+    columns = docs.columns
+    rows, t = positional(docs), F.col(f"_{columns.index(text)}")
     found = F.when(hinted(t), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    counted = [f"n_{k}" for k in PATTERNS]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in [*counted, "n_pii", "__found", "__made"] and c != text]
-    first = docs.select(*kept, t.alias(text), found.alias("__found"))
-    many = F.size("__found") > 0
-    made = F.when(many, F.transform("__found", lambda m: F.transform(F.array(F.struct(m.alias("m"), kind_of(m).alias("kind"))), lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["m"], s["kind"], key).alias("made")))[0]))
-    second = first.select(*kept, t.alias(text), made.alias("__made"))
+    made = F.transform("found", lambda m: F.transform(F.array(F.struct(m.alias("m"), kind_of(m).alias("kind"))), lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["m"], s["kind"], key).alias("made")))[0])
+    rows = rows.withColumn("found", found).withColumn("made", F.when(F.size("found") > 0, made)).drop("found")
     between = F.split(t, ANY, -1)
-    joined = F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__made"), i)["made"], F.lit("")))), "")
-    count = lambda k: F.coalesce(F.size(F.filter(F.col("__made"), lambda m: m["kind"] == k)), F.lit(0)).cast("long")
-    counts = [F.when(F.col("__made").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"n_{k}") for k in PATTERNS]
-    out = second.select(*kept, F.when(F.col("__made").isNull(), t).otherwise(joined).alias(text), *counts)
-    out = out.withColumn("n_pii", sum((F.col(c) for c in counted[1:]), F.col(counted[0])))
-    names = [c for c in docs.columns if c not in [*counted, "n_pii", "__found", "__made"]]
-    return out.select(*[F.col(f"`{c}`") for c in names], *counted, "n_pii")
+    joined = F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("made"), i)["made"], F.lit("")))), "")
+    count = lambda k: F.coalesce(F.size(F.filter(F.col("made"), lambda m: m["kind"] == k)), F.lit(0)).cast("long")
+    counts = {f"n_{k}": F.when(F.col("made").isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in PATTERNS}
+    added = [*counts, "n_pii"]
+    out = rows.select(*[F.when(F.col("made").isNull(), t).otherwise(joined).alias(f"_{i}") if c == text else F.col(f"_{i}") for i, c in enumerate(columns)], *[c.alias(k) for k, c in counts.items()])
+    out = out.withColumn("n_pii", sum((F.col(c) for c in added[1:-1]), F.col(added[0])))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns) if c not in added], *added)
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEFAULT_KEY)

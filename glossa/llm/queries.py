@@ -19,7 +19,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,8 @@ def ranges(df: DataFrame, each: int = 4 << 20) -> int:
     """Key ranges so that one range gets a bounded share of the input, however large it is."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, input_bytes(df) // each + 1)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, ... by place, so that no name of its own clashes with an operator's."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
