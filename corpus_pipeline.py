@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars is that of the new text."""
-    return _documents(pii.pseudonymised(docs.select(*COLUMNS)))
+    return _documents(pii.pseudonymised(docs.select(*COLUMNS), pii.session_key(spark)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
