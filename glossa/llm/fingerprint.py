@@ -7,7 +7,10 @@ character class and step, how many steps the walk stays. A fingerprint samples S
 same steps for all texts of about one length (each slot takes the step with the smallest hash of those below the
 walk's length), and keeps 8 bits of the characters there.
 
-Not built: bands of sampled slots that find candidates anywhere in a corpus, and their check by the texts' edit distance.
+Bands of sampled slots are the keys of buckets: two texts that agree in a share p of their slots share one of 32 bands of 6
+slots with probability 0.78 at p = 0.6, 0.98 at 0.7 and 1.00 at 0.8. Candidates are verified by the edit distance of the whole
+texts (`near_classes` for any pairs of a corpus, `compared` for neighbours). The embedding is random: two walks may stay apart
+after an early edit, so `near_classes` misses some links (3 of 120 documents of its test), but joins nothing that distances don't.
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint; texts are walked whole; equal texts have
 equal fingerprints; repeated rows get equal rows; an empty table gives an empty one; other columns are not read.
@@ -18,16 +21,23 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.llm.arrays import mix
+from glossa.llm.neardup import grouped, keyed_texts
+from glossa.llm.session import ranges, written
 
 SLOTS = 128
+#: Bands of sampled slots, and the edit similarity that links two texts.
+BANDS, BAND_SLOTS, SIMILARITY = 32, 6, 0.8
+CELLS = 16
 CLASSES, PERIOD = 64, 1024
 MASK = PERIOD - 1
 
@@ -62,9 +72,17 @@ for _i, _r in enumerate(_RECORDS):
     _TABLE[_i, : len(_r)] = _r
 
 
+#: The slots of each band, drawn without repeats inside a band.
+_BAND_PLACES = np.stack([np.random.Generator(np.random.PCG64(100 + k)).choice(SLOTS, BAND_SLOTS, replace=False) for k in range(BANDS)])
+
+
+def classes_of(text: np.ndarray) -> np.ndarray:
+    return ((text * np.uint32(2654435761)) >> np.uint32(26)).astype(np.uint8)
+
+
 def walk(text: np.ndarray, start: int = 0) -> np.ndarray:
     """The steps at which the walk reaches each character of the text (code points) and, last, its end, from a first step on."""
-    classes = ((text * np.uint32(2654435761)) >> np.uint32(26)).astype(np.uint8).tobytes()
+    classes = classes_of(text).tobytes()
     at = start
     return np.array(array("q", [at, *[at := at + stays[at & MASK] for stays in map(_STAYS.__getitem__, classes)]]))
 
@@ -94,6 +112,55 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
+def band_keys(fingerprint: bytes) -> np.ndarray:
+    """BANDS 64-bit keys of BAND_SLOTS sampled slots each."""
+    slots = np.frombuffer(fingerprint, np.uint8)[_BAND_PLACES].astype(np.uint64)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_SLOTS):
+        out = mix(out * np.uint64(256) + slots[:, k] + np.uint64(1))
+    return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    """The least number of inserted, deleted and replaced characters, by bit vectors over the shorter text."""
+    if len(a) > len(b):
+        a, b = b, a
+    start = len(commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    end = len(commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)  # vertical steps of +1 and -1 of the current column
+    for c in b:
+        match = places.get(c, 0)
+        zero = (((match & up) + up) ^ up) | match | down
+        right, left = down | (full & ~(zero | up)), up & zero  # horizontal steps
+        if right & top:
+            distance += 1
+        elif left & top:
+            distance -= 1
+        right = (right << 1 | 1) & full
+        left = (left << 1) & full
+        up, down = left | (full & ~(zero | right)), right & zero
+    return distance
+
+
+def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """1 less the edit distance by the longer length; 0 if it is below `least`; 1 for two empty texts."""
+    longer = max(len(a), len(b))
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < least * longer:
+        return 0.0
+    found = 1 - edit_distance(a, b) / longer
+    return found if found >= least else 0.0
+
+
 def edited(text: str, other: str) -> str:
     """text with its last half (rounded down) replaced by as many code points from the start of other, or all that it has."""
     half = len(text) // 2
@@ -115,83 +182,140 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
     return chosen.mapInArrow(run, T.StructType([*chosen.schema, T.StructField("fingerprint", T.StringType())]))
 
 
-def _beside(docs: DataFrame) -> DataFrame:
-    """doc_id, text and __part, __rank: rows dealt to ranges of descending doc_id; the row that follows a range is in it too (rank 1).
+RESULT = T.StructType([T.StructField(n, t) for n, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()), ("next_similarity", T.DoubleType()))])
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
 
-    Only doc_ids are read to find the ranges' bounds and first rows; the texts are shuffled once.
-    """
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    ids = docs.where(F.col("doc_id").isNotNull()).select((-F.col("doc_id").cast("double")).alias("at"))
-    bounds = sorted(set(ids.approxQuantile("at", [i / parts for i in range(1, parts)], 0.25 / parts)) if parts > 1 else [])
-    # The bounds number one less than the parts, whatever the table's size.
-    at = -F.col("doc_id").cast("double")
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(edges, lambda b: b < at)))
-    heads = {r["part"]: r["head"] for r in docs.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    full = sorted(heads)
-    follows = {p: full[(i + 1) % len(full)] for i, p in enumerate(full)}
-    copies = F.array(F.struct(part.alias("part"), F.lit(0).alias("rank")))
-    for p, after in follows.items():
-        head = heads[after]
-        is_head = F.col("doc_id").isNull() if head is None else F.col("doc_id") == head
-        copies = F.concat(copies, F.when(is_head & (part == after), F.array(F.struct(F.lit(p).alias("part"), F.lit(1).alias("rank")))).otherwise(F.array().cast("array<struct<part:int,rank:int>>")))
-    dealt = docs.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", F.col("c.part").alias("__part"), F.col("c.rank").alias("__rank"))
-    count = max(len(bounds) + 1, 1)
-    return dealt.repartition(count, "__part").sortWithinPartitions("__part", "__rank", F.col("doc_id").desc_nulls_last(), F.col("text"))
+
+class _Comparer:
+    """Results of a text and the text after it; the last walk is kept, as the next row asks for it again."""
+
+    def __init__(self):
+        self.last: tuple | None = None
+
+    def walked(self, text: str) -> tuple:
+        if self.last is None or self.last[0] is not text:
+            points = code_points(text)
+            steps = walk(points)
+            self.last = (text, points, steps, _sample(points, steps))
+        return self.last[1:]
+
+    def row(self, text: str, after: str) -> tuple:
+        points, steps, own = self.walked(text)
+        next_points, _, next_own = self.walked(after)
+        half = len(points) // 2
+        tail, split = next_points[:half], len(points) - half
+        # Up to the split the edited text's walk is the text's own.
+        new = _sample(np.concatenate([points[:split], tail]), np.concatenate([steps[:split], walk(tail, int(steps[split]))]))
+        meet = bool((band_keys(own) == band_keys(next_own)).any())
+        digest = hashlib.sha256(edited(text, after).encode()).hexdigest()
+        return len(points), digest, own.hex(), new.hex(), likeness(own, new), likeness(own, next_own), edit_similarity(text, after, SIMILARITY) if meet else None
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next against the next document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_similarity.
+
+    Each document is compared with the next: that of the next smaller doc_id, after the last one the first; rows of equal
+    doc_id stand in the order of their texts' hashes, null doc_ids last. A single document is its own next.
+    next_similarity: where the two share a band, one less their edit distance by the longer length if that is at least
+    SIMILARITY, else 0; null where they share none.
 
-    The next document is that of the next smaller doc_id, after the last one the first; rows of equal doc_id stand in
-    the order of their texts, null doc_ids last. A single document is its own next.
+    Rows are sorted by ranges of doc_id, whose number follows the input's size. A range's last row meets its next in a
+    second step that reads one first and one last row a range.
     """
-    kind = docs.schema["doc_id"].dataType
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
+    rows = docs.select("doc_id", "text").repartitionByRange(ranges(docs, 32 << 20), *order).sortWithinPartitions(*order, "text")
+    names = ["doc_id", *RESULT.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held: list[tuple] = []  # rows not answered yet: the last waits for its next
-        last: list = []  # the text that was walked last, with its walk and fingerprint
-
-        def answered(rows: list[tuple]) -> pa.RecordBatch | None:
-            """Of rows in order, all but the last that are not copies (rank 0), each with the row after it."""
-            out: list[tuple] = []
-            for (doc, text, _, rank), (_, after, _, _) in zip(rows[:-1], rows[1:], strict=True):
-                if last and last[0] is text:
-                    points, steps, own = last[1:]
-                else:
-                    points = code_points(text)
-                    own = _sample(points, steps := walk(points))
-                next_points = code_points(after)
-                next_own = _sample(next_points, next_steps := walk(next_points))
-                last[:] = [after, next_points, next_steps, next_own]
-                if rank:
-                    continue
-                half = len(points) // 2
-                tail, split = next_points[:half], len(points) - half
-                # Up to the split the edited text's walk is the text's own.
-                new = _sample(np.concatenate([points[:split], tail]), np.concatenate([steps[:split], walk(tail, int(steps[split]))]))
-                digest = hashlib.sha256(edited(text, after).encode()).hexdigest()
-                out.append((doc, len(points), digest, own.hex(), new.hex(), likeness(own, new), likeness(own, next_own)))
-            if not out:
-                return None
-            kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t if t is not None else id_type) for j, t in enumerate(kinds)], names=names)
-
-        id_type = None
+        compare, before, first, id_type = _Comparer(), None, None, None
+        part = TaskContext.get().partitionId()
+
+        def batch(out: list[tuple], edge: tuple | None) -> pa.RecordBatch:
+            columns = [pa.array([r[j] for r in out], t) for j, t in enumerate([id_type, *_KINDS])]
+            edges = [pa.array([v] * len(out), t) for v, t in zip(edge or (None, None, None), (pa.int32(), pa.string(), pa.string()), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, *edges], names=[*names, "part", "first_text", "last_text"])
+
         for big in batches:
             id_type = big.schema.field("doc_id").type
+            for start in range(0, big.num_rows, 1500):
+                b, out = big.slice(start, 1500), []
+                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    text = text or ""
+                    if before is None:
+                        first = text
+                    else:
+                        out.append((before[0], *compare.row(before[1], text)))
+                    before = (doc, text)
+                if out:
+                    yield batch(out, None)
+        if before is not None:
+            yield batch([(before[0], *[None] * len(_KINDS))], (part, first, before[1]))
+
+    schema = T.StructType([T.StructField("doc_id", kind), *RESULT, T.StructField("part", T.IntegerType()), T.StructField("first_text", T.StringType()), T.StructField("last_text", T.StringType())])
+    done, _ = written(rows.mapInArrow(run, schema), "fingerprints")
+    edges = done.where("part is not null")
+    # Which range follows which: only the ranges' numbers meet.
+    parts = edges.select("part").withColumn("then", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.lit(-1)))
+    head = edges.agg(F.min("part").alias("head"))
+    follows = parts.crossJoin(F.broadcast(head)).select("part", F.when(F.col("then") < 0, F.col("head")).otherwise(F.col("then")).alias("then"))
+    ends = edges.select("part", "doc_id", "last_text").join(follows, "part").join(edges.select(F.col("part").alias("then"), F.col("first_text").alias("after")), "then").select("doc_id", "last_text", "after")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            compare = _Comparer()
+            out = [compare.row(x, y) for x, y in zip(b.column("last_text").to_pylist(), b.column("after").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r[j] for r in out], t) for j, t in enumerate(_KINDS)]], names=names)
+
+    last = ends.mapInArrow(finish, T.StructType([T.StructField("doc_id", kind), *RESULT]))
+    return done.where("part is null").select(*names).unionByName(last)
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, k1, k2) with the bucket keys of their fingerprints."""
+    names = ["doc_id", "k1", "k2", *[f"b{k}" for k in range(BANDS)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
             for start in range(0, big.num_rows, 1500):
                 b = big.slice(start, 1500)
-                fresh = list(zip(b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()], b.column("__part").to_pylist(), b.column("__rank").to_pylist(), strict=True))
-                # A range's copies come after its rows: only the first of them is looked at, by the range's last row.
-                held += fresh
-                if (found := answered(held)) is not None:
-                    yield found
-                held = held[-1:]
-
-    out = T.StructType([T.StructField("doc_id", kind)])
-    for name, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())):
-        out = out.add(name, t)
-    return _beside(docs.select("doc_id", "text")).mapInArrow(run, out)
+                keys = np.stack([band_keys(f) for f in fingerprints([t or "" for t in b.column("text").to_pylist()])])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:3]], *map(pa.array, np.ascontiguousarray(keys.T).view(np.int64))], names=names)
+
+    return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), one row per row of docs: classes of texts linked by edit similarity.
+
+    Texts that share a band of sampled slots are candidates; pairs whose lengths or numbers of characters by class already
+    rule the similarity out are spared, all others of different classes verified by the edit distance of the whole texts.
+    """
+    keyed = keyed_texts(docs)
+    cells = [f"c{k}" for k in range(CELLS)]
+
+    def describe(texts: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
+        table = kept(texts, "texts")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                points = [code_points(t or "") for t in b.column("text").to_pylist()]
+                counts = np.stack([np.bincount(classes_of(p) % CELLS, minlength=CELLS) for p in points]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(counts.sum(1)), pa.array(np.zeros(len(points))), *map(pa.array, np.ascontiguousarray(counts.T))], names=["node", "total", "alone", *cells])
+
+        return table, kept(table.mapInArrow(run, "node bigint, total double, alone double, " + ", ".join(f"{c} double" for c in cells)), "counts")
+
+    def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        names = pairs.columns
+        side = lambda c: table.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = zip(b.column("t_a").to_pylist(), b.column("t_b").to_pylist(), strict=True)
+                near = pa.array([edit_similarity(x or "", y or "", similarity) >= similarity for x, y in texts], pa.bool_())
+                yield b.select(names).filter(near)
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "t_a", "t_b").mapInArrow(run, pairs.schema)
+
+    needed = lambda a, b: F.greatest(a, b) * similarity
+    return grouped(keyed, _described(keyed), [f"b{k}" for k in range(BANDS)], describe, verified, needed, similarity).select("doc_id", "class_id")

@@ -25,11 +25,11 @@ empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.arrays import Words, grams, mix, slices, utf8, words
@@ -145,7 +145,7 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text and a 128-bit hash of the text in k1 and k2."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"))
@@ -233,60 +233,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, k1, k2 (the text's hash), label (of its class, a long) and class_id."""
-    spark, folders = docs.sparkSession, []
-
-    def kept(df: DataFrame, kind: str) -> DataFrame:
-        out, path = written(df, f"near-{kind}")
-        folders.append(path)
-        return out
-
-    keyed = _keyed(docs)
-    rarity = spark.sparkContext.broadcast(word_frequencies(keyed))
-    release(spark)
-    signed = kept(_signed(keyed, rarity), "signed")
-    keys = [f"b{k}" for k in range(BANDS)]
-    nodes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *[F.min(b).alias(b) for b in keys])
-    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    named = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = kept(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "keys")
-    members = kept(named.join(shared, "key"), "members")
-    # The text of each member, once.
-    known = ["k1", "k2", "id", "no_id"]
-    with_id = lambda df, c: df.withColumns({"id": F.coalesce(c, F.lit(0)), "no_id": F.col(c).isNull()})
-    wanted = kept(with_id(members.select("node").distinct().join(nodes, "node"), "first").select("node", *known), "wanted")
-    # Never by broadcast, as the members grow with the input.
-    texts = with_id(keyed, "doc_id").select("text", *known).join(wanted.hint("merge"), known).dropDuplicates(known).select("node", "text")
-    weighed = kept(_weighed(texts, rarity), "weights")
-    release(spark)
+def linked(members: DataFrame, profile: DataFrame, verify: Callable[[DataFrame], DataFrame], needed: Callable[[Column, Column], Column], similarity: float, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Edges (one, other) that join all verified pairs of a bucket, from members (key, node) and profile (node, total, alone, c0, ...).
 
-    # What each text has alone, in all and by cell.
-    cells = [f"c{k}" for k in range(CELLS)]
-    each = weighed.select("node", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("node", "s.hashes", F.col("s.weights").cast("double").alias("weight"))
-    own = each.groupBy("hashes").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
-    cell = F.col("hashes").bitwiseAND(F.lit(CELLS - 1))
-    own = own.groupBy("node").agg(F.sum("weight").alias("alone"), *[F.sum(F.when(cell == k, F.col("weight")).otherwise(0.0)).alias(f"o{k}") for k in range(CELLS)])
-    less = [F.greatest(F.lit(0.0), F.col(c) - F.coalesce(f"o{k}", F.lit(0.0))).alias(c) for k, c in enumerate(cells)]
-    profile = kept(weighed.drop("hashes", "weights").join(own, "node", "left").select("node", "total", F.coalesce("alone", F.lit(0.0)).alias("alone"), *less), "profile")
-
-    need = similarity / (1 + similarity) * (1 - 1e-6)  # of the totals' sum, what two texts have to share
+    What two nodes share is at most the sum of the smaller values of their cells, c0 and so on, and at most total less
+    alone of either. A pair can only be verified if that is at least needed(total, total), which is at least similarity
+    times either total and grows with both. verify gives the rows of pairs (a, b, and others) that hold; kept writes tables.
+    """
+    cells = [c for c in profile.columns if c[0] == "c" and c[1:].isdigit()]
+    slack = 1 - 1e-6
     off = F.coalesce(F.try_divide("alone", "total"), F.lit(0.0))
     first = profile.select("node", "total", (F.col("total") - F.col("alone")).alias("common"), off.alias("off"))
     rest = kept(members.join(first, "node").withColumns({"class": F.col("node"), "class_off": F.col("off")}), "rest")
     links = []
-    for turn in range(PIVOT_ROUNDS):
+    for _ in range(PIVOT_ROUNDS):
         central = F.min(F.struct("off", "node", "total", "common", "class", "class_off")).alias("p")
         buckets = rest.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("total").alias("low"), F.max("total").alias("high"), central).where("least <> most")
         buckets = kept(buckets.select("key", "low", "high", F.col("p.off").alias("p_off"), F.col("p.node").alias("a"), F.col("p.total").alias("a_total"), F.col("p.common").alias("a_common"), F.col("p.class").alias("one"), F.col("p.class_off").alias("one_off")), "buckets")
         # A partner's total is at least the share of this one's, and at most what this one's common weight still allows.
-        possible = (F.col("common") >= F.col("total") * similarity * (1 - 1e-6)) & (F.col("high") >= F.col("total") * similarity * (1 - 1e-6)) & (F.col("common") >= need * (F.col("total") + F.col("low")))
+        least = F.col("total") * similarity * slack
+        possible = (F.col("common") >= least) & (F.col("high") >= least) & (F.col("common") >= needed(F.col("total"), F.col("low")) * slack)
         rest = kept(rest.join(buckets, "key").where(possible & (F.col("node") != F.col("a"))), "rest")
-        bound = F.least("common", "a_common") >= need * (F.col("total") + F.col("a_total"))
+        bound = F.least("common", "a_common") >= needed(F.col("total"), F.col("a_total")) * slack
         pairs = rest.where(bound & (F.col("class") != F.col("one"))).select("a", F.col("node").alias("b"), "one", "one_off", F.col("class").alias("other"), F.col("class_off").alias("other_off")).distinct()
-        found = kept(_verified(pairs, weighed, similarity), "links")
-        links.append(found.select("one", "other"))
-        links.append(found.select(F.col("a").alias("one"), F.col("b").alias("other")))
+        found = kept(verify(pairs), "links")
+        links += [found.select("one", "other"), found.select(F.col("a").alias("one"), F.col("b").alias("other"))]
         # Classes take the name of the most central class that they are linked to, and once more of that one's: this only
         # spares comparisons, the links say what is joined.
         turned = found.select(F.col("other").alias("one"), F.col("other_off").alias("one_off"), F.col("one").alias("other"), F.col("one_off").alias("other_off"))
@@ -296,19 +267,48 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         names = kept(up.join(far, "near", "left").select("other", F.coalesce("far", "near").alias("name"), F.coalesce("far_off", "near_off").alias("name_off")), "names")
         rest = rest.select("key", "node", "total", "common", "off", "class", "class_off").join(names, F.col("class") == names["other"], "left")
         rest = kept(rest.select("key", "node", "total", "common", "off", F.coalesce("name", "class").alias("class"), F.coalesce("name_off", "class_off").alias("class_off")), "rest")
-    release(spark)
+    release(members.sparkSession)
     # All pairs of different classes that the bounds allow.
     several = kept(rest.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key"), "several")
     full = kept(rest.join(several, "key", "left_semi").select("key", "node", "class").join(profile.drop("alone"), "node"), "full")
     x, y = [full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "total", *cells)]) for side in "xy"]
-    together = sum((F.least(f"x_{c}", f"y_{c}") for c in cells[1:]), F.least("x_c0", "y_c0"))
-    on = (x["key"] == y["key"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_class") != F.col("y_class")) & (together >= need * (F.col("x_total") + F.col("y_total")))
+    together = sum((F.least(f"x_{c}", f"y_{c}") for c in cells[1:]), F.least(f"x_{cells[0]}", f"y_{cells[0]}"))
+    on = (x["key"] == y["key"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_class") != F.col("y_class")) & (together >= needed(F.col("x_total"), F.col("y_total")) * slack)
     pairs = x.join(y, on).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    links.append(kept(_verified(pairs, weighed, similarity), "links").select(F.col("a").alias("one"), F.col("b").alias("other")))
-    edges = links[0]
-    for more in links[1:]:
+    edges = kept(verify(pairs), "links").select(F.col("a").alias("one"), F.col("b").alias("other"))
+    for more in links:
         edges = edges.unionByName(more)
-    parts = components(edges.where("one <> other"))
+    return edges.where("one <> other")
+
+
+def grouped(keyed: DataFrame, signed: DataFrame, keys: list[str], describe: Callable[[DataFrame, Callable], tuple[DataFrame, DataFrame]], verified: Callable[[DataFrame, DataFrame], DataFrame], needed: Callable[[Column, Column], Column], similarity: float) -> DataFrame:
+    """One row per row of keyed (doc_id, text, k1, k2): doc_id, k1, k2, label (of its class, a long) and class_id.
+
+    signed has doc_id, k1, k2 and bucket keys; describe gives of (node, text) the table that verified (pairs, table) reads
+    and the profile that `linked` reads.
+    """
+    spark, folders = keyed.sparkSession, []
+
+    def kept(df: DataFrame, kind: str) -> DataFrame:
+        out, path = written(df, f"near-{kind}")
+        folders.append(path)
+        return out
+
+    signed = kept(signed, "signed")
+    nodes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *[F.min(b).alias(b) for b in keys])
+    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    shared = kept(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "keys")
+    members = kept(named.join(shared, "key"), "members")
+    # The text of each member, once.
+    known = ["k1", "k2", "id", "no_id"]
+    with_id = lambda df, c: df.withColumns({"id": F.coalesce(c, F.lit(0)), "no_id": F.col(c).isNull()})
+    wanted = kept(with_id(members.select("node").distinct().join(nodes, "node"), "first").select("node", *known), "wanted")
+    # Never by broadcast, as the members grow with the input.
+    texts = with_id(keyed, "doc_id").select("text", *known).join(wanted.hint("merge"), known).dropDuplicates(known).select("node", "text")
+    table, profile = describe(texts, kept)
+    release(spark)
+    parts = components(linked(members, profile, lambda pairs: verified(pairs, table), needed, similarity, kept))
     firsts = kept(parts.join(nodes.select("node", "first"), "node"), "parts")
     least = kept(firsts.groupBy("label").agg(F.min("first").alias("class_id")), "least")
     of_part = firsts.select("node", "label").join(least, "label").withColumn("joined", F.lit(True))
@@ -321,6 +321,29 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", "k1", "k2", "label", "class_id")
 
 
+def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: doc_id, k1, k2 (the text's hash), label (of its class, a long) and class_id."""
+    keyed = keyed_texts(docs)
+    rarity = docs.sparkSession.sparkContext.broadcast(word_frequencies(keyed))
+    release(docs.sparkSession)
+
+    def describe(texts: DataFrame, kept: Callable) -> tuple[DataFrame, DataFrame]:
+        """Shingles of the texts; what each text has alone, in all and by cell."""
+        weighed = kept(_weighed(texts, rarity), "weights")
+        cells = [f"c{k}" for k in range(CELLS)]
+        each = weighed.select("node", F.explode(F.arrays_zip("hashes", "weights")).alias("s")).select("node", "s.hashes", F.col("s.weights").cast("double").alias("weight"))
+        own = each.groupBy("hashes").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+        cell = F.col("hashes").bitwiseAND(F.lit(CELLS - 1))
+        own = own.groupBy("node").agg(F.sum("weight").alias("alone"), *[F.sum(F.when(cell == k, F.col("weight")).otherwise(0.0)).alias(f"o{k}") for k in range(CELLS)])
+        less = [F.greatest(F.lit(0.0), F.col(c) - F.coalesce(f"o{k}", F.lit(0.0))).alias(c) for k, c in enumerate(cells)]
+        profile = weighed.drop("hashes", "weights").join(own, "node", "left").select("node", "total", F.coalesce("alone", F.lit(0.0)).alias("alone"), *less)
+        return weighed, kept(profile, "profile")
+
+    keys = [f"b{k}" for k in range(BANDS)]
+    needed = lambda a, b: (a + b) * (similarity / (1 + similarity))
+    return grouped(keyed, _signed(keyed, rarity), keys, describe, lambda pairs, table: _verified(pairs, table, similarity), needed, similarity)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the document's class), one row per row of docs."""
     return labelled(docs, similarity).select("doc_id", "class_id")
