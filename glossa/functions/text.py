@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,25 +92,36 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def whitespace_tokens(sents: DataFrame) -> DataFrame:
-    """doc_id, lang, sent_id, tok_id (from 1), form: the sentence split at white space."""
+    """doc_id, lang, sent_id, n (tokens of the sentence), tok_id (from 1), form: the sentence split at white space."""
     parts = F.filter(F.split("sentence", r"[ \t\n\r]+"), lambda t: t != "")
-    return sents.select("doc_id", "lang", "sent_id", F.posexplode(parts).alias("p", "form")).select("doc_id", "lang", "sent_id", (F.col("p") + 1).alias("tok_id"), "form")
+    rows = sents.select("doc_id", "lang", "sent_id", parts.alias("parts"))
+    return rows.select("doc_id", "lang", "sent_id", F.size("parts").alias("n"), F.posexplode("parts").alias("p", "form")).select("doc_id", "lang", "sent_id", "n", (F.col("p") + 1).alias("tok_id"), "form")
 
 
-#: Ordered rewrites: each separates what its group matches by blanks.
+#: Ordered rewrites of treebank tokenisation; each separates what its groups match by blanks.
 TREEBANK = (
     (r'(^|[ (\[{<])"', "$1 `` "),
     (r"\.\.\.", " ... "),
     (r"([,;:@#$%&])", " $1 "),
+    (r"([^.])(\.)([\])}>'\" ]*)$", "$1 $2$3 "),
     (r"([?!])", " $1 "),
     (r"([\]\[(){}<>])", " $1 "),
     (r"--", " -- "),
     (r'"', " '' "),
-    (r"([^.])(\.)([\])}>'\" ]*)$", "$1 $2$3 "),
     (r"([^'])' ", "$1 ' "),
     (r"'([sSmMdD]) ", " '$1 "),
     (r"'(ll|re|ve|LL|RE|VE) ", " '$1 "),
     (r"(n't|N'T) ", " $1 "),
+    (r" ([Cc])annot ", " $1an not "),
+    (r" ([Dd])'ye ", " $1' ye "),
+    (r" ([Gg])imme ", " $1im me "),
+    (r" ([Gg])onna ", " $1on na "),
+    (r" ([Gg])otta ", " $1ot ta "),
+    (r" ([Ll])emme ", " $1em me "),
+    (r" ([Mm])ore'n ", " $1ore 'n "),
+    (r" '([Tt])is ", " '$1 is "),
+    (r" '([Tt])was ", " '$1 was "),
+    (r" ([Ww])anna ", " $1an na "),
 )
 
 
@@ -127,6 +138,19 @@ def treebank_tokens(sents: DataFrame) -> DataFrame:
     return sents.select("doc_id", "lang", "sent_id", F.posexplode(treebank(F.col("sentence"))).alias("p", "form")).select("doc_id", "lang", "sent_id", (F.col("p") + 1).alias("tok_id"), "form")
 
 
+#: A run of letters, digits and marks, or one other character that isn't white space.
+PIECE = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"
+
+
+def offset_tokens(sents: DataFrame) -> DataFrame:
+    """doc_id, sent_id, tok_id (from 1), token, start, end: pieces with their places in the sentence (end exclusive)."""
+    rows = sents.select("doc_id", "lang", "sent_id", F.regexp_extract_all("sentence", F.lit(PIECE), F.lit(0)).alias("tokens"), F.split("sentence", PIECE, -1).alias("gaps"))
+    each = rows.select("doc_id", "sent_id", "gaps", F.posexplode("tokens").alias("p", "token")).select("doc_id", "sent_id", "p", "token", F.length(F.get("gaps", F.col("p"))).alias("gap"))
+    w = Window.partitionBy("doc_id", "sent_id").orderBy("p")
+    start = F.sum("gap").over(w) + F.coalesce(F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.select("doc_id", "sent_id", (F.col("p") + 1).alias("tok_id"), "token", start.alias("start"), (start + F.length("token")).alias("end"))
+
+
 #: Contracted forms by language. French ones come out in small letters, German and Spanish keep a capital.
 CONTRACTIONS = {
     "fr": {"au": "à le", "aux": "à les", "du": "de le", "des": "de les", "auquel": "à lequel", "duquel": "de lequel", "desquels": "de lesquels", "auxquels": "à lesquels"},

@@ -6,6 +6,9 @@ they stand in for a corpus and are not linguistics.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +23,34 @@ def in_order() -> Window:
 
 
 def silver(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, sent_id, tok_id, form, tag, head, deprel, pred_tag, pred_head: rule-made annotation of documents.
+    """doc_id, lang, sent_id, n, tok_id, form, tag, head, deprel, pred_tag, pred_head, pred_deprel: rule-made annotation.
 
-    head is tok_id div 2, a tree with its root at 0; each tenth token's prediction is off.
+    Tokens form groups of four around their second; groups form clauses of four around their first, whose second token
+    hangs from the root. Heads lie on both sides; in every fifth group the last token hangs from the first, so its arc is
+    not projective. Each tenth token's prediction is off.
     """
     t = whitespace_tokens(sentences(docs))
-    f = F.col("form")
+    f, i = F.col("form"), F.col("tok_id")
     tag = (
         F.when(f.rlike("^[^A-Za-z0-9\\x80-\\x{10FFFF}]+$"), "PUNC")
         .when(f.rlike("[0-9]"), "NUM")
-        .when(f.rlike("^[A-Z]") & (F.col("tok_id") > 1), "PROP")
+        .when(f.rlike("^[A-Z]") & (i > 1), "PROP")
         .when(F.length("form") <= 3, "FUNC")
         .when(f.rlike("[dgn]$"), "VERB")
         .when(f.rlike("[esr]$"), "NOUN")
         .otherwise("WORD")
     )
-    t = t.withColumn("tag", tag).withColumn("head", F.floor(F.col("tok_id") / 2).cast("int"))
-    odd = (F.col("doc_id") * 31 + F.col("sent_id") * 7 + F.col("tok_id")) % 10 == 0
-    return t.select("*", F.concat_ws("_", "tag", F.when(F.col("head") == 0, "ROOT").otherwise("DEP")).alias("deprel"), F.when(odd, "NOUN").otherwise(F.col("tag")).alias("pred_tag"), F.when(odd & (F.col("tok_id") > 1), F.col("tok_id") - 1).otherwise(F.col("head")).alias("pred_head"))
+    group, place = F.floor((i - 1) / 4), (i - 1) % 4
+    before = F.when(group % 4 == 0, 0).otherwise(group * 4 - 2)
+    last = F.when((F.col("doc_id") + group) % 5 == 0, i - 3).otherwise(i - 2)
+    head = F.when(place == 0, F.when(i == F.col("n"), before).otherwise(i + 1)).when(place == 1, before).when(place == 2, i - 1).otherwise(last)
+    t = t.withColumn("tag", tag).withColumn("head", head.cast("int"))
+    odd = (F.col("doc_id") * 31 + F.col("sent_id") * 7 + i) % 10 == 0
+    t = t.withColumn("pred_tag", F.when(odd, F.when(F.col("tag") == "NOUN", "PROP").otherwise("NOUN")).otherwise(F.col("tag")))
+    t = t.withColumn("pred_head", F.when(odd & (i > 1), i - 1).otherwise(F.col("head")))
+    side = lambda h: F.when(F.col(h) == 0, "ROOT").when(F.col(h) < i, "LEFT").otherwise("RIGHT")
+    label = lambda tag_, h: F.concat_ws("_", tag_, side(h))
+    return t.withColumns({"deprel": label("tag", "head"), "pred_deprel": label("pred_tag", "pred_head")}).select("doc_id", "lang", "sent_id", "n", "tok_id", "form", "tag", "head", "deprel", "pred_tag", "pred_head", "pred_deprel")
 
 
 # --- vocabularies ---------------------------------------------------------------------------------------------------
@@ -124,8 +137,11 @@ def entity_tags(tokens: DataFrame, tag: str = "tag") -> DataFrame:
     return tokens.withColumn("bio", F.when(F.col(tag) != "PROP", "O").when(F.lag(tag).over(w) == "PROP", "I-PROP").otherwise("B-PROP"))
 
 
-def spans(tokens: DataFrame, tag: str = "bio") -> DataFrame:
-    """doc_id, sent_id, start, end, type of IO, BIO or BILOU tags; an inside or last tag without an open span opens one."""
+def spans(tokens: DataFrame, tag: str = "bio", extra: Sequence[str] = ()) -> DataFrame:
+    """doc_id, sent_id, start, end, type of IO, BIO or BILOU tags; an inside or last tag without an open span opens one.
+
+    extra: further columns, equal for all tokens of a sentence, to be kept.
+    """
     w = in_order()
     mark, kind = split_tag(F.col(tag))
     t = tokens.withColumn("mark", mark).withColumn("type", kind)
@@ -133,7 +149,7 @@ def spans(tokens: DataFrame, tag: str = "bio") -> DataFrame:
     inside = F.col("mark").isin("I", "L") & before_mark.isin("B", "I") & (before_type == F.col("type"))
     t = t.withColumn("opens", (~F.coalesce(inside, F.lit(False)) & F.col("type").isNotNull()).cast("int"))
     t = t.withColumn("span", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("type is not null")
-    return t.groupBy(*SENT, "span").agg(F.min("tok_id").alias("start"), F.max("tok_id").alias("end"), F.first("type").alias("type")).drop("span")
+    return t.groupBy(*SENT, *extra, "span").agg(F.min("tok_id").alias("start"), F.max("tok_id").alias("end"), F.first("type").alias("type")).drop("span")
 
 
 def retagged(tokens: DataFrame, found: DataFrame, scheme: str = "BILOU") -> DataFrame:
@@ -170,20 +186,26 @@ def uncovered(inner: DataFrame, outer: DataFrame) -> DataFrame:
 # --- trees ----------------------------------------------------------------------------------------------------------
 
 
-def ancestors(tokens: DataFrame, most: int = 24) -> DataFrame:
-    """doc_id, sent_id, tok_id, anc, depth: all ancestors of each token, by doubling the known paths.
+def ancestors(tokens: DataFrame, most: int = 64) -> DataFrame:
+    """doc_id, sent_id, tok_id, anc, depth (from 1): all ancestors of each token, the root (0) last, nearest first in depth.
 
-    most: doublings at most; the loop ends when no path grows.
+    Each sentence's heads are packed in one row and every token walks up them inside it, so tokens are shuffled once,
+    however deep the trees are. most bounds a path's length where heads form a cycle.
     """
-    known = tokens.select(*SENT, "tok_id", F.col("head").alias("anc"), F.lit(1).alias("depth"))
-    for _ in range(most):
-        a, b = known.alias("a"), known.alias("b")
-        longer = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.sent_id") == F.col("b.sent_id")) & (F.col("a.anc") == F.col("b.tok_id"))).select("a.doc_id", "a.sent_id", "a.tok_id", "b.anc", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = known.unionByName(longer).distinct()
-        if not longer.join(known, [*SENT, "tok_id", "anc"], "left_anti").limit(1).count():
-            return known
-        known = grown
-    return known
+    rows = tokens.groupBy(*SENT).agg(F.map_from_entries(F.collect_list(F.struct("tok_id", "head"))).alias("up"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, sent, of, up, depth = [], [], [], [], []
+            for d, s, heads in zip(b.column("doc_id").to_pylist(), b.column("sent_id").to_pylist(), map(dict, b.column("up").to_pylist()), strict=True):
+                for t in heads:
+                    at, k = t, 0
+                    while at in heads and k < max(most, len(heads)):
+                        at, k = heads[at], k + 1
+                        doc.append(d), sent.append(s), of.append(t), up.append(at), depth.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, sent, of, up, depth), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=[*SENT, "tok_id", "anc", "depth"])
+
+    return rows.mapInArrow(each, "doc_id bigint, sent_id int, tok_id int, anc int, depth int")
 
 
 def nonprojective(tokens: DataFrame, paths: DataFrame) -> DataFrame:
@@ -211,9 +233,30 @@ def sized(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("n", F.count("*").over(Window.partitionBy(*SENT)))
 
 
-def short(tokens: DataFrame, most: int) -> DataFrame:
-    """Tokens of sentences of at most so many tokens, with n."""
-    return sized(tokens).where(F.col("n") <= most)
+def with_heads(tokens: DataFrame) -> DataFrame:
+    """Tokens (m) joined with their heads (h); those under the root have none."""
+    return tokens.alias("m").join(tokens.alias("h"), (F.col("m.doc_id") == F.col("h.doc_id")) & (F.col("m.sent_id") == F.col("h.sent_id")) & (F.col("m.head") == F.col("h.tok_id")))
+
+
+def distance_limits(tokens: DataFrame) -> DataFrame:
+    """m_tag, h_tag, side (of the head: L or R), distance: the largest of each pair of tags and side in gold arcs."""
+    side = F.when(F.col("h.tok_id") < F.col("m.tok_id"), "L").otherwise("R")
+    return with_heads(tokens).groupBy(F.col("m.tag").alias("m_tag"), F.col("h.tag").alias("h_tag"), side.alias("side")).agg(F.max(F.abs(F.col("m.head") - F.col("m.tok_id"))).alias("distance"))
+
+
+def pruned_arcs(tokens: DataFrame, limits: DataFrame, keep_gold: bool = True) -> DataFrame:
+    """doc_id, sent_id, h, m, gold: root arcs, and arcs no longer than the limit of their tags and side; gold ones always, if asked.
+
+    Candidates are made by position within the longest limit and joined by equality, so no sentence is crossed with itself.
+    """
+    reach = limits.agg(F.max("distance")).first()[0] or 0
+    near = F.array(*[F.col("m") + k for k in range(-reach, reach + 1) if k]).cast("array<int>")
+    m = tokens.select(*SENT, F.col("tok_id").alias("m"), F.col("tag").alias("m_tag"), "head")
+    h = tokens.select(*SENT, F.col("tok_id").alias("h"), F.col("tag").alias("h_tag"))
+    arcs = m.withColumn("h", F.explode(near)).join(h, [*SENT, "h"]).withColumn("side", F.when(F.col("h") < F.col("m"), "L").otherwise("R"))
+    arcs = arcs.join(limits, ["m_tag", "h_tag", "side"], "left").where((F.abs(F.col("h") - F.col("m")) <= F.col("distance")) | (F.lit(keep_gold) & (F.col("h") == F.col("head"))))
+    both = arcs.select(*SENT, "h", "m", "head").unionByName(m.select(*SENT, F.lit(0).alias("h"), "m", "head"))
+    return both.select(*SENT, "h", "m", (F.col("h") == F.col("head")).cast("int").alias("gold"))
 
 
 def arc_candidates(tokens: DataFrame, reach: int | None = None) -> DataFrame:
@@ -246,9 +289,10 @@ def coparent_parts(arcs: DataFrame) -> DataFrame:
     return _pairs(arcs, (F.col("a.m") == F.col("b.m")) & (F.col("a.h") < F.col("b.h")), F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.col("a.m").alias("m"))
 
 
-def unigram_parts(tokens: DataFrame, allowed: DataFrame) -> DataFrame:
-    """doc_id, sent_id, tok_id, t, gold: each token with the tags that its form has had."""
-    return tokens.join(allowed, "form").select(*SENT, "tok_id", F.explode("tags").alias("t"), "tag").select(*SENT, "tok_id", "t", (F.col("t") == F.col("tag")).cast("int").alias("gold"))
+def unigram_parts(tokens: DataFrame, allowed: DataFrame, every: list[str] | None = None) -> DataFrame:
+    """doc_id, sent_id, tok_id, t, gold: each token with the tags that its form has had; a form not seen gets `every` tag."""
+    tags = F.coalesce("tags", F.array(*[F.lit(t) for t in every or []]).cast("array<string>"))
+    return tokens.join(allowed, "form", "left").select(*SENT, "tok_id", F.explode(tags).alias("t"), "tag").select(*SENT, "tok_id", "t", (F.col("t") == F.col("tag")).cast("int").alias("gold"))
 
 
 def bigram_parts(unigrams: DataFrame) -> DataFrame:
@@ -290,7 +334,7 @@ def top_heads(scored: DataFrame, k: int = 10, ratio: float = 1e-4) -> DataFrame:
 
 def chunk_scores(gold: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
     """by, n_gold, n_pred, n_correct, precision, recall, f1 of spans; a measure without cases is 0."""
-    key = [*SENT, "start", "end", "type", *by]
+    key = list(dict.fromkeys([*SENT, "start", "end", "type", *by]))
     both = gold.select(*key, F.lit(1).alias("g")).join(predicted.select(*key, F.lit(1).alias("p")), key, "full")
     sums = both.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("g", "n_gold"), ("p", "n_pred"))], F.coalesce(F.sum(F.col("g") * F.col("p")), F.lit(0)).alias("n_correct"))
     return rates(sums)
@@ -301,3 +345,106 @@ def rates(sums: DataFrame) -> DataFrame:
     r = F.coalesce(F.try_divide("n_correct", "n_gold"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("n_correct"), F.col("n_gold") + F.col("n_pred")), F.lit(0.0))
     return sums.select("*", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def label_scores(tokens: DataFrame, gold: str, predicted: str, also: Column | None = None) -> DataFrame:
+    """label, n_gold, n_pred, n_correct, precision, recall, f1 of token labels; also: what else a correct one needs."""
+    right = (F.col(gold) == F.col(predicted)) & (F.lit(True) if also is None else also)
+    sides = F.explode(F.array(F.struct(F.col(gold).alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p"), right.cast("int").alias("c")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p"), F.lit(0).alias("c"))))
+    rows = tokens.select(sides.alias("s")).groupBy("s.label").agg(F.sum("s.g").alias("n_gold"), F.sum("s.p").alias("n_pred"), F.sum("s.c").alias("n_correct"))
+    return rates(rows)
+
+
+def errors(tokens: DataFrame, by: list[str]) -> DataFrame:
+    """by (form, or before and after: the neighbours' tags), head_errors, label_errors, both_errors, n; where there is an error."""
+    w = in_order()
+    head, label = F.col("head") != F.col("pred_head"), F.col("deprel") != F.col("pred_deprel")
+    t = tokens.withColumns({"before": F.coalesce(F.lag("tag").over(w), F.lit(START)), "after": F.coalesce(F.lead("tag").over(w), F.lit(STOP))}) if "before" in by else tokens
+    count = lambda c: F.sum(c.cast("int"))
+    return t.groupBy(*by).agg(count(head).alias("head_errors"), count(label).alias("label_errors"), count(head & label).alias("both_errors"), F.count("*").alias("n")).where("head_errors + label_errors > 0")
+
+
+def folds(ids: DataFrame, n: int) -> DataFrame:
+    """doc_id, fold: runs of neighbouring ids of ceil(rows / n) rows, by ranks without a global window.
+
+    Ids are sorted in ranges; a range's rows are ranked inside it and shifted by the rows of the ranges before, of which only
+    the counts meet in one task.
+    """
+    total = ids.count()
+    size = max(1, -(-total // n))
+    parts = max(1, min(4096, total // 100_000 + 1))
+    rows = ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id())
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")))
+    return ranked.join(F.broadcast(before), "part").select("doc_id", F.floor((F.col("before") + F.col("rank") - 1) / size).alias("fold"))
+
+
+def typed_tags(tokens: DataFrame, tag: str, kinds: list[str]) -> DataFrame:
+    """tokens with bio: runs of one of the kinds of tags as entities of that type."""
+    w = in_order()
+    kind = F.when(F.col(tag).isin(kinds), F.col(tag))
+    return tokens.withColumn("bio", F.when(kind.isNull(), "O").when(F.lag(kind).over(w) == kind, F.concat(F.lit("I-"), kind)).otherwise(F.concat(F.lit("B-"), kind)))
+
+
+def arc_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """n_gold, n_pred, n_correct, n_labelled (also with the right role) of arcs (h, m, role)."""
+    key = [*SENT, "h", "m"]
+    g, p = gold.select(*key, F.col("role").alias("g")), predicted.select(*key, F.col("role").alias("p"))
+    one = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    both = F.col("g").isNotNull() & F.col("p").isNotNull()
+    return g.join(p, key, "full").agg(one(F.col("g").isNotNull()).alias("n_gold"), one(F.col("p").isNotNull()).alias("n_pred"), one(both).alias("n_correct"), one(both & (F.col("g") == F.col("p"))).alias("n_labelled"))
+
+
+def frame_confusions(tokens: DataFrame) -> DataFrame:
+    """gold, pred, n: labels of a head's modifiers in order, as annotated and as predicted, where they differ."""
+
+    def frames(head: str, label: str, name: str) -> DataFrame:
+        row = F.array_sort(F.collect_list(F.struct("tok_id", F.col(label).alias("l"))))
+        return tokens.where(F.col(head) > 0).groupBy(*SENT, F.col(head).alias("h")).agg(F.array_join(F.transform(row, lambda x: x["l"]), " ").alias(name))
+
+    both = frames("head", "deprel", "gold").join(frames("pred_head", "pred_deprel", "pred"), [*SENT, "h"], "full").where(~F.col("gold").eqNullSafe(F.col("pred")))
+    return both.groupBy(F.coalesce("gold", F.lit("")).alias("gold"), F.coalesce("pred", F.lit("")).alias("pred")).agg(F.count("*").alias("n"))
+
+
+def bigram_ids(tokens: DataFrame) -> DataFrame:
+    """t1, t2, id, n: neighbouring tags with their mixed-radix code over the sorted tags."""
+    tags = [r.tag for r in tokens.select("tag").distinct().orderBy("tag").collect()]  # a tag set, a few dozen at most
+    place = lambda c: F.array_position(F.array(*[F.lit(t) for t in tags]), c) - 1
+    pairs = tokens.select(F.lag("tag").over(in_order()).alias("t1"), F.col("tag").alias("t2")).where("t1 is not null").groupBy("t1", "t2").agg(F.count("*").alias("n"))
+    return pairs.select("t1", "t2", (place(F.col("t1")) * len(tags) + place(F.col("t2"))).alias("id"), "n")
+
+
+def bracket_bits(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, sent_id, tok_id, bit: spans (start, end, name) as (name at their first and name) at their last token, joined by |; - for none."""
+    order = F.struct("start", "end", "name")
+    alone = F.col("start") == F.col("end")
+    first = found.select(*SENT, F.col("start").alias("tok_id"), order.alias("o"), F.when(alone, F.concat(F.lit("("), "name", F.lit(")"))).otherwise(F.concat(F.lit("("), "name")).alias("piece"))
+    last = found.where(~alone).select(*SENT, F.col("end").alias("tok_id"), order.alias("o"), F.concat("name", F.lit(")")).alias("piece"))
+    bits = first.unionByName(last).groupBy(*SENT, "tok_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "piece"))), lambda x: x["piece"]), "|").alias("bit"))
+    return tokens.select(*SENT, "tok_id").join(bits, [*SENT, "tok_id"], "left").withColumn("bit", F.coalesce("bit", F.lit("-")))
+
+
+def bracket_spans(bits: DataFrame) -> DataFrame:
+    """doc_id, sent_id, start, end, name from bracket bits: a closing bracket ends the latest open one of its name.
+
+    Within a name, openings raise and closings lower a running level; an opening and the next closing of its level are a span.
+    """
+    pieces = bits.where("bit <> '-'").select(*SENT, "tok_id", F.posexplode(F.split("bit", r"\|")).alias("place", "piece"))
+    alone = pieces.where(r"piece rlike '^\\(.*\\)$'").select(*SENT, F.col("tok_id").alias("start"), F.col("tok_id").alias("end"), F.regexp_replace("piece", r"[()]", "").alias("name"))
+    rest = pieces.where(r"not piece rlike '^\\(.*\\)$'").select(*SENT, "tok_id", "place", F.regexp_replace("piece", r"[()]", "").alias("name"), F.col("piece").startswith("(").alias("opens"))
+    # At one token closings come before openings, so that a mention that begins where another of its name ends isn't closed at once.
+    w = Window.partitionBy(*SENT, "name").orderBy("tok_id", "opens", "place")
+    step = F.when(F.col("opens"), 1).otherwise(-1)
+    levels = rest.withColumn("sum", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("level", F.when(F.col("opens"), F.col("sum")).otherwise(F.col("sum") + 1))
+    same = Window.partitionBy(*SENT, "name", "level").orderBy("tok_id", "opens", "place")
+    pairs = levels.withColumn("then", F.lead("tok_id").over(same)).withColumn("closed", ~F.lead("opens").over(same)).where("opens and closed")
+    return alone.unionByName(pairs.select(*SENT, F.col("tok_id").alias("start"), F.col("then").alias("end"), "name"))
+
+
+def gazetteer_tags(entries: DataFrame) -> DataFrame:
+    """word, tags (sorted): for each word of entries (type, words) the places that it has in entries, as B, I, L or U and the type."""
+    n = F.size("words")
+    each = entries.select("type", n.alias("n"), F.posexplode("words").alias("p", "word"))
+    mark = F.when(F.col("n") == 1, "U").when(F.col("p") == 0, "B").when(F.col("p") == F.col("n") - 1, "L").otherwise("I")
+    return each.groupBy("word").agg(F.array_sort(F.collect_set(F.concat_ws("-", mark, "type"))).alias("tags"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,20 @@ TAGGER = [
 ]
 
 
+#: The flags' tests in their order, as SQL over form; and the bits that stay at a sentence's first word.
+FLAG_SQL = (
+    "regexp_matches(form, '[0-9]')", "regexp_matches(form, '^[0-9]+$')", "regexp_matches(form, '[A-Z]')", "regexp_matches(form, '^[A-Z]+$')", "regexp_matches(form, '^[A-Z]')",
+    "(regexp_matches(form, '[A-Z]') and regexp_matches(form, '[a-z]'))", "contains(form, '-')", "contains(form, '.')", "regexp_matches(form, '^\\p{P}+$')",
+)
+NO_CAPITALS = 511 - (4 | 8 | 16 | 32)
+
+
 def with_parts(tokens: DataFrame) -> DataFrame:
     """tokens with the columns that templates name. Flags of capitals don't count at a sentence's first word."""
     t = context(tokens)
     f = F.col("form")
     affixes = [F.when(F.length(f) >= n, part(f, n)).alias(f"{name}{n}") for name, part in (("prefix", prefix), ("suffix", suffix)) for n in range(1, 5)]
-    capitals = 4 | 8 | 16 | 32
-    bits = F.when(F.col("tok_id") == 1, flag_bits(f).bitwiseAND(F.lit(511 - capitals))).otherwise(flag_bits(f))
+    bits = F.when(F.col("tok_id") == 1, flag_bits(f).bitwiseAND(F.lit(NO_CAPITALS))).otherwise(flag_bits(f))
     return t.select("*", *affixes, bits.cast("string").alias("flags"))
 
 
@@ -43,9 +50,9 @@ def compiled(templates: list[tuple[str, list[str]]]) -> Column:
     return F.array_compact(F.array(*[F.concat(F.lit(name), *[x for c in cols for x in (F.lit(":"), F.col(c))]) for name, cols in templates]))
 
 
-def feature_rows(tokens: DataFrame, templates: list[tuple[str, list[str]]] = TAGGER) -> DataFrame:
-    """doc_id, sent_id, tok_id, tag, feature: one row for each feature of each token."""
-    return with_parts(tokens).select(*SENT, "tok_id", "tag", F.explode(compiled(templates)).alias("feature"))
+def feature_rows(tokens: DataFrame, templates: list[tuple[str, list[str]]] = TAGGER, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, sent_id, tok_id, tag, the columns to keep, feature: one row for each feature of each token."""
+    return with_parts(tokens).select(*SENT, "tok_id", "tag", *keep, F.explode(compiled(templates)).alias("feature"))
 
 
 def count_weights(features: DataFrame) -> DataFrame:
@@ -58,6 +65,17 @@ def scored(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.join(weights, "feature").groupBy(*SENT, "tok_id", "label").agg(F.sum("w").alias("score"))
 
 
+def gradient(features: DataFrame, predicted: str) -> DataFrame:
+    """feature, label, gradient: counts with the gold label less counts with the predicted one, where they differ."""
+    sides = F.explode(F.array(F.struct(F.col("tag").alias("label"), F.lit(1).alias("d")), F.struct(F.col(predicted).alias("label"), F.lit(-1).alias("d"))))
+    return features.where(F.col("tag") != F.col(predicted)).select("feature", sides.alias("s")).groupBy("feature", "s.label").agg(F.sum("s.d").alias("gradient")).where("gradient <> 0")
+
+
+def best_labels(scores: DataFrame) -> DataFrame:
+    """Each token's label of the largest score; of equal ones the first."""
+    return scores.groupBy(*SENT, "tok_id").agg(F.min_by("label", F.struct(-F.col("score"), "label")).alias("label"), F.max("score").alias("score"))
+
+
 class SequenceLearner:
     """First-order tagger by the structured perceptron or cost-augmented MIRA, with averaged weights."""
 

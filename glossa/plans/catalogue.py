@@ -43,19 +43,26 @@ TOKENS = r"""
 with recursive s0 as (select doc_id, lang, string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)) as l from documents where text is not null),
 s as (select * from (select doc_id, lang, unnest(range(len(l))) as sent_id, unnest(l) as sentence from s0) where trim(sentence) <> ''),
 w0 as (select doc_id, lang, sent_id, list_filter(string_split_regex(sentence, '[ \t\n\r]+'), lambda x: x <> '') as f from s),
-w as (select doc_id, lang, sent_id, unnest(range(1, len(f) + 1)) as tok_id, unnest(f) as form from w0),
+w as (select doc_id, lang, sent_id, len(f) as n, unnest(range(1, len(f) + 1)) as tok_id, unnest(f) as form from w0),
 tok0 as (select *, case when regexp_matches(form, '^[^A-Za-z0-9\x{80}-\x{10FFFF}]+$') then 'PUNC' when regexp_matches(form, '[0-9]') then 'NUM'
   when regexp_matches(form, '^[A-Z]') and tok_id > 1 then 'PROP' when length(form) <= 3 then 'FUNC' when regexp_matches(form, '[dgn]$') then 'VERB'
-  when regexp_matches(form, '[esr]$') then 'NOUN' else 'WORD' end as tag, tok_id // 2 as head, (doc_id * 31 + sent_id * 7 + tok_id) % 10 = 0 as odd from w),
-tok as (select *, tag || '_' || case when head = 0 then 'ROOT' else 'DEP' end as deprel, case when odd then 'NOUN' else tag end as pred_tag,
-  case when odd and tok_id > 1 then tok_id - 1 else head end as pred_head from tok0),
+  when regexp_matches(form, '[esr]$') then 'NOUN' else 'WORD' end as tag, (tok_id - 1) // 4 as grp, (tok_id - 1) % 4 as plc, (doc_id * 31 + sent_id * 7 + tok_id) % 10 = 0 as odd from w),
+tok1 as (select *, case when plc in (0, 1) and (plc = 1 or tok_id = n) then case when grp % 4 = 0 then 0 else grp * 4 - 2 end when plc = 0 then tok_id + 1 when plc = 2 then tok_id - 1
+  when (doc_id + grp) % 5 = 0 then tok_id - 3 else tok_id - 2 end as head, case when odd then case when tag = 'NOUN' then 'PROP' else 'NOUN' end else tag end as pred_tag from tok0),
+tok2 as (select *, case when odd and tok_id > 1 then tok_id - 1 else head end as pred_head from tok1),
+tok as materialized (select doc_id, lang, sent_id, n, tok_id, form, tag, head, tag || '_' || case when head = 0 then 'ROOT' when head < tok_id then 'LEFT' else 'RIGHT' end as deprel, pred_tag, pred_head,
+  pred_tag || '_' || case when pred_head = 0 then 'ROOT' when pred_head < tok_id then 'LEFT' else 'RIGHT' end as pred_deprel from tok2),
 bio as (select *, case when tag <> 'PROP' then 'O' when lag(tag) over k = 'PROP' then 'I-PROP' else 'B-PROP' end as bio,
   case when pred_tag <> 'PROP' then 'O' when lag(pred_tag) over k = 'PROP' then 'I-PROP' else 'B-PROP' end as pred_bio from tok window k as (partition by doc_id, sent_id order by tok_id)),
 gs as (select lang, doc_id, sent_id, min(tok_id) as start, max(tok_id) as "end" from (select *, sum((bio = 'B-PROP')::int) over (partition by doc_id, sent_id order by tok_id) as g from bio) where bio <> 'O' group by lang, doc_id, sent_id, g),
 ps as (select lang, doc_id, sent_id, min(tok_id) as start, max(tok_id) as "end" from (select *, sum((pred_bio = 'B-PROP')::int) over (partition by doc_id, sent_id order by tok_id) as g from bio) where pred_bio <> 'O' group by lang, doc_id, sent_id, g),
-sized as (select *, count(*) over (partition by doc_id, sent_id) as n from tok),
-arcs8 as (select doc_id, sent_id, h, tok_id as m, (h = head)::int::bigint as gold from (select *, unnest(range(0, n + 1)) as h from sized where n <= 8) where h <> tok_id),
-sc as (select *, ((h * 7 + m * 13 + doc_id % 11) % 17 + gold * 5)::double as score from arcs8)
+anc(doc_id, sent_id, tok_id, anc, depth) as (select doc_id, sent_id, tok_id, head::bigint, 1::bigint from tok union all select a.doc_id, a.sent_id, a.tok_id, t.head::bigint, a.depth + 1 from anc a join tok t on t.doc_id = a.doc_id and t.sent_id = a.sent_id and t.tok_id = a.anc),
+lim as materialized (select m.tag as mt, h.tag as ht, case when h.tok_id < m.tok_id then 'L' else 'R' end as side, max(abs(m.head - m.tok_id)) as d from tok m join tok h on m.doc_id = h.doc_id and m.sent_id = h.sent_id and m.head = h.tok_id group by 1, 2, 3),
+near as (select *, unnest([-4, -3, -2, -1, 1, 2, 3, 4]) as off from tok),
+arcs as materialized (select doc_id, sent_id, 0::bigint as h, tok_id as m, (head = 0)::int::bigint as gold from tok union all
+  select m.doc_id, m.sent_id, h.tok_id, m.tok_id, (m.head = h.tok_id)::int::bigint from near m join tok h on h.doc_id = m.doc_id and h.sent_id = m.sent_id and h.tok_id = m.tok_id + m.off
+  left join lim l on l.mt = m.tag and l.ht = h.tag and l.side = case when h.tok_id < m.tok_id then 'L' else 'R' end where abs(m.off) <= l.d or m.head = h.tok_id),
+sc as (select *, ((h * 7 + m * 13 + doc_id % 11) % 17 + gold * 5)::double as score from arcs)
 """
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -68,7 +75,7 @@ def sentences(t, docs):
     return X.sentences(docs)
 
 
-@query("select doc_id, lang, sent_id, tok_id, form, tag, head, deprel, pred_tag, pred_head from tok")
+@query("select doc_id, lang, sent_id, n, tok_id, form, tag, head, deprel, pred_tag, pred_head, pred_deprel from tok")
 def tokens_ws(t, docs):
     return t
 
@@ -100,11 +107,6 @@ def uni_len(t, docs):
     return t.groupBy("lang").agg(F.sum(X.unicode_length(F.col("form"))).alias("chars"))
 
 
-@query(r"select lang, count(*) as n from tok where regexp_matches(form, '^\p{P}+$') group by lang")
-def uni_punct(t, docs):
-    return t.where(F.col("form").rlike(r"^\p{P}+$")).groupBy("lang").agg(F.count("*").alias("n"))
-
-
 def _contraction_sql() -> str:
     whens = []
     for lang, table in X.CONTRACTIONS.items():
@@ -131,6 +133,11 @@ def treebank_tokens(t, docs):
     return X.treebank_tokens(X.sentences(docs))
 
 
+@query(f"select lang, count(*) as n from ({_treebank_sql()}) where regexp_matches(form, '^\\p{{P}}+$') group by lang")
+def uni_punct(t, docs):
+    return X.treebank_tokens(X.sentences(docs)).where(F.col("form").rlike(r"^\p{P}+$")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
 # --- vocabularies ---------------------------------------------------------------------------------------------------
 
 _VOCAB = f"select kind, value, count(*) as freq from (select 'form' as kind, form as value from tok union all select 'lower', {LOWER.format('form')} from tok union all select 'tag', tag from tok) group by 1, 2 having count(*) > 2"
@@ -146,7 +153,7 @@ def encode_unknown(t, docs):
     return C.encoded(t, C.dictionary(t, 2, None)).groupBy("known").agg(F.count("*").alias("n"))
 
 
-@query("select distinct substring(form, 1, n) as prefix from tok, (select unnest([1, 2, 3, 4]) as n) where length(form) >= n")
+@query("select distinct substring(form, 1, k) as prefix from tok, (select unnest([1, 2, 3, 4]) as k) where length(form) >= k")
 def prefix_inventory(t, docs):
     f = F.col("form")
     return t.select(F.explode(F.array_compact(F.array(*[F.when(F.length(f) >= n, X.prefix(f, n)) for n in range(1, 5)]))).alias("prefix")).distinct()
@@ -179,18 +186,14 @@ def lemmatize(t, docs):
 _HEADS = "tok m join tok h on m.doc_id = h.doc_id and m.sent_id = h.sent_id and m.head = h.tok_id"
 
 
-def _with_heads(t: DataFrame) -> DataFrame:
-    return t.alias("m").join(t.alias("h"), (F.col("m.doc_id") == F.col("h.doc_id")) & (F.col("m.sent_id") == F.col("h.sent_id")) & (F.col("m.head") == F.col("h.tok_id")))
-
-
-@query(f"select m.tag as m_tag, h.tag as h_tag, max(abs(m.head - m.tok_id)) as distance from {_HEADS} group by 1, 2")
+@query("select mt as m_tag, ht as h_tag, side, d as distance from lim")
 def distance_limits(t, docs):
-    return _with_heads(t).groupBy(F.col("m.tag").alias("m_tag"), F.col("h.tag").alias("h_tag")).agg(F.max(F.abs(F.col("m.head") - F.col("m.tok_id"))).alias("distance"))
+    return C.distance_limits(t)
 
 
 @query(f"select m.tag as m_tag, h.tag as h_tag, m.deprel as label, count(*) as n from {_HEADS} group by 1, 2, 3")
 def label_by_pos_pair(t, docs):
-    return _with_heads(t).groupBy(F.col("m.tag").alias("m_tag"), F.col("h.tag").alias("h_tag"), F.col("m.deprel").alias("label")).agg(F.count("*").alias("n"))
+    return C.with_heads(t).groupBy(F.col("m.tag").alias("m_tag"), F.col("h.tag").alias("h_tag"), F.col("m.deprel").alias("label")).agg(F.count("*").alias("n"))
 
 
 # --- windows --------------------------------------------------------------------------------------------------------
@@ -253,52 +256,64 @@ def covering_span_anti(t, docs):
 # --- trees and parts ------------------------------------------------------------------------------------------------
 
 
-@query("""select doc_id, sent_id, tok_id, anc, depth from (with recursive a(doc_id, sent_id, tok_id, anc, depth) as (select doc_id, sent_id, tok_id, head, 1::bigint from sized where n <= 12
- union all select a.doc_id, a.sent_id, a.tok_id, t.head, a.depth + 1 from a join sized t on t.n <= 12 and t.doc_id = a.doc_id and t.sent_id = a.sent_id and t.tok_id = a.anc) select * from a)""")
+@query("select doc_id, sent_id, tok_id, anc, depth from anc")
 def ancestors(t, docs):
-    return C.ancestors(C.short(t, 12))
+    return C.ancestors(t)
 
 
-@query("""select doc_id, sent_id, count(*) as n from (select distinct x.doc_id, x.sent_id, x.tok_id from sized x join sized k on k.doc_id = x.doc_id and k.sent_id = x.sent_id and k.tok_id > least(x.tok_id, x.head) and k.tok_id < greatest(x.tok_id, x.head)
- where x.n <= 12 and x.head > 0 and not (k.head = x.head or k.head // 2 = x.head or k.head // 4 = x.head or k.head // 8 = x.head)) group by 1, 2""")
+@query("""select doc_id, sent_id, count(*) as n from (select distinct x.doc_id, x.sent_id, x.tok_id from (select *, unnest(range(least(tok_id, head) + 1, greatest(tok_id, head))) as k from tok where head > 0) x
+ left join anc a on a.doc_id = x.doc_id and a.sent_id = x.sent_id and a.tok_id = x.k and a.anc = x.head where a.tok_id is null) group by 1, 2""")
 def nonprojective_arcs(t, docs):
-    s = C.short(t, 12)
-    return C.nonprojective(s.where("head > 0"), C.ancestors(s)).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
+    return C.nonprojective(t.where("head > 0"), C.ancestors(t)).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
 
 
-@query("""select tok.doc_id, tok.sent_id, tok.tok_id, concat(case when h.tag is not null then '<' || h.tag end, case when g.tag is not null then '<' || g.tag end) as ancestry from tok
+@query("""select tok.doc_id, tok.sent_id, tok.tok_id, concat(case when h.tag is not null then case when h.tok_id < tok.tok_id then '<' else '>' end || h.tag end, case when g.tag is not null then case when g.tok_id < h.tok_id then '<' else '>' end || g.tag end) as ancestry from tok
  left join tok h on h.doc_id = tok.doc_id and h.sent_id = tok.sent_id and h.tok_id = tok.head left join tok g on g.doc_id = tok.doc_id and g.sent_id = tok.sent_id and g.tok_id = h.head""")
 def ancestry_strings(t, docs):
     return C.ancestry(t).select("doc_id", "sent_id", "tok_id", "ancestry")
 
 
-@query("select doc_id, sent_id, h, m, gold from arcs8")
+def _arcs(t: DataFrame) -> DataFrame:
+    return C.pruned_arcs(t, C.distance_limits(t))
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """Parts of each sentence, gold ones, and a checksum of their positions."""
+    places = [c for c in parts.columns if c not in ("doc_id", "sent_id", "gold")]
+    return parts.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"), F.sum("gold").alias("n_gold"), F.sum(sum((F.col(c) * k for k, c in enumerate(places[1:], 2)), F.col(places[0]))).alias("places"))
+
+
+def _counted_sql(sql: str, *places: str) -> str:
+    return f"select doc_id, sent_id, count(*) as n, sum(gold)::bigint as n_gold, sum({' + '.join(f'{p} * {k}' for k, p in enumerate(places, 1))})::bigint as places from ({sql}) group by 1, 2"
+
+
+@query(_counted_sql("select doc_id, sent_id, h, m, gold from arcs", "h", "m"))
 def arc_candidates(t, docs):
-    return C.arc_candidates(C.short(t, 8))
+    return _counted(_arcs(t))
 
 
-def _arc_pairs(on: str, cols: str) -> str:
-    return f"select a.doc_id, a.sent_id, {cols}, a.gold * b.gold as gold from arcs8 a join arcs8 b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and {on}"
+def _arc_pairs(on: str, cols: str, *places: str) -> str:
+    return _counted_sql(f"select a.doc_id, a.sent_id, {cols}, a.gold * b.gold as gold from arcs a join arcs b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and {on}", *places)
 
 
-@query(_arc_pairs("a.h = b.h and a.m < b.m", "a.h as h, a.m as m, b.m as s"))
+@query(_arc_pairs("a.h = b.h and a.m < b.m", "a.h as h, a.m as m, b.m as s", "h", "m", "s"))
 def sibling_parts(t, docs):
-    return C.sibling_parts(C.arc_candidates(C.short(t, 8)))
+    return _counted(C.sibling_parts(_arcs(t)))
 
 
-@query(_arc_pairs("a.m = b.h and a.h <> b.m", "a.h as g, b.h as h, b.m as m"))
+@query(_arc_pairs("a.m = b.h and a.h <> b.m", "a.h as g, b.h as h, b.m as m", "g", "h", "m"))
 def grandparents(t, docs):
-    return C.grandparent_parts(C.arc_candidates(C.short(t, 8)))
+    return _counted(C.grandparent_parts(_arcs(t)))
 
 
-@query(_arc_pairs("a.m + 1 = b.m", "b.h as h, b.m as m, a.h as prev_h"))
+@query(_arc_pairs("a.m + 1 = b.m", "b.h as h, b.m as m, a.h as prev_h", "h", "m", "prev_h"))
 def head_bigrams(t, docs):
-    return C.head_bigram_parts(C.arc_candidates(C.short(t, 8)))
+    return _counted(C.head_bigram_parts(_arcs(t)))
 
 
-@query(_arc_pairs("a.m = b.m and a.h < b.h", "a.h as h1, b.h as h2, a.m as m"))
+@query(_arc_pairs("a.m = b.m and a.h < b.h", "a.h as h1, b.h as h2, a.m as m", "h1", "h2", "m"))
 def coparents(t, docs):
-    return C.coparent_parts(C.arc_candidates(C.short(t, 8)))
+    return _counted(C.coparent_parts(_arcs(t)))
 
 
 _UNIGRAMS = "select tok.doc_id, tok.sent_id, tok.tok_id, a.tag as t, (a.tag = tok.tag)::int::bigint as gold from tok join (select distinct form, tag from tok) a on a.form = tok.form"
@@ -319,94 +334,56 @@ def bigram_parts(t, docs):
 
 @query("select doc_id, sent_id, m, arg_max(h, (score, -h)) as h, max(score) as score from sc group by 1, 2, 3")
 def label_argmax(t, docs):
-    return C.best_heads(C.silver_scores(C.arc_candidates(C.short(t, 8))))
+    return C.best_heads(C.silver_scores(_arcs(t)))
 
 
-_MARGINALS = "select doc_id, sent_id, h, m, exp(score - top) / sum(exp(score - top)) over (partition by doc_id, sent_id, m) as p from (select *, max(score) over (partition by doc_id, sent_id, m) as top from sc)"
+_MARGINALS = "select doc_id, sent_id, h, m, gold, exp(score - top) / sum(exp(score - top)) over (partition by doc_id, sent_id, m) as p from (select *, max(score) over (partition by doc_id, sent_id, m) as top from sc)"
 
 
-@query(f"select doc_id, sent_id, h, m, round(p, 6) as p from ({_MARGINALS})")
+@query(f"select doc_id, sent_id, h, m, round(p, 6) as p from ({_MARGINALS}) where gold = 1")
 def label_marginals(t, docs):
-    return C.marginals(C.silver_scores(C.arc_candidates(C.short(t, 8)))).select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p"))
+    return C.marginals(C.silver_scores(_arcs(t))).where("gold = 1").select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p"))
 
 
-@query("select doc_id, sent_id, m, h, rank from (select *, row_number() over (partition by doc_id, sent_id, m order by score desc, h) as rank, max(score) over (partition by doc_id, sent_id, m) as top from sc) where rank <= 3 and (rank = 1 or exp(score - top) >= 0.001)")
+@query("select doc_id, sent_id, m, string_agg(h, ',' order by rank) as heads from (select *, row_number() over (partition by doc_id, sent_id, m order by score desc, h) as rank, max(score) over (partition by doc_id, sent_id, m) as top from sc) where rank <= 3 and (rank = 1 or exp(score - top) >= 0.001) group by 1, 2, 3")
 def topk_heads(t, docs):
-    return C.top_heads(C.silver_scores(C.arc_candidates(C.short(t, 8))), 3, 0.001).select("doc_id", "sent_id", "m", "h", "rank")
+    best = C.top_heads(C.silver_scores(_arcs(t)), 3, 0.001)
+    return best.groupBy("doc_id", "sent_id", "m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "h"))), lambda x: x["h"].cast("string")), ",").alias("heads"))
 
 
-@query()
+def _feature_sql() -> str:
+    """The tagger's templates as SQL over tok, one row for each feature."""
+    flag = "+".join(f"(case when {test} then {1 << i} else 0 end)" for i, test in enumerate(L.FLAG_SQL))
+    parts = {"form": "form", **{f"prev{k}": f"coalesce(lag(form, {k}) over k, '_START_')" for k in (1, 2)}, **{f"next{k}": f"coalesce(lead(form, {k}) over k, '_STOP_')" for k in (1, 2)}}
+    parts |= {f"prefix{n}": f"case when length(form) >= {n} then substring(form, 1, {n}) end" for n in range(1, 5)} | {f"suffix{n}": f"case when length(form) >= {n} then right(form, {n}) end" for n in range(1, 5)}
+    parts["flags"] = f"(case when tok_id = 1 then ({flag}) & {L.NO_CAPITALS} else {flag} end)::varchar"
+    base = "select doc_id, sent_id, tok_id, tag, " + ", ".join(f"{v} as {k}" for k, v in parts.items()) + " from tok window k as (partition by doc_id, sent_id order by tok_id)"
+    features = ", ".join(" || ':' || ".join([f"'{name}'", *cols]) for name, cols in L.TAGGER)
+    return f"select * from (select doc_id, sent_id, tok_id, tag, unnest([{features}]) as feature from ({base})) where feature is not null"
+
+
+_WEIGHTS = f"select feature, tag, count(*) as n from ({_feature_sql()}) group by 1, 2"
+
+
+@query(_WEIGHTS)
 def feature_rows(t, docs):
-    return L.feature_rows(t)
+    return L.feature_rows(t).groupBy("feature", "tag").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"select doc_id, sent_id, tok_id, arg_min(label, (-score, label)) as label, max(score) as score from (select f.doc_id, f.sent_id, f.tok_id, w.tag as label, sum(w.n)::bigint as score from ({_feature_sql()}) f join ({_WEIGHTS}) w on f.feature = w.feature group by 1, 2, 3, 4) group by 1, 2, 3")
 def linear_scores(t, docs):
     f = L.feature_rows(t)
-    return L.scored(f, L.count_weights(f))
+    return L.best_labels(L.scored(f, L.count_weights(f))).withColumn("score", F.col("score").cast("long"))
 
 
 @query()
 def chu_liu_edmonds(t, docs):
-    return D.parsed(C.silver_scores(C.arc_candidates(C.sized(t))))
+    return D.parsed(C.silver_scores(_arcs(t)))
 
 
 @query()
 def eisner(t, docs):
-    return D.parsed(C.silver_scores(C.arc_candidates(C.sized(t))), D.projective)
-
-
-# The ten queries above whose SQL holds a limit of 8 or 12 tokens, over all sentences; SQL over whole tables would be too slow.
-
-
-@query()
-def ancestors_whole(t, docs):
-    return C.ancestors(C.sized(t))
-
-
-@query()
-def nonprojective_arcs_whole(t, docs):
-    return C.nonprojective(t.where("head > 0"), C.ancestors(t)).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
-
-
-@query()
-def arc_candidates_whole(t, docs):
-    return C.arc_candidates(C.sized(t))
-
-
-@query()
-def sibling_parts_whole(t, docs):
-    return C.sibling_parts(C.arc_candidates(C.sized(t)))
-
-
-@query()
-def grandparents_whole(t, docs):
-    return C.grandparent_parts(C.arc_candidates(C.sized(t)))
-
-
-@query()
-def head_bigrams_whole(t, docs):
-    return C.head_bigram_parts(C.arc_candidates(C.sized(t)))
-
-
-@query()
-def coparents_whole(t, docs):
-    return C.coparent_parts(C.arc_candidates(C.sized(t)))
-
-
-@query()
-def label_argmax_whole(t, docs):
-    return C.best_heads(C.silver_scores(C.arc_candidates(C.sized(t))))
-
-
-@query()
-def label_marginals_whole(t, docs):
-    return C.marginals(C.silver_scores(C.arc_candidates(C.sized(t)))).select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p"))
-
-
-@query()
-def topk_heads_whole(t, docs):
-    return C.top_heads(C.silver_scores(C.arc_candidates(C.sized(t))), 3, 0.001).select("doc_id", "sent_id", "m", "h", "rank")
+    return D.parsed(C.silver_scores(_arcs(t)), D.projective)
 
 
 @query()
@@ -421,17 +398,28 @@ def perceptron_tagger(t, docs):
 _PUNCT = r"not regexp_matches(form, '^\p{P}+$')"
 
 
-@query(f"select lang, count(*) as n, sum((head = pred_head)::int)::bigint as uas_n, sum((head = pred_head and tag = pred_tag)::int)::bigint as las_n from tok where {_PUNCT} group by lang")
+@query(f"select lang, count(*) as n, sum((head = pred_head)::int)::bigint as uas_n, sum((head = pred_head and deprel = pred_deprel)::int)::bigint as las_n, sum((deprel = pred_deprel)::int)::bigint as label_n from tok where {_PUNCT} group by lang")
 def attachment_scores(t, docs):
     right = F.col("head") == F.col("pred_head")
-    return t.where(~F.col("form").rlike(r"^\p{P}+$")).groupBy("lang").agg(F.count("*").alias("n"), F.sum(right.cast("int")).alias("uas_n"), F.sum((right & (F.col("tag") == F.col("pred_tag"))).cast("int")).alias("las_n"))
+    return t.where(~F.col("form").rlike(r"^\p{P}+$")).groupBy("lang").agg(F.count("*").alias("n"), F.sum(right.cast("int")).alias("uas_n"), F.sum((right & (F.col("deprel") == F.col("pred_deprel"))).cast("int")).alias("las_n"), F.sum((F.col("deprel") == F.col("pred_deprel")).cast("int")).alias("label_n"))
+
+
+_PRF = """n_gold, n_pred, n_correct, case when n_pred = 0 then 0 else n_correct / n_pred end as "precision", case when n_gold = 0 then 0 else n_correct / n_gold end as recall, case when n_gold + n_pred = 0 then 0 else 2 * n_correct / (n_gold + n_pred) end as f1"""
+
+
+def _label_prf(key: str, extra: str) -> str:
+    gold, pred = key, f"pred_{key}"
+    return f"select label, {_PRF} from (select label, sum(g)::bigint as n_gold, sum(p)::bigint as n_pred, sum(c)::bigint as n_correct from (select {gold} as label, 1 as g, 0 as p, ({gold} = {pred}{extra})::int as c from tok union all select {pred}, 0, 1, 0 from tok) group by label)"
 
 
-@query("select coalesce(g.tag, p.tag) as tag, coalesce(n_gold, 0) as n_gold, coalesce(n_pred, 0) as n_pred, coalesce(n_correct, 0) as n_correct from (select tag, count(*) as n_gold, sum((tag = pred_tag)::int)::bigint as n_correct from tok group by tag) g full join (select pred_tag as tag, count(*) as n_pred from tok group by 1) p on g.tag = p.tag")
+@query(_label_prf("deprel", ""))
 def deprel_prf(t, docs):
-    g = t.groupBy("tag").agg(F.count("*").alias("n_gold"), F.sum((F.col("tag") == F.col("pred_tag")).cast("int")).alias("n_correct"))
-    p = t.groupBy(F.col("pred_tag").alias("tag")).agg(F.count("*").alias("n_pred"))
-    return g.join(p, "tag", "full").select("tag", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_gold", "n_pred", "n_correct")])
+    return C.label_scores(t, "deprel", "pred_deprel")
+
+
+@query(_label_prf("deprel", " and head = pred_head"))
+def deprel_attachment_prf(t, docs):
+    return C.label_scores(t, "deprel", "pred_deprel", F.col("head") == F.col("pred_head"))
 
 
 _DIRECTION = "case when {h} = 0 then 'to_root' when {h} < tok_id then 'left' when {h} > tok_id then 'right' else 'self' end"
@@ -453,9 +441,7 @@ def head_distance(t, docs):
 @query("""select lang, n_gold, n_pred, n_correct, case when n_pred = 0 then 0 else n_correct / n_pred end as "precision", case when n_gold = 0 then 0 else n_correct / n_gold end as recall, case when n_gold + n_pred = 0 then 0 else 2 * n_correct / (n_gold + n_pred) end as f1
  from (select coalesce(g.lang, p.lang) as lang, count(g.start) as n_gold, count(p.start) as n_pred, sum((g.start is not null and p.start is not null)::int)::bigint as n_correct from gs g full join ps p on g.doc_id = p.doc_id and g.sent_id = p.sent_id and g.start = p.start and g."end" = p."end" group by 1)""")
 def chunk_prf(t, docs):
-    langs = t.select("doc_id", "lang").distinct()
-    gold, pred = C.spans(C.entity_tags(t)), C.spans(C.entity_tags(t, "pred_tag"))
-    return C.chunk_scores(gold.join(langs, "doc_id"), pred.join(langs, "doc_id"), ["lang"])
+    return C.chunk_scores(C.spans(C.entity_tags(t), extra=["lang"]), C.spans(C.entity_tags(t, "pred_tag"), extra=["lang"]), ["lang"])
 
 
 @query("select lang, avg((tag = pred_tag)::int) as accuracy, count(*) as n from tok group by lang")
@@ -463,23 +449,26 @@ def tag_accuracy(t, docs):
     return t.groupBy("lang").agg(F.avg((F.col("tag") == F.col("pred_tag")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("select form, n from (select form, count(*) as n from tok where head <> pred_head group by form) order by n desc, form limit 20")
+_CONTEXTS = "select form, coalesce(lag(tag) over k, '_START_') as before, coalesce(lead(tag) over k, '_STOP_') as after, (head <> pred_head)::int as head_wrong, (deprel <> pred_deprel)::int as label_wrong, (head <> pred_head and deprel <> pred_deprel)::int as both_wrong from tok window k as (partition by doc_id, sent_id order by tok_id)"
+_WRONG = "sum(head_wrong)::bigint as head_errors, sum(label_wrong)::bigint as label_errors, sum(both_wrong)::bigint as both_errors"
+
+
+@query(f"select form, {_WRONG}, count(*) as n from ({_CONTEXTS}) group by form having sum(head_wrong) + sum(label_wrong) > 0")
+def error_words(t, docs):
+    return C.errors(t, ["form"])
+
+
+@query(f"select before, after, {_WRONG}, count(*) as n from ({_CONTEXTS}) group by before, after having sum(head_wrong) + sum(label_wrong) > 0")
 def error_contexts(t, docs):
-    return t.where("head <> pred_head").groupBy("form").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(20)
+    return C.errors(t, ["before", "after"])
 
 
 # --- corpus ---------------------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, doc_id // (((select count(*) from documents) + 9) // 10) as fold from documents")
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // (((select count(*) from documents) + 9) // 10) as fold from documents")
 def jackknife(t, docs):
-    size = -(-docs.count() // 10)
-    return docs.select("doc_id", F.floor(F.col("doc_id") / max(size, 1)).alias("fold"))
-
-
-@query("select doc_id, lang from documents where doc_id in (select doc_id from labels)")
-def split_by_ids(t, docs):
-    return docs.select("doc_id", "lang")
+    return C.folds(docs.select("doc_id"), 10)
 
 
 @query("select doc_id, sent_id, string_agg(form || chr(9) || tag, chr(10) order by tok_id) as block from tok group by 1, 2")
@@ -503,3 +492,4 @@ def _split_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["split_by_ids"] = _split_by_ids
+ORACLES["split_by_ids"] = "select doc_id, lang from documents where doc_id in (select doc_id from labels)"

@@ -7,17 +7,18 @@ import numpy as np
 import pytest
 
 from glossa.operators import decode as D
-from glossa.plans.catalogue import ORACLES, QUERIES
+from glossa.operators import corpus as C
+from pyspark.sql import functions as F
 
 LENGTHS = [1, 5, 9, 13, 30]
 
 
 @pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
+def tokens(spark):
+    """Sentences of these lengths with a binary tree as heads."""
     text = " ".join(" ".join(f"w{i}" for i in range(n - 1)) + (" end." if n > 1 else "end.") for n in LENGTHS)
-    at = str(tmp_path_factory.mktemp("whole"))
-    spark.createDataFrame([(3, text, "en", "a"), (4, None, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
-    return at
+    docs = spark.createDataFrame([(3, text, "en", "a"), (4, None, "en", "a")], "doc_id long, text string, lang string, source string")
+    return C.silver(docs).withColumn("head", F.floor(F.col("tok_id") / 2).cast("int")).cache()
 
 
 def arcs(n):
@@ -53,33 +54,52 @@ def crossed(n):
 
 
 PAIRS = {
-    "sibling_parts_whole": (lambda a, b: a[0] == b[0] and a[1] < b[1], lambda a, b: (a[0], a[1], b[1])),
-    "grandparents_whole": (lambda a, b: a[1] == b[0] and a[0] != b[1], lambda a, b: (a[0], b[0], b[1])),
-    "head_bigrams_whole": (lambda a, b: a[1] + 1 == b[1], lambda a, b: (b[0], b[1], a[0])),
-    "coparents_whole": (lambda a, b: a[1] == b[1] and a[0] < b[0], lambda a, b: (a[0], b[0], a[1])),
+    "sibling_parts": (lambda a, b: a[0] == b[0] and a[1] < b[1], lambda a, b: (a[0], a[1], b[1])),
+    "grandparents": (lambda a, b: a[1] == b[0] and a[0] != b[1], lambda a, b: (a[0], b[0], b[1])),
+    "head_bigrams": (lambda a, b: a[1] + 1 == b[1], lambda a, b: (b[0], b[1], a[0])),
+    "coparents": (lambda a, b: a[1] == b[1] and a[0] < b[0], lambda a, b: (a[0], b[0], a[1])),
 }
 BRUTE = {
-    "ancestors_whole": lambda n: [(m, a, d) for m in range(1, n + 1) for d, a in enumerate(up(m), 1)],
-    "nonprojective_arcs_whole": crossed,
-    "arc_candidates_whole": arcs,
-    "label_argmax_whole": lambda n: [(m, h, float(score(h, m, h == m // 2))) for m, h, i in ranked(n) if i == 1],
-    "label_marginals_whole": lambda n: [(h, m, round(p, 6)) for h, m, p, *_ in softmax(n)],
-    "topk_heads_whole": lambda n: list(ranked(n)),
+    "ancestors": lambda n: [(m, a, d) for m in range(1, n + 1) for d, a in enumerate(up(m), 1)],
+    "nonprojective_arcs": crossed,
+    "arc_candidates": arcs,
+    "label_argmax": lambda n: [(m, h, float(score(h, m, h == m // 2))) for m, h, i in ranked(n) if i == 1],
+    "label_marginals": lambda n: [(h, m, round(p, 6)) for h, m, p, *_ in softmax(n)],
+    "topk_heads": lambda n: list(ranked(n)),
 } | {k: lambda n, on=on, cols=cols: [(*cols(a, b), a[2] * b[2]) for a in arcs(n) for b in arcs(n) if on(a, b)] for k, (on, cols) in PAIRS.items()}
 
 
+def scored(t):
+    return C.silver_scores(C.arc_candidates(t))
+
+
+OPERATORS = {
+    "ancestors": C.ancestors,
+    "nonprojective_arcs": lambda t: C.nonprojective(t.where("head > 0"), C.ancestors(t)).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n")),
+    "arc_candidates": C.arc_candidates,
+    "label_argmax": lambda t: C.best_heads(scored(t)),
+    "label_marginals": lambda t: C.marginals(scored(t)).select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p")),
+    "topk_heads": lambda t: C.top_heads(scored(t), 3, 0.001).select("doc_id", "sent_id", "m", "h", "rank"),
+    "sibling_parts": lambda t: C.sibling_parts(C.arc_candidates(t)),
+    "grandparents": lambda t: C.grandparent_parts(C.arc_candidates(t)),
+    "head_bigrams": lambda t: C.head_bigram_parts(C.arc_candidates(t)),
+    "coparents": lambda t: C.coparent_parts(C.arc_candidates(t)),
+    "chu_liu_edmonds": lambda t: D.parsed(scored(t)),
+    "eisner": lambda t: D.parsed(scored(t), D.projective),
+}
+
+
 @pytest.mark.parametrize("name", BRUTE)
-def test_parts_of_all_sentences(spark, folder, name):
-    got = QUERIES[name](spark, folder)
+def test_parts_of_all_sentences(tokens, name):
+    got = OPERATORS[name](tokens)
     values = [c for c in got.columns if c not in ("doc_id", "sent_id")]
     rows = lambda rs: sorted((s, *(round(float(v), 5) for v in vs)) for s, vs in rs)
     assert rows((r.sent_id, [r[c] for c in values]) for r in got.collect()) == rows((s, v) for s, n in enumerate(LENGTHS) for v in BRUTE[name](n))
-    assert name not in ORACLES
 
 
 @pytest.mark.parametrize("name", ["chu_liu_edmonds", "eisner"])
-def test_trees_of_all_sentences(spark, folder, name):
-    got = {(r.sent_id, r.m): r.h for r in QUERIES[name](spark, folder).collect()}
+def test_trees_of_all_sentences(tokens, name):
+    got = {(r.sent_id, r.m): r.h for r in OPERATORS[name](tokens).collect()}
     assert sorted(got) == [(s, m) for s, n in enumerate(LENGTHS) for m in range(1, n + 1)]
     for s, n in enumerate(LENGTHS):
         for m in range(1, n + 1):
