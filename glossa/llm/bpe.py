@@ -16,6 +16,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ class WordBpe:
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = regex.compile(splits[0])
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.special_start = commonprefix(list(self.special))  # what all of them begin with: texts without it hold none
         self._pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._shown: dict[str, str] = {}
@@ -132,7 +134,7 @@ class WordBpe:
     def encode_packed(self, text: str) -> tuple[bytes, str]:
         """Ids of a whole text as little-endian unsigned 32-bit numbers, and the decoded text."""
         ids, shown, cache, texts = [], [], self._chunks, self._shown
-        for part in self.at_special.split(text) if "<|" in text else (text,):
+        for part in self.at_special.split(text) if self.special and self.special_start in text else (text,):
             if part in self.special:
                 ids.append(struct.pack("<I", self.special[part]))
                 shown.append(part)

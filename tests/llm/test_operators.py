@@ -428,11 +428,3 @@ def test_remix_keeps_rows_of_null_and_repeated_ids(spark, empty):
         counts[r.row] = counts.get(r.row, 0) + 1
     assert set(counts) <= {1, 2, 3} and all(n <= 4 for n in counts.values()) and len(counts) == 3
     assert mixing.remixed(empty).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, SF)
-    assert rows.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(rows.columns)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near-duplicates", "pseudonyms", "mixture", "tokens"]
