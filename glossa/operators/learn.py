@@ -60,6 +60,16 @@ def count_weights(features: DataFrame) -> DataFrame:
     return features.groupBy("feature", F.col("tag").alias("label")).agg(F.count("*").cast("double").alias("w"))
 
 
+def association_weights(features: DataFrame) -> DataFrame:
+    """feature, label, w: positive pointwise mutual information of features and tags, a model from counts alone."""
+    pairs = features.groupBy("feature", F.col("tag").alias("label")).agg(F.count("*").alias("n"))
+    of_feature = pairs.groupBy("feature").agg(F.sum("n").alias("nf"))
+    of_label = pairs.groupBy("label").agg(F.sum("n").alias("nl"))
+    total = of_label.agg(F.sum("nl")).first()[0] or 1
+    w = F.log(F.col("n") * F.lit(float(total)) / (F.col("nf") * F.col("nl")))
+    return pairs.join(of_feature, "feature").join(F.broadcast(of_label), "label").select("feature", "label", w.alias("w")).where("w > 0")
+
+
 def scored(features: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, sent_id, tok_id, label, score: sums of the weights of a token's features; missing ones count 0."""
     return features.join(weights, "feature").groupBy(*SENT, "tok_id", "label").agg(F.sum("w").alias("score"))
