@@ -74,3 +74,59 @@ def test_brackets_nest_and_cross(spark):
     frame = spark.createDataFrame([(1, 0, s, e, n) for s, e, n in spans], "doc_id long, sent_id int, start int, end int, name string")
     got = C.bracket_spans(C.bracket_bits(tokens, frame)).collect()
     assert sorted((r.start, r.end, r.name) for r in got) == sorted(spans)
+
+
+def test_role_and_coreference_readers(spark, tmp_path):
+    from glossa.sources import conll
+
+    sdp = _file(tmp_path, "s.sdp", "#1001\n1\tAna\tAna\tNP\t2\tSb\t-\t-\t_\tA0\n2\treads\tread\tVB\t9\tPred\t+\t+\tread.01\t_\n")
+    tokens, args = conll.read_roles(spark, sdp, "sdp")
+    assert [(r.name, r.form, r.head, r.top, r.predicate) for r in tokens.orderBy("tok_id").collect()] == [("1001", "Ana", 2, False, None), ("1001", "reads", 0, True, "read.01")]
+    assert [(r.p, r.a, r.role) for r in args.collect()] == [(2, 1, "A0")]
+    old = _file(tmp_path, "o", "1\t_\t_\t_\t_\tAna\tAna\tNP\t2\tSb\t_\tA0\n2\t_\t_\t_\t_\treads\tread\tVB\t0\tPred\tread.01\t_\n")
+    assert [(r.p, r.a, r.role) for r in conll.read_roles(spark, old, "conll2008")[1].collect()] == [(2, 1, "A0")]
+    text = "#begin document (demo); part 000\ndemo 0 0 Ana NP (S(NP*) 2 Sb _ _ _ A (PER) (0)\ndemo 0 1 reads VB (VP*)) 0 Pred _ _ _ A * -\n\ndemo 0 0 She PR * 0 Sb _ _ _ A * (0)\n\n#end document\n"
+    rows = conll.read_coreference(spark, _file(tmp_path, "c", text + text.replace("demo", "two").replace("000", "001"))).orderBy("doc", "sent_id", "tok_id").collect()
+    assert [(r.doc, r.part, r.sent_id, r.tok_id, r.form, r.head, r.entity, r.bit) for r in rows][:3] == [("demo", 0, 0, 1, "Ana", 2, "(PER)", "(0)"), ("demo", 0, 0, 2, "reads", 0, "*", "-"), ("demo", 0, 1, 1, "She", 0, "*", "(0)")] and len(rows) == 6
+
+
+def test_strict_columns(spark, tmp_path):
+    from glossa.sources import conll
+
+    ok = _file(tmp_path, "ok", "a\tX\r\nb\tY\r\n \t\r\nc\tZ\r\n")
+    assert [(r.form, r.tag, r.tok_id) for r in conll.read(spark, ok, "tagging").orderBy("sent_id", "tok_id").collect()] == [("a", "X", 1), ("b", "Y", 2), ("c", "Z", 1)]
+    with pytest.raises(Exception, match="not two fields"):
+        conll.read(spark, _file(tmp_path, "three", "a\tb\tc\n"), "tagging").collect()
+    with pytest.raises(Exception, match="run from 1"):
+        conll.read(spark, _file(tmp_path, "ids", "2\ta\ta\tN\tN\t_\t0\tR\t_\t_\n"), "conllx").collect()
+
+
+def test_projective_marginals():
+    import itertools
+
+    import numpy as np
+
+    from glossa.operators.decode import projective_marginals
+
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 5):
+        s = rng.normal(size=(n, n))
+        trees = []
+        for hs in itertools.product(range(n), repeat=n - 1):
+            heads = [-1, *hs]
+            ok = all(heads[m] != m for m in range(1, n))
+            for m in range(1, n):
+                v, k = m, 0
+                while ok and v and k < n:
+                    v, k = heads[v], k + 1
+                ok = ok and v == 0
+            spans = [(min(h, m), max(h, m)) for m, h in enumerate(heads) if m]
+            if ok and not any(a < c < b < d for a, b in spans for c, d in spans):
+                trees.append((heads, sum(s[h, m] for m, h in enumerate(heads) if m)))
+        z = np.logaddexp.reduce([v for _, v in trees])
+        p = np.zeros((n, n))
+        for heads, v in trees:
+            for m in range(1, n):
+                p[heads[m], m] += np.exp(v - z)
+        got, logz, entropy = projective_marginals(s)
+        assert np.allclose(got, p) and np.isclose(logz, z) and np.isclose(entropy, -sum(np.exp(v - z) * (v - z) for _, v in trees))
