@@ -151,20 +151,44 @@ def offset_tokens(sents: DataFrame) -> DataFrame:
     return each.select("doc_id", "sent_id", (F.col("p") + 1).alias("tok_id"), "token", start.alias("start"), (start + F.length("token")).alias("end"))
 
 
-#: Contracted forms by language. French ones come out in small letters, German and Spanish keep a capital.
-CONTRACTIONS = {
-    "fr": {"au": "à le", "aux": "à les", "du": "de le", "des": "de les", "auquel": "à lequel", "duquel": "de lequel", "desquels": "de lesquels", "auxquels": "à lesquels"},
-    "de": {"am": "an dem", "ans": "an das", "beim": "bei dem", "im": "in dem", "ins": "in das", "vom": "von dem", "zum": "zu dem", "zur": "zu der", "aufs": "auf das", "fürs": "für das"},
-    "es": {"al": "a el", "del": "de el"},
-    "en": {"cannot": "can not", "gonna": "gon na", "gotta": "got ta", "wanna": "wan na", "lemme": "lem me", "gimme": "gim me"},
-}
-
-
-def expand_contractions(form: Column, lang: Column) -> Column:
-    """The words of a contracted form, joined by a blank; other forms as they are."""
-    out = form
-    for code, table in CONTRACTIONS.items():
-        for short, words in table.items():
-            capital = words if code == "fr" else words[0].upper() + words[1:]
-            out = F.when((lang == code) & (form == short), words).when((lang == code) & (form == short.capitalize()), capital).otherwise(out)
-    return out
+#: Rewrites of tokenisation by language, in order: languages that take the rule (None: all; a leading "-": all but
+#: those), pattern, replacement. en-ptb keeps the treebank's quotes, pt-cintil has only single quotes.
+UNIVERSAL = (
+    (None, "\u00a0", " "), (None, r"\t", " "), (None, "\u0096", " -- "),
+    ("pt-cintil", r"\(|\)", "'"), ("pt-cintil", "\"|«|»|``|“|”|'|`", "' "),
+    ("-pt-cintil", "„", "``"), ("-pt-cintil", "«", "``"), ("-pt-cintil", "»", '"'), ("-pt-cintil", "“", "``"), ("-pt-cintil", "”", '"'), ("-pt-cintil", '^"', "``"),
+    ("-pt-cintil", "(``)", r" \1 "), ("-pt-cintil", r'([ (\[{<])"', r"\1 `` "), ("-pt-cintil", "’", "'"),
+    ("-pt-cintil en en-ptb fr", "'", "' "), ("en en-ptb fr", r"([^\p{L}])'", r"\1' "), ("en en-ptb fr", "^'", "' "),
+    ("-en-ptb", " `` ", ' " '), ("-en-ptb", " '' ", ' " '),
+    (None, r"([:,])([^0-9])", r" \1 \2"), (None, r"\.\.\.", " ... "), (None, r"([;@#$%&])", r" \1 "), (None, r"([^.])(\.)([\])}>\"']*)\s*\z", r"\1 \2\3 "), (None, r"([?!])", r" \1 "),
+    ("en en-ptb", r"([^'])' ", r"\1 ' "), ("-en en-ptb", r"([^'])'", r"\1' "), ("-en en-ptb", r"([^\p{L}])' ", r"\1 ' "),
+    (None, r"([\]\[(){}<>])", r" \1 "), (None, "([^-])---([^-])", r"\1 -- \2"), (None, "([^-])--([^-])", r"\1 -- \2"),
+    ("en-ptb", '"', " '' "), ("-en-ptb", '"', ' " '), (None, r"(\S)('')", r"\1 \2 "),
+)
+
+
+def universal_rules(lang: str) -> list[tuple[str, str]]:
+    """The rewrites that a language takes, in order."""
+    takes = lambda names: names is None or ((lang not in names[1:].split()) if names[0] == "-" else lang in names.split())
+    return [(pattern, to) for names, pattern, to in UNIVERSAL if takes(names)]
+
+
+#: Languages whose rules differ from the others'.
+UNIVERSAL_LANGUAGES = ("en", "en-ptb", "fr", "pt-cintil")
+
+
+def universal(sentence: Column, lang: Column) -> Column:
+    """Tokens of a sentence as an array, by the rules of its language.
+
+    Words round a double dash stay (they aren't swallowed with it).
+    """
+    rewritten = lambda code: reduce(lambda x, r: F.regexp_replace(x, r[0], r[1].replace("\\", "$")), universal_rules(code), sentence)
+    out = rewritten("other")
+    for code in UNIVERSAL_LANGUAGES:
+        out = F.when(lang == code, rewritten(code)).otherwise(out)
+    return F.filter(F.split(out, r"[ \t\n\r]+"), lambda t: t != "")
+
+
+def universal_tokens(sents: DataFrame) -> DataFrame:
+    """doc_id, lang, sent_id, tok_id (from 1), form."""
+    return sents.select("doc_id", "lang", "sent_id", F.posexplode(universal(F.col("sentence"), F.col("lang"))).alias("p", "form")).select("doc_id", "lang", "sent_id", (F.col("p") + 1).alias("tok_id"), "form")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.functions import contractions as contracted
 from glossa.functions import text as X
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
@@ -108,16 +109,19 @@ def uni_len(t, docs):
 
 
 def _contraction_sql() -> str:
-    whens = []
-    for lang, table in X.CONTRACTIONS.items():
-        for short, out in table.items():
-            whens += [f"when lang = '{lang}' and form = '{short}' then '{out}'", f"when lang = '{lang}' and form = '{short.capitalize()}' then '{out if lang == 'fr' else out[0].upper() + out[1:]}'"]
-    return "select lang, form, expanded, count(*) as n from (select lang, form, case " + " ".join(whens) + " else form end as expanded from tok) where form <> expanded group by 1, 2, 3"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in contracted.table())
+    english = "form"
+    for pattern, to in contracted.ENGLISH:
+        english = f"regexp_replace({english}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    return f"""select lang, form, expanded, count(*) as n from (select t.lang, t.form, coalesce(f.words, case when t.lang = 'en' then {english.replace('form', 't.form')} else t.form end) as expanded
+ from tok t left join (values {rows}) f(lang, form, words) on f.lang = t.lang and f.form = t.form) where form <> expanded group by 1, 2, 3"""
 
 
 @query(_contraction_sql())
 def contractions(t, docs):
-    return t.select("lang", "form", X.expand_contractions(F.col("form"), F.col("lang")).alias("expanded")).where("form <> expanded").groupBy("lang", "form", "expanded").agg(F.count("*").alias("n"))
+    forms = contracted.split_contractions(t.groupBy("lang", "form").agg(F.count("*").alias("n")))
+    return forms.select("lang", "form", F.array_join("words", " ").alias("expanded"), "n").where("form <> expanded")
 
 
 def _treebank_sql() -> str:

@@ -305,3 +305,19 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 K.QUERIES["gazetteer_tags"] = _gazetteer
 K.ORACLES["gazetteer_tags"] = r"""select word, array_to_string(list_sort(list(distinct tag)), ' ') as tags from (select word, case when n = 1 then 'U-' when i = 1 then 'B-' when i = n then 'L-' else 'I-' end || type as tag from (select type, len(f) as n, unnest(range(1, len(f) + 1)) as i, unnest(f) as word from (
  select 'T' || (item_id % 3) as type, list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '') as f from benchmark))) group by word"""
+
+
+def _universal_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    whens = []
+    for lang in (*X.UNIVERSAL_LANGUAGES, "other"):
+        text = "sentence"
+        for pattern, to in X.universal_rules(lang):
+            text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to)}, 'g')"
+        whens.append(f"else {text}" if lang == "other" else f"when lang = '{lang}' then {text}")
+    return rf"select doc_id, lang, sent_id, unnest(range(1, len(f) + 1)) as tok_id, unnest(f) as form from (select doc_id, lang, sent_id, list_filter(string_split_regex(case {' '.join(whens)} end, '[ \t\n\r]+'), lambda x: x <> '') as f from s)"
+
+
+@query(_universal_sql())
+def universal_tokens(t, docs):
+    return X.universal_tokens(X.sentences(docs))
