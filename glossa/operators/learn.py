@@ -1,18 +1,22 @@
-"""Feature templates, linear scores, and online learners of sequence taggers over sentence-packed rows."""
+"""Feature templates, linear scores, and online learners of sequence taggers over sentence-packed rows.
+
+Learned models are matrices of 2^bits rows: a feature's row is its hash, so a model's size is a parameter and neither tasks
+nor the driver hold more when the corpus and its vocabulary grow. Features that share a row share their weights.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import flag_bits, prefix, suffix
 from glossa.operators.corpus import SENT, context
-from glossa.operators.decode import viterbi
+from glossa.operators.decode import sequence_marginals, viterbi
 
 #: The tagger's unigram templates: name and columns; a null column drops the feature.
 TAGGER = [
@@ -86,115 +90,169 @@ def best_labels(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*SENT, "tok_id").agg(F.min_by("label", F.struct(-F.col("score"), "label")).alias("label"), F.max("score").alias("score"))
 
 
-class SequenceLearner:
-    """First-order tagger by the structured perceptron or cost-augmented MIRA, with averaged weights."""
-
-    def __init__(self, labels: list[str], c: float | None = None):
-        """c: MIRA's largest step; None is the perceptron."""
-        self.labels, self.c = labels, c
-        self.k = len(labels)
-        self.w: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.k))
-        self.sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.k))
-        self.pair, self.pair_sum, self.t = np.zeros((self.k, self.k)), np.zeros((self.k, self.k)), 0
+#: Logarithm of a model's rows.
+BITS = 18
+#: What training does with a sentence: the guess (best tags, or marginals), whether wrong tags score higher by their cost, the step.
+ALGORITHMS = {
+    "perceptron": ("best", False, "one"),
+    "svm_mira": ("best", True, "mira"), "crf_mira": ("marginals", False, "mira"), "crf_margin_mira": ("marginals", True, "mira"),
+    "svm_sgd": ("best", True, "sgd"), "crf_sgd": ("marginals", False, "sgd"), "crf_margin_sgd": ("marginals", True, "sgd"),
+}
+#: Steps of gradient descent at time t (from 0) of n sentences an epoch, as parts of the first.
+SCHEDULES = {"fixed": lambda t, n: 1.0, "invsqrt": lambda t, n: (t + 1) ** -0.5, "inv": lambda t, n: 1 / (t + 1), "lecun": lambda t, n: 1 / (1 + t / n)}
 
-    def unary(self, feats: list[list[str]]) -> np.ndarray:
-        return np.array([sum((self.w[f] for f in fs if f in self.w), np.zeros(self.k)) for fs in feats])
 
-    def update(self, feats: list[list[str]], gold: list[int]) -> float:
-        """One step on a sentence; returns the loss (half for each wrong tag)."""
-        self.t += 1
-        unary = self.unary(feats)
+class SequenceLearner:
+    """First-order tagger by online learning.
+
+    perceptron and the mira algorithms average their weights; the sgd ones shrink theirs at each step by decay and give the last.
+    """
+
+    def __init__(self, k: int, algorithm: str = "perceptron", bits: int = BITS, c: float = 1.0, rate: float = 0.1, schedule: str = "invsqrt", decay: float = 0.0, sentences: int = 1):
+        """k: tags. c: the largest step of mira. rate, schedule, decay and sentences (of an epoch): of gradient descent."""
+        if algorithm == "mira":
+            raise NotImplementedError("plain mira isn't implemented; svm_mira is its cost-augmented form")
+        if algorithm not in ALGORITHMS or schedule not in SCHEDULES:
+            raise ValueError(f"unknown algorithm {algorithm} or schedule {schedule}")
+        self.k, self.c, self.rate, self.decay, self.sentences = k, c, rate, decay, sentences
+        self.guess, self.costs, self.step = ALGORITHMS[algorithm]
+        self.schedule = SCHEDULES[schedule]
+        self.w, self.sums = np.zeros((1 << bits, k)), np.zeros((1 << bits, k))
+        self.pair, self.pair_sum = np.zeros((k, k)), np.zeros((k, k))
+        self.scale, self.t = 1.0, 0
+
+    def guessed(self, unary: np.ndarray, pair: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The guess for each place and each two neighbours, as shares of tags, and the loss."""
+        n, places = len(gold), np.arange(len(gold))
+        right = unary[places, gold].sum() + pair[gold[:-1], gold[1:]].sum()
         cost = np.full(unary.shape, 0.5)
-        cost[np.arange(len(gold)), gold] = -0.5
-        guess, _ = viterbi(unary + cost if self.c is not None else unary, self.pair)
-        wrong = sum(g != p for g, p in zip(gold, guess, strict=True))
-        if not wrong:
-            return 0.0
-        delta: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.k))
-        for fs, g, p in zip(feats, gold, guess, strict=True):
-            if g != p:
-                for f in fs:
-                    delta[f][g] += 1
-                    delta[f][p] -= 1
-        pair = np.zeros_like(self.pair)
-        for seq, sign in ((gold, 1), (guess, -1)):
-            for a, b in zip(seq[:-1], seq[1:], strict=True):
-                pair[a, b] += sign
+        cost[places, gold] = -0.5
+        scores = unary + cost if self.costs else unary
+        if self.guess == "marginals":
+            node, edge, logz = sequence_marginals(scores, pair)
+            return node, edge, logz + (0.5 * n if self.costs else 0.0) - right
+        tags, best = viterbi(scores, pair)
+        node, edge = np.zeros(unary.shape), np.zeros(pair.shape)
+        node[places, tags] = 1
+        np.add.at(edge, (tags[:-1], tags[1:]), 1)
+        return node, edge, best + (0.5 * n if self.costs else 0.0) - right
+
+    def update(self, ids: np.ndarray, counts: np.ndarray, gold: np.ndarray) -> float:
+        """One step on a sentence, whose features' rows come token after token, counts a token; returns the loss."""
+        of = np.repeat(np.arange(len(gold)), counts)
+        unary = np.zeros((len(gold), self.k))
+        np.add.at(unary, of, self.w[ids])
+        node, edge, loss = self.guessed(unary * self.scale, self.pair * self.scale, gold)
+        node, edge = -node, -edge
+        node[np.arange(len(gold)), gold] += 1
+        np.add.at(edge, (gold[:-1], gold[1:]), 1)
+        rows, at = np.unique(ids, return_inverse=True)
+        delta = np.zeros((len(rows), self.k))
+        np.add.at(delta, at, node[of])
+        norm = float((delta**2).sum() + (edge**2).sum())
         eta = 1.0
-        if self.c is not None:
-            norm = sum(float(d @ d) for d in delta.values()) + float((pair**2).sum())
-            value = lambda tags: sum(unary[i, t] for i, t in enumerate(tags)) + sum(self.pair[a, b] for a, b in zip(tags[:-1], tags[1:], strict=True))
-            loss = value(guess) - value(gold) + wrong
+        if self.step == "mira":
             eta = min(self.c, loss / norm) if norm > 1e-9 and loss > 1e-9 else 0.0
-        for f, d in delta.items():
-            self.w[f] += eta * d
-            self.sums[f] += self.t * eta * d
-        self.pair += eta * pair
-        self.pair_sum += self.t * eta * pair
-        return float(wrong)
-
-    def fit(self, sentences: Iterable[tuple[list[list[str]], list[int]]], epochs: int = 3) -> SequenceLearner:
+        elif self.step == "sgd":
+            eta = self.rate * self.schedule(self.t, self.sentences)
+            if eta * self.decay >= 1:
+                raise ValueError("the rate times the decay must stay below 1")
+            self.scale *= 1 - eta * self.decay
+            if self.scale < 1e-9:
+                self.w, self.pair, self.scale = self.w * self.scale, self.pair * self.scale, 1.0
+        self.t += 1
+        if eta and norm:
+            self.w[rows] += eta / self.scale * delta
+            self.pair += eta / self.scale * edge
+            if self.step != "sgd":
+                self.sums[rows] += self.t * eta * delta
+                self.pair_sum += self.t * eta * edge
+        return max(float(loss), 0.0)
+
+    def fit(self, sentences: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 3) -> list[float]:
+        """Steps over all sentences, epoch after epoch; the sum of losses of each epoch."""
         rows = list(sentences)
-        for _ in range(epochs):
-            for feats, gold in rows:
-                self.update(feats, gold)
-        return self
+        self.sentences = len(rows)
+        return [sum(self.update(*r) for r in rows) for _ in range(epochs)]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """The model: averaged weights, or the last ones of gradient descent."""
+        return self.w * self.scale - self.sums / (self.t + 1), self.pair * self.scale - self.pair_sum / (self.t + 1)
+
 
-    def averaged(self) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        t = max(self.t, 1)
-        return {f: w - self.sums[f] / (t + 1) for f, w in self.w.items()}, self.pair - self.pair_sum / (t + 1)
+def packed_features(tokens: DataFrame, templates: list[tuple[str, list[str]]] = TAGGER, bits: int = BITS) -> DataFrame:
+    """doc_id, sent_id, tok_ids, tags, counts (features of each token), ids (their rows, flat): a row a sentence."""
+    ids = F.transform(compiled(templates), lambda f: F.pmod(F.xxhash64(f), F.lit(1 << bits)).cast("int"))
+    toks = F.array_sort(F.collect_list(F.struct("tok_id", "tag", ids.alias("ids"))))
+    rows = with_parts(tokens).groupBy(*SENT).agg(toks.alias("toks"))
+    return rows.select(*SENT, F.col("toks.tok_id").alias("tok_ids"), F.col("toks.tag").alias("tags"), F.transform("toks", lambda x: F.size(x["ids"])).alias("counts"), F.flatten("toks.ids").alias("ids"))
 
 
-def packed_features(tokens: DataFrame, templates: list[tuple[str, list[str]]] = TAGGER) -> DataFrame:
-    """doc_id, sent_id, toks: a row a sentence with (tok_id, tag, features) in order."""
-    return with_parts(tokens).groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("tok_id", "tag", compiled(templates).alias("features")))).alias("toks"))
+def _sentences(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and counts of each row."""
+    flat = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy()) for c in ("ids", "counts")]
+    for i in range(b.num_rows):
+        yield tuple(v[o[i] : o[i + 1]] for o, v in flat)
 
 
-def trained_by_mixing(packed: DataFrame, labels: list[str], rounds: int = 2, c: float | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Iterative parameter mixing: each partition learns from the common weights, which are then averaged by sums in Spark."""
-    index = {t: i for i, t in enumerate(labels)}
-    spark, weights, pair = packed.sparkSession, {}, np.zeros((len(labels), len(labels)))
+def trained_by_mixing(packed: DataFrame, labels: list[str], rounds: int = 2, learners: int | None = None, bits: int = BITS, **how) -> tuple[np.ndarray, np.ndarray]:
+    """Iterative parameter mixing: each of a fixed number of learners starts from the common weights and sees its sentences in
+    order; Spark averages what they give. how: of SequenceLearner. Reruns agree but for the order of sums."""
+    spark, k = packed.sparkSession, len(labels)
+    parts = learners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed.repartition(parts, *SENT).sortWithinPartitions(*SENT)
+    weights, pair = np.zeros((1 << bits, k)), np.zeros((k, k))
     for _ in range(rounds):
         start = spark.sparkContext.broadcast((weights, pair))
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            learner = SequenceLearner(labels, c)
-            w, p = start.value
-            learner.w.update({f: v.copy() for f, v in w.items()})
-            learner.pair = p.copy()
+            learner = SequenceLearner(k, bits=bits, **how)
+            learner.w, learner.pair = (x.copy() for x in start.value)
             for b in batches:
-                for toks in b.column("toks").to_pylist():
-                    learner.update([t["features"] for t in toks], [index[t["tag"]] for t in toks])
-            own, own_pair = learner.averaged()
-            rows = [(f, v.tolist()) for f, v in own.items() if np.any(v)] + [(f"\x00{i}", r.tolist()) for i, r in enumerate(own_pair)]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], names=["feature", "w"])
-
-        parts = packed.mapInArrow(run, "feature string, w array<double>")
-        n = packed.rdd.getNumPartitions()
-        mean = parts.groupBy("feature").agg(*[(F.sum(F.col("w")[i]) / n).alias(f"w{i}") for i in range(len(labels))])
-        weights, pair = {}, np.zeros_like(pair)
-        for r in mean.toLocalIterator():
-            if r[0].startswith("\x00"):
-                pair[int(r[0][1:])] = r[1:]
-            else:
-                weights[r[0]] = np.array(r[1:])
+                tags = b.column("tags")
+                gold, at = pc.index_in(tags.values, pa.array(labels)), tags.offsets.to_numpy()
+                if gold.null_count:
+                    raise ValueError("a tag isn't among the labels")
+                gold = gold.to_numpy()
+                for i, (ids, counts) in enumerate(_sentences(b)):
+                    if len(counts):
+                        learner.update(ids, counts, gold[at[i] : at[i + 1]])
+            if learner.t:
+                own, own_pair = learner.result()
+                used = np.flatnonzero(own.any(1))
+                out = np.concatenate([own[used], own_pair, np.ones((1, k))])
+                names = np.concatenate([used, -2 - np.arange(k), [-1]])
+                for a in range(0, len(out), 10_000):
+                    some = out[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 10_000], pa.int32()), *[pa.array(some[:, j]) for j in range(k)]], names=["row", *[f"w{j}" for j in range(k)]])
+
+        found = rows.mapInArrow(run, ", ".join(["row int", *[f"w{j} double" for j in range(k)]]))
+        sums = found.groupBy("row").agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(k)]).toArrow()  # at most 2^bits rows and k + 1
+        row, values = sums["row"].to_numpy(), np.stack([sums[f"w{j}"].to_numpy() for j in range(k)], 1)
+        start.destroy()
+        if not len(row):
+            return weights, pair
+        values = values / values[row == -1][0]
+        weights = np.zeros_like(weights)
+        weights[row[row >= 0]] = values[row >= 0]
+        pair = values[row < -1][np.argsort(-row[row < -1])]
     return weights, pair
 
 
-def tagged(packed: DataFrame, labels: list[str], weights: dict[str, np.ndarray], pair: np.ndarray) -> DataFrame:
-    """doc_id, sent_id, tok_id, tag, predicted by Viterbi; the weights are the model's and are sent once."""
+def tagged(packed: DataFrame, labels: list[str], weights: np.ndarray, pair: np.ndarray) -> DataFrame:
+    """doc_id, sent_id, tok_id, tag, predicted by Viterbi; the model is sent once."""
     model = packed.sparkSession.sparkContext.broadcast((weights, pair))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, p = model.value
-        zero = np.zeros(len(labels))
         for b in batches:
             out = []
-            for toks in b.column("toks").to_pylist():
-                unary = np.array([sum((w[f] for f in t["features"] if f in w), zero) for t in toks])
-                out.append([labels[i] for i in viterbi(unary, p)[0]])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sent_id"), b.column("toks"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "sent_id", "toks", "predicted"])
-
-    toks = packed.schema["toks"].dataType.simpleString()
-    out = packed.mapInArrow(run, f"doc_id {packed.schema['doc_id'].dataType.simpleString()}, sent_id {packed.schema['sent_id'].dataType.simpleString()}, toks {toks}, predicted array<string>")
-    return out.select(*SENT, F.explode(F.arrays_zip("toks", "predicted")).alias("z")).select(*SENT, "z.toks.tok_id", "z.toks.tag", "z.predicted")
+            for ids, counts in _sentences(b):
+                unary = np.zeros((len(counts), len(labels)))
+                np.add.at(unary, np.repeat(np.arange(len(counts)), counts), w[ids])
+                out.append([labels[i] for i in viterbi(unary, p)[0]] if len(counts) else [])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*SENT, "tok_ids", "tags")], pa.array(out, pa.list_(pa.string()))], names=[*SENT, "tok_ids", "tags", "predicted"])
+
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+    out = packed.select(*SENT, "tok_ids", "tags", "counts", "ids").mapInArrow(run, ", ".join([*[f"{c} {types[c]}" for c in (*SENT, "tok_ids", "tags")], "predicted array<string>"]))
+    return out.select(*SENT, F.explode(F.arrays_zip("tok_ids", "tags", "predicted")).alias("z")).select(*SENT, F.col("z.tok_ids").alias("tok_id"), F.col("z.tags").alias("tag"), "z.predicted")

@@ -390,11 +390,27 @@ def eisner(t, docs):
     return D.parsed(C.silver_scores(_arcs(t)), D.projective)
 
 
+LABELS = ["FUNC", "NOUN", "NUM", "PROP", "PUNC", "VERB", "WORD"]
+
+
+def _confusions(t, algorithm: str):
+    packed = L.packed_features(t)
+    return L.tagged(packed, LABELS, *L.trained_by_mixing(packed, LABELS, 1, algorithm=algorithm)).groupBy("tag", "predicted").agg(F.count("*").alias("n"))
+
+
 @query()
 def perceptron_tagger(t, docs):
-    labels = ["FUNC", "NOUN", "NUM", "PROP", "PUNC", "VERB", "WORD"]
-    packed = L.packed_features(t)
-    return L.tagged(packed, labels, *L.trained_by_mixing(packed, labels, 1)).groupBy("tag", "predicted").agg(F.count("*").alias("n"))
+    return _confusions(t, "perceptron")
+
+
+@query()
+def mira_tagger(t, docs):
+    return _confusions(t, "svm_mira")
+
+
+@query()
+def crf_tagger(t, docs):
+    return _confusions(t, "crf_sgd")
 
 
 # --- metrics --------------------------------------------------------------------------------------------------------
