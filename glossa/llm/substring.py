@@ -18,6 +18,7 @@ neither lose words nor take any from others; an empty table gives an empty one;
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.arrays import grams, slices, utf8, words
-from glossa.llm.session import drop_folder, new_folder, ranges, release
+from glossa.llm.session import drop_folder, input_bytes, new_folder, ranges, release
 
 WINDOW = 50
-#: Bits of an anchor's fingerprint (a chance hit only costs time) and of a document's place in a collection.
-BITS, PLACE = 36, 12
+#: Bits of a document's place in a collection, and of a key that name its range.
+PLACE, NAMES = 12, 20
+#: Of folded keys: the first, their number, low bits of each.
+_HEAD = struct.Struct("<QIB")
 CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 1 << PLACE
 #: A collection's rows for a range, or (told) an answer that the collection gives itself; home: the collection's first document.
 _PACKED = pa.schema([("range", pa.int32()), ("told", pa.bool_()), ("home", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("more", pa.binary())])
@@ -41,23 +44,35 @@ _ANSWER_SQL = "home bigint, docs binary, keys binary, places binary"
 _HITS = "doc_id bigint, found binary"
 
 
+def print_bits(size: int) -> int:
+    """Bits of an anchor's fingerprint for an input of so many bytes, so that one probe in some 16,000 meets an indexed block by
+    chance, at every size: 16 more than the bits of the number of blocks. Chance hits cost time and change no result."""
+    return min(52, max(36, (size // 128).bit_length() + 14))
+
+
 def _bytes(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
-def _deltas(keys: np.ndarray) -> bytes:
-    """Sorted numbers as a first one and 32-bit steps, or whole where a step is larger."""
-    steps = np.diff(keys)
-    if len(steps) and int(steps.max()) >> 32:
-        return b"\x01" + _bytes(keys, "<u8")
-    return b"\x00" + _bytes(keys[:1], "<u8") + _bytes(steps, "<u4")
+def _folded(keys: np.ndarray) -> bytes:
+    """Sorted numbers in two bits more than the logarithm of their mean step: low bits as they are, high ones as places of set bits."""
+    n, x = len(keys), keys - keys[0]
+    low = max(int(x[-1]).bit_length() - n.bit_length(), 0)
+    high = (x >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    marks = np.zeros(int(high[-1]) + 1, np.uint8)
+    marks[high] = 1
+    lows = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - low :]
+    return _HEAD.pack(int(keys[0]), n, low) + np.packbits(marks).tobytes() + np.packbits(lows.ravel()).tobytes()
 
 
-def _undeltas(data: bytes) -> np.ndarray:
-    if data[0]:
-        return np.frombuffer(data, "<u8", offset=1)
-    steps = np.frombuffer(data, "<u4", offset=9).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, offset=1), steps]), dtype=np.uint64)
+def _unfolded(data: bytes) -> np.ndarray:
+    first, n, low = _HEAD.unpack_from(data)
+    tail = (n * low + 7) // 8
+    body = np.frombuffer(data, np.uint8, offset=_HEAD.size)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(body[len(body) - tail :], count=n * low).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(body[: len(body) - tail])) - np.arange(n)
+    return (high.astype(np.uint64) << np.uint64(low)) + np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) + np.uint64(first)
 
 
 class _Collection:
@@ -93,9 +108,9 @@ class _Collection:
         last = places[np.append(at[1:], len(keys)) - 1]
         yield from self.local(docs, keys, places, group, places[at], last)
         keys, places = keys[at], places[at]
-        of = ((keys >> np.uint64(shift)) * np.uint64(self.count) >> np.uint64(16)).astype(np.int64)
+        of = ((keys >> np.uint64(shift)) * np.uint64(self.count) >> np.uint64(NAMES)).astype(np.int64)
         extra = np.unique(np.concatenate(self.extra)) if self.extra else np.zeros(0, np.uint64)
-        extra_of = ((extra >> np.uint64(shift)) * np.uint64(self.count) >> np.uint64(16)).astype(np.int64)
+        extra_of = ((extra >> np.uint64(shift)) * np.uint64(self.count) >> np.uint64(NAMES)).astype(np.int64)
         out = []
         for r, a, z in zip(*_runs(of), strict=True):
             here, back = np.unique(places[a:z], return_inverse=True)
@@ -125,7 +140,7 @@ class _Probes(_Collection):
         return self.answers(docs, keys[shared], places[shared])
 
     def packed(self, keys, places, extra):
-        return _deltas(keys << np.uint64(PLACE) | places.astype(np.uint64)), _bytes(extra, "<u8")
+        return _folded(keys << np.uint64(PLACE) | places.astype(np.uint64)), _bytes(extra, "<u8")
 
 
 class _Windows(_Collection):
@@ -185,7 +200,7 @@ def _met(t: pa.Table) -> pa.Table:
     """Of one range: probes that an indexed block and another collection have."""
     told, rows = _rows(t)
     if rows:
-        keys = [_undeltas(k) for _, _, k, _ in rows]
+        keys = [_unfolded(k) for _, _, k, _ in rows]
         prints = [k >> np.uint64(PLACE) for k in keys]
         blocks = np.unique(np.concatenate([np.frombuffer(m, "<u8") for *_, m in rows]))
         value, count = np.unique(np.concatenate(prints), return_counts=True)
@@ -229,7 +244,7 @@ def _sha(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def _probed(docs: DataFrame, window: int, count: int) -> DataFrame:
+def _probed(docs: DataFrame, window: int, count: int, bits: int) -> DataFrame:
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +253,7 @@ def _probed(docs: DataFrame, window: int, count: int) -> DataFrame:
             ids, texts = b.column("doc_id").to_pylist(), utf8(b.column("text"))
             for a, z in slices([len(t) for t in texts]):
                 w = words(texts[a:z])
-                prints = grams(w.hashes, block) >> np.uint64(64 - BITS)
+                prints = grams(w.hashes, block) >> np.uint64(64 - bits)
                 long = np.repeat(w.counts >= window, w.counts)
                 at = np.flatnonzero((w.room() >= block) & long)
                 at = at[at < len(prints)]
@@ -246,11 +261,11 @@ def _probed(docs: DataFrame, window: int, count: int) -> DataFrame:
                 known = np.array([ids[i] is not None for i in range(a, z)])
                 for x, y in slices(w.counts.tolist(), CHUNK_WORDS // 4):
                     if c.full() or len(c.ids) + (y - x) >= CHUNK_DOCS:
-                        yield from c.rows(BITS - 16)
+                        yield from c.rows(bits - NAMES)
                     for x2 in range(x, y, CHUNK_DOCS // 2):
                         y2 = min(y, x2 + CHUNK_DOCS // 2)
                         if len(c.ids) + (y2 - x2) >= CHUNK_DOCS:
-                            yield from c.rows(BITS - 16)
+                            yield from c.rows(bits - NAMES)
                         some = (text >= x2) & (text < y2) & known[text]
                         if some.any():
                             c.keys.append(prints[at[some]])
@@ -258,7 +273,7 @@ def _probed(docs: DataFrame, window: int, count: int) -> DataFrame:
                             c.extra.append(prints[at[some & (inside % block == 0)]])
                             c.words += int(some.sum())
                             c.ids += [i if i is not None else 0 for i in ids[a + x2 : a + y2]]
-        yield from c.rows(BITS - 16)
+        yield from c.rows(bits - NAMES)
 
     return docs.mapInArrow(run, _SQL)
 
@@ -267,7 +282,7 @@ _STATE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 _STATE_SQL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string, starts binary"
 
 
-def _candidates(joined: DataFrame, window: int) -> DataFrame:
+def _candidates(joined: DataFrame, window: int, bits: int) -> DataFrame:
     """Documents without a hit with their results; others with their text and the candidate windows' first words, bit-packed."""
     block = window // 2
 
@@ -283,7 +298,7 @@ def _candidates(joined: DataFrame, window: int) -> DataFrame:
                     if len(hits):
                         w = words([raw])
                         n = len(w.hashes)
-                        at = np.flatnonzero(_members(grams(w.hashes, block) >> np.uint64(64 - BITS), hits))
+                        at = np.flatnonzero(_members(grams(w.hashes, block) >> np.uint64(64 - bits), hits))
                         flags = _spread(at, window - block, 1, max(n - window + 1, 0)) if n >= window else flags
                     if flags.any():
                         out.append((doc, n, None, None, text, np.packbits(flags).tobytes()))
@@ -309,12 +324,12 @@ def _extended(state: DataFrame, window: int, count: int) -> DataFrame:
             for doc, text, starts in zip(*[b.column(k).to_pylist() for k in ("doc_id", "text", "starts")], strict=True):
                 _, found, _ = _window_hashes(text, starts, window)
                 if c.full():
-                    yield from c.rows(48)
+                    yield from c.rows(64 - NAMES)
                 c.keys.append(found)
                 c.places.append(np.full(len(found), len(c.ids)))
                 c.words += len(found)
                 c.ids.append(doc)
-        yield from c.rows(48)
+        yield from c.rows(64 - NAMES)
 
     return state.mapInArrow(run, _SQL)
 
@@ -341,16 +356,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = ranges(docs, 8 << 20)
+    count, bits = min(ranges(docs, 8 << 20), 1 << NAMES), print_bits(input_bytes(docs))
     state_at, hits_at = new_folder(spark, "substring-state"), new_folder(spark, "substring-hits")
     # A collection's answers come together again, and each document gets its own.
     by_document = lambda packed, of_range: packed.groupBy("range").applyInArrow(of_range, _ANSWER_SQL).groupBy("home").applyInArrow(_by_document, _HITS)
-    hits = by_document(_probed(docs, window, count), _met)
+    hits = by_document(_probed(docs, window, count, bits), _met)
     hits.write.option("compression", "zstd").parquet(hits_at)
     release(spark)
     gathered = lambda h: h.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
     hits = gathered(spark.read.schema(_HITS).parquet(hits_at))
-    _candidates(docs.join(hits, "doc_id", "left").select("doc_id", "text", "found"), window).write.option("compression", "zstd").parquet(state_at)
+    _candidates(docs.join(hits, "doc_id", "left").select("doc_id", "text", "found"), window, bits).write.option("compression", "zstd").parquet(state_at)
     drop_folder(spark, hits_at)
     release(spark)
     state = spark.read.schema(_STATE_SQL).parquet(state_at)

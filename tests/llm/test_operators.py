@@ -303,6 +303,19 @@ def test_near_classes_by_edit_distance(spark, odd, empty):
     assert small == [(0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 5)] and fingerprint.near_classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 20, 48, 64])
+@pytest.mark.parametrize("n", [1, 2, 1000])
+def test_folded_keys(n, bits):
+    keys = np.sort(np.random.default_rng(n + bits).integers(0, 2**bits - 1, n, dtype=np.uint64, endpoint=True))
+    data = substring._folded(keys)
+    assert (substring._unfolded(data) == keys).all() and len(data) <= 16 + n * (max(bits - n.bit_length(), 0) + 4) / 8
+
+
+def test_print_bits():
+    assert [substring.print_bits(x) for x in (0, 1 << 29, 1 << 35, 1 << 60)] == [36, 37, 43, 52]
+
+
+
 def test_substrings_against_brute_force(spark, odd, empty):
     def brute(rows, size):
         first = {}
