@@ -46,3 +46,64 @@ def lines(nodes: DataFrame) -> DataFrame:
     part = F.concat(F.lit("("), F.concat_ws(" ", "label", "word"), closing)
     rows = nodes.select("tree_id", F.struct("node", part.alias("part")).alias("x")).groupBy("tree_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return rows.select("tree_id", F.array_join(F.col("x.part"), " ").alias("tree"))
+
+
+#: Between the labels of one collapsed chain.
+SEPARATOR = "|"
+
+
+def _sums_above(nodes: DataFrame, amount: str, own: bool) -> DataFrame:
+    """nodes with above: the sum of amount over a node's ancestors (and itself, if own), by one window: what a node adds ends behind its last word."""
+    opened = nodes.withColumns({"__pos": F.col("start").cast("long"), "__at": F.col("node").cast("long"), "__d": F.col(amount).cast("long"), "__node": F.lit(True)})
+    closed = nodes.where(F.col(amount) != 0).withColumns({"__pos": (F.col("end") + 1).cast("long"), "__at": F.lit(-1).cast("long"), "__d": -F.col(amount).cast("long"), "__node": F.lit(False)})
+    upto = F.sum("__d").over(Window.partitionBy("tree_id").orderBy("__pos", "__at", "__node").rowsBetween(Window.unboundedPreceding, 0))
+    return opened.unionByName(closed).withColumn("above", (upto if own else upto - F.col("__d")).cast("int")).where("__node").drop("__pos", "__at", "__d", "__node")
+
+
+def collapsed(nodes: DataFrame, same_label: bool = False, append: bool = True) -> DataFrame:
+    """The nodes with each chain of only children as one node, whose labels are joined by | from above (append), or the lowest.
+
+    same_label collapses only nodes with their parent's label. Empty labels are left out. Nodes without words stay.
+    """
+    w = Window.partitionBy("tree_id").orderBy("node")
+    before = lambda c: F.lag(c).over(w)
+    joins = (before("depth") == F.col("depth") - 1) & (before("start") == F.col("start")) & (before("end") == F.col("end")) & (F.col("end") >= F.col("start")) & before("word").isNull()
+    joins = F.coalesce(joins & (before("label") == F.col("label")) if same_label else joins, F.lit(False))
+    t = _sums_above(nodes.withColumn("joins", joins.cast("int")), "joins", True)
+    t = t.withColumn("chain", F.sum(1 - F.col("joins")).over(w))
+    labels = F.array_sort(F.collect_list(F.when(F.col("label") != "", F.struct("node", "label"))))
+    label = F.coalesce(F.get(F.col("x.label"), F.size("x") - 1), F.lit("")) if same_label or not append else F.array_join("x.label", SEPARATOR)
+    one = t.groupBy("tree_id", "chain").agg(F.min("depth").alias("depth"), F.min_by("above", "node").alias("above"), labels.alias("x"), F.first("start").alias("start"), F.first("end").alias("end"), F.max("word").alias("word"))
+    return one.select("tree_id", (F.col("chain") - 1).cast("int").alias("node"), (F.col("depth") - F.col("above")).alias("depth"), label.alias("label"), "start", "end", "word")
+
+
+def expanded(nodes: DataFrame) -> DataFrame:
+    """The nodes with those whose labels are joined by | as chains again. Nodes without words stay."""
+    parts = F.when(F.col("end") >= F.col("start"), F.split("label", "[" + SEPARATOR + "]")).otherwise(F.array("label"))
+    t = _sums_above(nodes.withColumn("parts", parts).withColumn("more", F.size("parts") - 1), "more", False)
+    each = t.select("tree_id", "node", "depth", "above", "start", "end", "word", "more", F.posexplode("parts").alias("p", "label"))
+    number = F.row_number().over(Window.partitionBy("tree_id").orderBy("node", "p")) - 1
+    return each.select("tree_id", number.alias("node"), (F.col("depth") + F.col("above") + F.col("p")).alias("depth"), "label", "start", "end", F.when(F.col("p") == F.col("more"), F.col("word")).alias("word"))
+
+
+def best_labels(scored: DataFrame, null_label: str | None = None) -> DataFrame:
+    """tree_id, node, label, score: each node's label of the largest score; of equal ones the first by name.
+
+    With a null label, which has no score of its own, a node whose best score isn't positive gets that one.
+    """
+    rows = scored if null_label is None else scored.where(F.col("label") != null_label)
+    best = rows.groupBy("tree_id", "node").agg(F.min_by("label", F.struct(-F.col("score"), "label")).alias("label"), F.max("score").alias("score"))
+    if null_label is None:
+        return best
+    none = F.col("score").isNull() | (F.col("score") <= 0)
+    full = scored.select("tree_id", "node").distinct().join(best, ["tree_id", "node"], "left")
+    return full.select("tree_id", "node", F.when(none, F.lit(null_label)).otherwise(F.col("label")).alias("label"), F.when(none, F.lit(0.0)).otherwise(F.col("score")).alias("score"))
+
+
+def label_counts(gold: DataFrame, predicted: DataFrame, null_label: str | None = None) -> DataFrame:
+    """n_gold, n_pred, n_correct over nodes' labels, the null label aside; `corpus.rates` makes precision, recall and F1 of them."""
+    real = lambda c: F.coalesce(F.col(c) != F.lit(null_label), F.col(c).isNotNull())
+    both = gold.select("tree_id", "node", F.col("label").alias("g")).join(predicted.select("tree_id", "node", F.col("label").alias("p")), ["tree_id", "node"], "full")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    same = F.coalesce(F.col("g") == F.col("p"), F.lit(False))
+    return both.agg(count(real("g")).alias("n_gold"), count(real("p")).alias("n_pred"), count(same & real("g")).alias("n_correct"))

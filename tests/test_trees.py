@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from glossa.sources import trees
@@ -22,3 +24,54 @@ def test_unbalanced(spark, bad):
 
 def test_null(spark):
     assert trees.nodes(spark.createDataFrame([(1, None), (2, " ")], "tree_id long, tree string")).count() == 0
+
+
+def _spines(t, join=True):
+    """A nested (label, children or word) with single chains joined, by plain recursion."""
+    label, below = t
+    if isinstance(below, str):
+        return t
+    below = [_spines(x) for x in below]
+    if len(below) == 1:
+        return ("|".join(x for x in (label, below[0][0]) if x), below[0][1])
+    return label, below
+
+
+def _line(t):
+    label, below = t
+    return f"({label} {below})" if isinstance(below, str) else f"({label} {' '.join(map(_line, below))})"
+
+
+def _grown(rng, depth=0):
+    label = rng.choice("ABC")
+    if depth > 4 or rng.random() < 0.25:
+        return label, rng.choice(["x", "y"])
+    return label, [_grown(rng, depth + 1) for _ in range(rng.choice([1, 1, 2, 3]))]
+
+
+def test_spines(spark):
+    grown = [_grown(random.Random(i)) for i in range(40)]
+    nodes = trees.nodes(spark.createDataFrame([(i, _line(t)) for i, t in enumerate(grown)] + [(99, "()"), (100, None)], "tree_id long, tree string"))
+    joined = trees.collapsed(nodes).cache()
+    got = {r.tree_id: r.tree for r in trees.lines(joined).collect()}
+    assert got.pop(99) == "()" and got == {i: _line(_spines(t)) for i, t in enumerate(grown)}
+    back = {r.tree_id: r.tree for r in trees.lines(trees.expanded(joined)).collect()}
+    assert back.pop(99) == "()" and back == {i: _line(t) for i, t in enumerate(grown)}
+
+
+def test_spines_of_one_label(spark):
+    nodes = trees.nodes(spark.createDataFrame([(1, "(A (A (B (B x))) (C y))"), (2, "( (S (A x) (B y)))")], "tree_id long, tree string"))
+    lines = lambda df: {r.tree_id: r.tree for r in trees.lines(df).collect()}
+    assert lines(trees.collapsed(nodes, same_label=True))[1] == "(A (A (B x)) (C y))"
+    assert lines(trees.collapsed(nodes, append=False)) == {1: "(A (B x) (C y))", 2: "(S (A x) (B y))"}
+
+
+def test_node_labels(spark):
+    scored = spark.createDataFrame([(1, 0, "A", 1.0), (1, 0, "B", 1.0), (1, 1, "A", -1.0), (1, 1, "-", 9.0), (1, 2, "B", 2.0), (1, 3, "-", 0.0)], "tree_id long, node int, label string, score double")
+    got = lambda df: [tuple(r) for r in df.orderBy("node").collect()]
+    assert got(trees.best_labels(scored)) == [(1, 0, "A", 1.0), (1, 1, "-", 9.0), (1, 2, "B", 2.0), (1, 3, "-", 0.0)]
+    best = trees.best_labels(scored, "-")
+    assert got(best) == [(1, 0, "A", 1.0), (1, 1, "-", 0.0), (1, 2, "B", 2.0), (1, 3, "-", 0.0)]
+    gold = spark.createDataFrame([(1, 0, "A"), (1, 1, "A"), (1, 2, "-"), (1, 3, "-")], "tree_id long, node int, label string")
+    assert tuple(trees.label_counts(gold, best, "-").first()) == (2, 2, 1)
+    assert tuple(trees.label_counts(gold.limit(0), best.limit(0)).first()) == (0, 0, 0)
