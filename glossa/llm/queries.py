@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import audit, bpe, fingerprint, licenses, manifest, mixing, neardup, pii, quality, sharding, substring, warc
+from glossa.llm import audit, bpe, fingerprint, licenses, manifest, mixing, neardup, pii, quality, repeats, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
