@@ -30,27 +30,48 @@ def silver(docs: DataFrame) -> DataFrame:
     not projective. Each tenth token's prediction is off.
     """
     t = whitespace_tokens(sentences(docs))
-    f, i = F.col("form"), F.col("tok_id")
-    tag = (
+    i, n, doc = F.col("tok_id"), F.col("n"), F.col("doc_id")
+    t = t.withColumn("tag", _silver_tag(F.col("form"), i)).withColumn("head", _silver_head(i, n, doc))
+    odd = (doc * 31 + F.col("sent_id") * 7 + i) % 10 == 0
+    t = t.withColumn("pred_tag", F.when(odd, F.when(F.col("tag") == "NOUN", "PROP").otherwise("NOUN")).otherwise(F.col("tag")))
+    t = t.withColumn("pred_head", F.when(odd & (i > 1), i - 1).otherwise(F.col("head")))
+    side = lambda h: F.when(F.col(h) == 0, "ROOT").when(F.col(h) < i, "LEFT").otherwise("RIGHT")
+    label = lambda tag_, h: F.concat_ws("_", tag_, side(h))
+    return t.withColumns({"deprel": label("tag", "head"), "pred_deprel": label("pred_tag", "pred_head")}).select("doc_id", "lang", "sent_id", "n", "tok_id", "form", "tag", "head", "deprel", "pred_tag", "pred_head", "pred_deprel")
+
+
+def _silver_tag(f: Column, i: Column) -> Column:
+    return (
         F.when(f.rlike("^[^A-Za-z0-9\\x80-\\x{10FFFF}]+$"), "PUNC")
         .when(f.rlike("[0-9]"), "NUM")
         .when(f.rlike("^[A-Z]") & (i > 1), "PROP")
-        .when(F.length("form") <= 3, "FUNC")
+        .when(F.length(f) <= 3, "FUNC")
         .when(f.rlike("[dgn]$"), "VERB")
         .when(f.rlike("[esr]$"), "NOUN")
         .otherwise("WORD")
     )
+
+
+def _silver_head(i: Column, n: Column, doc: Column) -> Column:
     group, place = F.floor((i - 1) / 4), (i - 1) % 4
     before = F.when(group % 4 == 0, 0).otherwise(group * 4 - 2)
-    last = F.when((F.col("doc_id") + group) % 5 == 0, i - 3).otherwise(i - 2)
-    head = F.when(place == 0, F.when(i == F.col("n"), before).otherwise(i + 1)).when(place == 1, before).when(place == 2, i - 1).otherwise(last)
-    t = t.withColumn("tag", tag).withColumn("head", head.cast("int"))
-    odd = (F.col("doc_id") * 31 + F.col("sent_id") * 7 + i) % 10 == 0
-    t = t.withColumn("pred_tag", F.when(odd, F.when(F.col("tag") == "NOUN", "PROP").otherwise("NOUN")).otherwise(F.col("tag")))
-    t = t.withColumn("pred_head", F.when(odd & (i > 1), i - 1).otherwise(F.col("head")))
-    side = lambda h: F.when(F.col(h) == 0, "ROOT").when(F.col(h) < i, "LEFT").otherwise("RIGHT")
-    label = lambda tag_, h: F.concat_ws("_", tag_, side(h))
-    return t.withColumns({"deprel": label("tag", "head"), "pred_deprel": label("pred_tag", "pred_head")}).select("doc_id", "lang", "sent_id", "n", "tok_id", "form", "tag", "head", "deprel", "pred_tag", "pred_head", "pred_deprel")
+    last = F.when((doc + group) % 5 == 0, i - 3).otherwise(i - 2)
+    return F.when(place == 0, F.when(i == n, before).otherwise(i + 1)).when(place == 1, before).when(place == 2, i - 1).otherwise(last).cast("int")
+
+
+def silver_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, sent_id, and arrays form, tag, head: a row for each sentence with what `silver` says of its tokens. No shuffle."""
+    parts = F.filter(F.split("sentence", r"[ \t\n\r]+"), lambda t: t != "")
+    rows = sentences(docs).select("doc_id", "lang", "sent_id", parts.alias("form")).where(F.size("form") > 0)
+    tags = F.transform("form", lambda f, p: _silver_tag(f, p + 1))
+    return rows.select("*", tags.alias("tag"), F.transform("form", lambda _, p: _silver_head(p + 1, F.size("form"), F.col("doc_id"))).alias("head"))
+
+
+def spread_of(df: DataFrame, least: int = 64 << 20) -> DataFrame:
+    """df dealt out to all cores if it has less than `least` bytes for each: a small file is often one row group, which one task reads."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < least * cores else df
 
 
 # --- vocabularies ---------------------------------------------------------------------------------------------------

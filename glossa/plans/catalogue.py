@@ -13,6 +13,7 @@ from glossa.functions import text as X
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
 from glossa.operators import learn as L
+from glossa.operators import packed as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
     def take(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+            docs = C.spread_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
             return _longs(f(C.silver(docs), docs))
 
         QUERIES[f.__name__] = run
@@ -239,8 +240,8 @@ def bio_to_spans(t, docs):
     return C.spans(C.entity_tags(t))
 
 
-@query("""select tok.doc_id, tok.sent_id, tok.tok_id, case when g.start is null then 'O' when g.start = g."end" then 'U-PROP' when g.start = tok.tok_id then 'B-PROP' when g."end" = tok.tok_id then 'L-PROP' else 'I-PROP' end as bilou
- from tok left join gs g on tok.doc_id = g.doc_id and tok.sent_id = g.sent_id and tok.tok_id between g.start and g."end" """)
+@query("""select tok.doc_id, tok.sent_id, tok.tok_id, coalesce(g.bilou, 'O') as bilou from tok left join (select doc_id, sent_id, tok_id, case when start = "end" then 'U-PROP' when start = tok_id then 'B-PROP' when "end" = tok_id then 'L-PROP' else 'I-PROP' end as bilou
+ from (select *, unnest(range(start, "end" + 1)) as tok_id from gs)) g on tok.doc_id = g.doc_id and tok.sent_id = g.sent_id and tok.tok_id = g.tok_id""")
 def spans_to_bilou(t, docs):
     return C.retagged(t, C.spans(C.entity_tags(t))).select("doc_id", "sent_id", "tok_id", "bilou")
 
@@ -271,29 +272,30 @@ def nonprojective_arcs(t, docs):
     return C.nonprojective(t.where("head > 0"), C.ancestors(t)).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
 
 
-@query("""select tok.doc_id, tok.sent_id, tok.tok_id, concat(case when h.tag is not null then case when h.tok_id < tok.tok_id then '<' else '>' end || h.tag end, case when g.tag is not null then case when g.tok_id < h.tok_id then '<' else '>' end || g.tag end) as ancestry from tok
- left join tok h on h.doc_id = tok.doc_id and h.sent_id = tok.sent_id and h.tok_id = tok.head left join tok g on g.doc_id = tok.doc_id and g.sent_id = tok.sent_id and g.tok_id = h.head""")
-def ancestry_strings(t, docs):
-    return C.ancestry(t).select("doc_id", "sent_id", "tok_id", "ancestry")
+_PACKED = "(select doc_id, sent_id, list(tag order by tok_id) as tags, list(head order by tok_id) as heads from tok group by 1, 2)"
 
 
-def _arcs(t: DataFrame) -> DataFrame:
-    return C.pruned_arcs(t, C.distance_limits(t))
+@query(f"""select doc_id, sent_id, tok_id, concat(case when h > 0 then case when h < tok_id then '<' else '>' end || tags[h] end, case when h > 0 and heads[h] > 0 then case when heads[h] < h then '<' else '>' end || tags[heads[h]] end) as ancestry
+ from (select *, heads[tok_id] as h from (select *, unnest(range(1, len(tags) + 1)) as tok_id from {_PACKED}))""")
+def ancestry_strings(t, docs):
+    return C.ancestry(t).select("doc_id", "sent_id", "tok_id", "ancestry")
 
 
-def _counted(parts: DataFrame) -> DataFrame:
-    """Parts of each sentence, gold ones, and a checksum of their positions."""
-    places = [c for c in parts.columns if c not in ("doc_id", "sent_id", "gold")]
-    return parts.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"), F.sum("gold").alias("n_gold"), F.sum(sum((F.col(c) * k for k, c in enumerate(places[1:], 2)), F.col(places[0]))).alias("places"))
+def packed_arcs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentence rows and the longest distances in them."""
+    rows = C.silver_rows(docs)
+    return rows, A.limits_of(rows)
 
 
 def _counted_sql(sql: str, *places: str) -> str:
-    return f"select doc_id, sent_id, count(*) as n, sum(gold)::bigint as n_gold, sum({' + '.join(f'{p} * {k}' for k, p in enumerate(places, 1))})::bigint as places from ({sql}) group by 1, 2"
+    sums = " + ".join(f"{p} * {k}" for k, p in enumerate(places, 1))
+    hashes = " + ".join(f"{p} * {f}" for p, f in zip(places, A.FACTORS, strict=False))
+    return f"select doc_id, sent_id, count(*) as n, sum(gold)::bigint as n_gold, sum({sums})::bigint as places, sum(({hashes}) % {A.MODULUS})::bigint as hashed from ({sql}) group by 1, 2"
 
 
 @query(_counted_sql("select doc_id, sent_id, h, m, gold from arcs", "h", "m"))
 def arc_candidates(t, docs):
-    return _counted(_arcs(t))
+    return A.counted(*packed_arcs(docs), "arcs")
 
 
 def _arc_pairs(on: str, cols: str, *places: str) -> str:
@@ -302,22 +304,22 @@ def _arc_pairs(on: str, cols: str, *places: str) -> str:
 
 @query(_arc_pairs("a.h = b.h and a.m < b.m", "a.h as h, a.m as m, b.m as s", "h", "m", "s"))
 def sibling_parts(t, docs):
-    return _counted(C.sibling_parts(_arcs(t)))
+    return A.counted(*packed_arcs(docs), "siblings")
 
 
 @query(_arc_pairs("a.m = b.h and a.h <> b.m", "a.h as g, b.h as h, b.m as m", "g", "h", "m"))
 def grandparents(t, docs):
-    return _counted(C.grandparent_parts(_arcs(t)))
+    return A.counted(*packed_arcs(docs), "grandparents")
 
 
 @query(_arc_pairs("a.m + 1 = b.m", "b.h as h, b.m as m, a.h as prev_h", "h", "m", "prev_h"))
 def head_bigrams(t, docs):
-    return _counted(C.head_bigram_parts(_arcs(t)))
+    return A.counted(*packed_arcs(docs), "head bigrams")
 
 
 @query(_arc_pairs("a.m = b.m and a.h < b.h", "a.h as h1, b.h as h2, a.m as m", "h1", "h2", "m"))
 def coparents(t, docs):
-    return _counted(C.coparent_parts(_arcs(t)))
+    return A.counted(*packed_arcs(docs), "coparents")
 
 
 _UNIGRAMS = "select tok.doc_id, tok.sent_id, tok.tok_id, a.tag as t, (a.tag = tok.tag)::int::bigint as gold from tok join (select distinct form, tag from tok) a on a.form = tok.form"
@@ -338,7 +340,7 @@ def bigram_parts(t, docs):
 
 @query("select doc_id, sent_id, m, arg_max(h, (score, -h)) as h, max(score) as score from sc group by 1, 2, 3")
 def label_argmax(t, docs):
-    return C.best_heads(C.silver_scores(_arcs(t)))
+    return A.best_heads(*packed_arcs(docs))
 
 
 _MARGINALS = "select doc_id, sent_id, h, m, gold, exp(score - top) / sum(exp(score - top)) over (partition by doc_id, sent_id, m) as p from (select *, max(score) over (partition by doc_id, sent_id, m) as top from sc)"
@@ -346,12 +348,12 @@ _MARGINALS = "select doc_id, sent_id, h, m, gold, exp(score - top) / sum(exp(sco
 
 @query(f"select doc_id, sent_id, h, m, round(p, 6) as p from ({_MARGINALS}) where gold = 1")
 def label_marginals(t, docs):
-    return C.marginals(C.silver_scores(_arcs(t))).where("gold = 1").select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p"))
+    return A.head_chances(*packed_arcs(docs)).where("gold = 1").select("doc_id", "sent_id", "h", "m", F.round("p", 6).alias("p"))
 
 
 @query("select doc_id, sent_id, m, string_agg(h, ',' order by rank) as heads from (select *, row_number() over (partition by doc_id, sent_id, m order by score desc, h) as rank, max(score) over (partition by doc_id, sent_id, m) as top from sc) where rank <= 3 and (rank = 1 or exp(score - top) >= 0.001) group by 1, 2, 3")
 def topk_heads(t, docs):
-    best = C.top_heads(C.silver_scores(_arcs(t)), 3, 0.001)
+    best = A.top_heads(*packed_arcs(docs), 3, 0.001)
     return best.groupBy("doc_id", "sent_id", "m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "h"))), lambda x: x["h"].cast("string")), ",").alias("heads"))
 
 
@@ -382,12 +384,12 @@ def linear_scores(t, docs):
 
 @query()
 def chu_liu_edmonds(t, docs):
-    return D.parsed(C.silver_scores(_arcs(t)))
+    return A.parsed(*packed_arcs(docs), D.arborescence)
 
 
 @query()
 def eisner(t, docs):
-    return D.parsed(C.silver_scores(_arcs(t)), D.projective)
+    return A.parsed(*packed_arcs(docs), D.projective)
 
 
 LABELS = ["FUNC", "NOUN", "NUM", "PROP", "PUNC", "VERB", "WORD"]

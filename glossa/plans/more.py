@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from glossa.functions import text as X
 from glossa.operators import corpus as C
 from glossa.operators import learn as L
+from glossa.operators import packed as A
 from glossa.operators import parts as P
 from glossa.operators import semantics as S
 from glossa.operators import templates as T
 from glossa.plans import catalogue as K
 from glossa.plans.catalogue import query
 
-_arcs, _counted, _counted_sql = K._arcs, K._counted, K._counted_sql
+_counted_sql, packed_arcs = K._counted_sql, K.packed_arcs
+
+
+def _arcs(docs: DataFrame) -> DataFrame:
+    return A.parts(*packed_arcs(docs), "arcs")
+
 
 # --- parts ----------------------------------------------------------------------------------------------------------
 
@@ -41,7 +47,7 @@ _NODES = """select *, min(case when gold = 1 then far end) over (partition by do
 
 @query(_counted_sql(f"select a.doc_id, a.sent_id, a.h, a.m, b.m as s, (a.gold = 1 and b.gold = 1 and coalesce(b.far = a.next_gold, false))::int as gold from ({_NODES}) a join ({_NODES}) b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and a.h = b.h and a.side = b.side and a.far < b.far", "h", "m", "s"))
 def consecutive_siblings(t, docs):
-    return _counted(P.consecutive_siblings(_arcs(t), t).drop("side"))
+    return A.counted(*packed_arcs(docs), "consecutive siblings")
 
 
 _SIDED = "(select *, case when m < h then 'L' else 'R' end as side from arcs where h > 0)"
@@ -49,12 +55,12 @@ _SIDED = "(select *, case when m < h then 'L' else 'R' end as side from arcs whe
 
 @query(_counted_sql(f"select a.doc_id, a.sent_id, a.h, a.m, b.m as s, c.m as t, a.gold * b.gold * c.gold as gold from {_SIDED} a join {_SIDED} b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and a.h = b.h and a.side = b.side and a.m < b.m join {_SIDED} c on b.doc_id = c.doc_id and b.sent_id = c.sent_id and b.h = c.h and b.side = c.side and b.m < c.m", "h", "m", "s", "t"))
 def tri_siblings(t, docs):
-    return _counted(P.tri_siblings(_arcs(t)))
+    return A.counted(*packed_arcs(docs), "tri-siblings")
 
 
 @query(_counted_sql(f"select a.doc_id, a.sent_id, u.h as g, a.h, a.m, b.m as s, a.gold * b.gold * u.gold as gold from {_SIDED} a join {_SIDED} b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and a.h = b.h and a.side = b.side and a.m < b.m join arcs u on u.doc_id = a.doc_id and u.sent_id = a.sent_id and u.m = a.h and u.h <> a.m and u.h <> b.m", "g", "h", "m", "s"))
 def grand_siblings(t, docs):
-    return _counted(P.grand_siblings(_arcs(t)))
+    return A.counted(*packed_arcs(docs), "grand-siblings")
 
 
 @query("select depth, count(*) as n from anc where anc > 0 group by depth")
@@ -64,7 +70,7 @@ def directed_paths(t, docs):
 
 @query("select n.doc_id, n.sent_id, n.tok_id - 1 as h, n.tok_id as m, (n.head = n.tok_id - 1)::int::bigint as gold from tok n where not exists (select 1 from arcs a where a.doc_id = n.doc_id and a.sent_id = n.sent_id and a.m = n.tok_id and a.h = n.tok_id - 1 and (a.h + a.m) % 3 > 0)")
 def projective_repair(t, docs):
-    return P.projective_repair(_arcs(t).where("(h + m) % 3 > 0"), t)
+    return P.projective_repair(_arcs(docs).where("(h + m) % 3 > 0"), t)
 
 
 _LABELS = "(select m.tag as m_tag, h.tag as h_tag, m.deprel as label from tok m join tok h on m.doc_id = h.doc_id and m.sent_id = h.sent_id and m.head = h.tok_id union select tag, '_START_', deprel from tok where head = 0)"
@@ -72,7 +78,7 @@ _LABELS = "(select m.tag as m_tag, h.tag as h_tag, m.deprel as label from tok m
 
 @query(f"select l.label, count(*) as n, sum((a.gold = 1 and l.label = m.deprel)::int)::bigint as n_gold from arcs a join tok m on m.doc_id = a.doc_id and m.sent_id = a.sent_id and m.tok_id = a.m left join tok h on h.doc_id = a.doc_id and h.sent_id = a.sent_id and h.tok_id = a.h join {_LABELS} l on l.m_tag = m.tag and l.h_tag = coalesce(h.tag, '_START_') group by 1")
 def labelled_arcs(t, docs):
-    return P.labelled_arcs(_arcs(t), t, P.allowed_labels(t)).groupBy("label").agg(F.count("*").alias("n"), F.sum("gold").alias("n_gold"))
+    return P.labelled_arcs(_arcs(docs), t, P.allowed_labels(t)).groupBy("label").agg(F.count("*").alias("n"), F.sum("gold").alias("n_gold"))
 
 
 @query("""select "left", "right", count(*) as n from (select coalesce(lag(deprel) over k, '_START_') as "left", deprel as "right" from tok window k as (partition by doc_id, sent_id, head order by tok_id)
@@ -89,7 +95,7 @@ def bigram_legality(t, docs):
 
 # --- semantics ------------------------------------------------------------------------------------------------------
 
-_ARGS = "(select m.doc_id, m.sent_id, h.tok_id as p, m.tok_id as a, 'A' || case when m.tok_id < h.tok_id then '0' else '1' end || '_' || m.tag as role from tok m join tok h on m.doc_id = h.doc_id and m.sent_id = h.sent_id and m.head = h.tok_id where h.tag = 'VERB')"
+_ARGS = f"(select doc_id, sent_id, heads[a] as p, a, 'A' || case when a < heads[a] then '0' else '1' end || '_' || tags[a] as role from (select *, unnest(range(1, len(tags) + 1)) as a from {K._PACKED}) where heads[a] > 0 and tags[heads[a]] = 'VERB')"
 
 
 @query(f"select doc_id, sent_id, p, a, role from {_ARGS}")
@@ -118,7 +124,7 @@ def semantic_scores(t, docs):
 def semantic_graph(t, docs):
     senses = t.where("tag = 'VERB'").select("doc_id", "sent_id", F.col("tok_id").alias("p"), F.explode(F.array(F.lit(1), F.lit(2))).alias("sense"), "form")
     senses = senses.select("doc_id", "sent_id", "p", "sense", F.when(F.col("sense") == 1, -9).otherwise(F.length("form") % 5 - 12).cast("double").alias("sense_score"))
-    scored = C.silver_scores(_arcs(t)).where("h > 0").withColumn("sense", F.explode(F.array(F.lit(1), F.lit(2)))).select("doc_id", "sent_id", F.col("h").alias("p"), "sense", (F.col("score") - F.col("sense") * 8).alias("score"))
+    scored = C.silver_scores(_arcs(docs)).where("h > 0").withColumn("sense", F.explode(F.array(F.lit(1), F.lit(2)))).select("doc_id", "sent_id", F.col("h").alias("p"), "sense", (F.col("score") - F.col("sense") * 8).alias("score"))
     return S.semantic_graph(scored, senses)
 
 
@@ -216,13 +222,14 @@ def chunk_prf_by_type(t, docs):
 @query("""select sum(gold)::bigint as n_kept, count(*) as n_arcs, (select count(*) from tok) as n_tokens from (select 1 as gold from tok where head = 0 union all select 0 from tok where head > 0 union all select (m.head = h.tok_id)::int from near m join tok h on h.doc_id = m.doc_id and h.sent_id = m.sent_id and h.tok_id = m.tok_id + m.off
  join (select m.tag as mt, h.tag as ht, case when h.tok_id < m.tok_id then 'L' else 'R' end as side, max(abs(m.head - m.tok_id)) as d from tok m join tok h on m.doc_id = h.doc_id and m.sent_id = h.sent_id and m.head = h.tok_id where m.lang = 'de' group by 1, 2, 3) l on l.mt = m.tag and l.ht = h.tag and l.side = case when h.tok_id < m.tok_id then 'L' else 'R' end and abs(m.off) <= l.d)""")
 def pruning_recall(t, docs):
-    arcs = C.pruned_arcs(t, C.distance_limits(t.where("lang = 'de'")), keep_gold=False)
-    return arcs.agg(F.sum("gold").alias("n_kept"), F.count("*").alias("n_arcs")).withColumn("n_tokens", F.lit(t.count()))
+    rows = C.silver_rows(docs)
+    arcs = A.counted(rows, A.limits_of(rows.where("lang = 'de'")), "arcs", keep_gold=False)
+    return arcs.agg(F.sum("n_gold").alias("n_kept"), F.sum("n").alias("n_arcs")).withColumn("n_tokens", rows.agg(F.sum(F.size("tag"))).scalar())
 
 
 @query("select count(*) as n_parts, sum((agree)::int)::bigint as n_agree from (select (a.h = t.head) = (a.h = t.pred_head) as agree from arcs a join tok t on t.doc_id = a.doc_id and t.sent_id = a.sent_id and t.tok_id = a.m)")
 def hamming_accuracy(t, docs):
-    arcs = _arcs(t).join(t.select("doc_id", "sent_id", F.col("tok_id").alias("m"), "pred_head"), ["doc_id", "sent_id", "m"])
+    arcs = _arcs(docs).join(t.select("doc_id", "sent_id", F.col("tok_id").alias("m"), "pred_head"), ["doc_id", "sent_id", "m"])
     return arcs.agg(F.count("*").alias("n_parts"), F.sum(((F.col("gold") == 1) == (F.col("h") == F.col("pred_head"))).cast("int")).alias("n_agree"))
 
 
