@@ -90,11 +90,10 @@ class _Queue:
         self.left, self.low = 0, 0
 
     def push(self, symbols: np.ndarray, places: np.ndarray, common: np.ndarray) -> None:
+        """Tuples in the order of their symbols."""
         if not len(symbols):
             return
-        of = self.bucket[symbols]
-        order = np.argsort(of, kind="stable")
-        rows, of = [v[order] for v in (symbols, places, common)], of[order]
+        rows, of = (symbols, places, common), self.bucket[symbols]
         edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             b = int(of[a])
@@ -166,6 +165,7 @@ def _handed_out(x: np.ndarray, small: np.ndarray, kind: bool, counts: np.ndarray
     top = len(counts) - 1
     turned = (lambda s: top - s) if kind else (lambda s: s)
     queue = _Queue(counts[::-1] if kind else counts, memory)
+    number = np.uint16 if 4 * top + 5 < 1 << 16 else np.int64  # short numbers are sorted by counting
     last = scratch(top + 1, np.int64, memory)  # 1 + the number of the latest source of the symbol
     least_at, least = np.zeros(0, np.int64), np.zeros(0, np.int32)  # suffix minima of what was handed out
     done, given, most, before = 0, 0, 256, (-1, False, -1)
@@ -176,18 +176,19 @@ def _handed_out(x: np.ndarray, small: np.ndarray, kind: bool, counts: np.ndarray
             more = [turned(x[at].astype(np.int32)), at, np.asarray(common[given : given + len(at)])]
             held, given = [np.concatenate(v) for v in zip(held, more, strict=True)], given + len(at)
         q, s = queue.peek(most), [v[:most] for v in held]
-        keys = np.concatenate([2 * q[0].astype(np.int64), 2 * s[0].astype(np.int64) + 1])
-        order = np.argsort(keys, kind="stable")
-        bound = 2 * int(q[0][-1]) if len(q[0]) < queue.left else 4 * top + 4
-        bound = min(bound, 2 * int(s[0][-1]) + 1) if len(s[0]) < len(held[0]) or given < len(places) else bound
-        order = order[: np.searchsorted(keys[order], bound, side="right")]
+        # Neither side may go beyond what the other has shown so far.
+        above = 2 * int(q[0][-1]) if len(q[0]) < queue.left else 4 * top + 4
+        bound = 2 * int(s[0][-1]) + 1 if len(s[0]) < len(held[0]) or given < len(places) else 4 * top + 4
+        q, s = ([v[: np.searchsorted(w[0], most_of, side="right")] for v in w] for w, most_of in ((q, bound // 2), (s, (above - 1) // 2)))
+        keys = np.concatenate([2 * q[0].astype(number), 2 * s[0].astype(number) + number(1)])
+        order = np.argsort(keys, kind="stable") if len(q[0]) and len(s[0]) else np.arange(len(keys))
         n = len(order)
         queued = order < len(q[0])
         symbol, place, shared = (np.concatenate([a, b])[order] for a, b in zip(q, s, strict=True))
         previous = np.maximum(place - 1, 0)
         induces = (place > 0) & (small[previous] == kind)
         target = turned(x[previous].astype(np.int32))
-        earliest = np.minimum.accumulate(np.where(induces, 2 * target.astype(np.int64), 4 * top + 4))
+        earliest = np.minimum.accumulate(np.where(induces, 2 * target.astype(number), number(4 * top + 4)))
         late = np.flatnonzero(keys[order][1:] > earliest[:-1])
         if len(late):
             n = int(late[0]) + 1
@@ -211,7 +212,7 @@ def _handed_out(x: np.ndarray, small: np.ndarray, kind: bool, counts: np.ndarray
         source = np.flatnonzero(induces)
         if len(source):
             to = target[source]
-            by = np.argsort(to, kind="stable")
+            by = np.argsort(to.astype(number), kind="stable")
             first = np.append(True, to[by][1:] != to[by][:-1])
             to_common = np.zeros(len(source), np.int32)
             again = by[~first]
@@ -225,7 +226,7 @@ def _handed_out(x: np.ndarray, small: np.ndarray, kind: bool, counts: np.ndarray
                 to_common[old] = np.minimum(far, np.minimum.accumulate(shared)[source[old]])
             to_common = np.where(to_common < EQUAL, to_common + 1, EQUAL).astype(np.int32)
             to_common[new[~known]] = 0
-            queue.push(to, place[source] - 1, to_common)
+            queue.push(to[by], place[source[by]] - 1, to_common[by])
             ends = np.append(np.flatnonzero(first)[1:] - 1, len(by) - 1)
             last[to[by[ends]]] = done + source[by[ends]] + 1
         suffix = np.minimum.accumulate(shared[::-1])[::-1]
@@ -270,7 +271,7 @@ def _doubled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranks, width = [rank.astype(np.int32)], 1
     while True:
         key = (rank << 32) | np.append(rank[width:] + 1, np.zeros(min(width, n), np.int64))[:n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.append(False, key[order][1:] != key[order][:-1])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
@@ -298,10 +299,10 @@ def by_induction(x: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.nd
     is_seed = lambda a, z: small[a:z] & ~np.append(small[a - 1] if a else True, small[a : z - 1])
     total = sum(int(is_seed(a, z).sum()) for a, z in chunks)
     seeds = scratch(total, np.int64, memory)
-    n = 0
+    n, number = 0, scratch(len(x), np.int32, memory)  # of the seed at each place
     for a, z in chunks:
         found = np.flatnonzero(is_seed(a, z)) + a
-        seeds[n : n + len(found)] = found
+        seeds[n : n + len(found)], number[found] = found, np.arange(n, n + len(found))
         n += len(found)
     # 1. Pieces: seeds by their first symbol, equal ones among themselves.
     by_symbol = scratch(total, np.int64, memory)
@@ -329,11 +330,11 @@ def by_induction(x: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.nd
         new = low < EQUAL
         new[0] |= name < 0
         named = name + np.cumsum(new)
-        names[np.searchsorted(seeds, place[here])] = named
+        names[number[place[here]]] = named
         least.append(low[new])
         name, so_far = int(named[-1]), so_far + len(here)
     least = np.concatenate(least)
-    del suffixes, shared
+    del suffixes, shared, number
     # 2. The order of the seeds' suffixes is that of the string of names.
     if name + 1 == total:
         order, common = scratch(total, np.int64, memory), np.broadcast_to(np.int32(0), total)
