@@ -8,8 +8,8 @@ pairs are made in bounded pieces, so a long sentence's pairs under the root neve
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -47,6 +47,7 @@ class Arcs:
     gold: np.ndarray
     start: np.ndarray  # of each token: its first arc; one entry more than tokens
     offset: np.ndarray  # of each sentence: its first token; one entry more than sentences
+    flat: dict[str, pa.Array] = field(default_factory=dict)  # columns of tokens
 
     @cached_property
     def token(self) -> np.ndarray:
@@ -211,13 +212,13 @@ KINDS: dict[str, tuple[Callable[[Arcs], Parts], tuple[str, ...]]] = {
 FACTORS, MODULUS = (7919, 104729, 1299709, 15485863), 1_000_003
 
 
-def slices_of(batch: pa.RecordBatch, *lists: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[pa.Array]]]:
+def slices_of(batch: pa.RecordBatch, lists: Sequence[str], tokens: int = TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[pa.Array]]]:
     """Slices of a batch of some TOKENS tokens: the slice, offsets of its sentences and the flat values of the list columns."""
     n = pc.list_value_length(batch.column(lists[0])).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(n)
     a = 0
     while a < len(n):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, side="right")))
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + tokens, side="right")))
         part = batch.slice(a, z - a)
         yield part, np.append(0, np.cumsum(n[a:z])), [part.column(c).flatten() for c in lists]
         a = z
@@ -233,24 +234,32 @@ def _limit(table: list[dict]) -> tuple[pa.Array, np.ndarray]:
     return pa.array(names, pa.string()), out
 
 
-def on_arcs(rows: DataFrame, limits: DataFrame, schema: str, run: Callable[[pa.RecordBatch, Arcs], Iterator[list]], keep_gold: bool = True) -> DataFrame:
-    """Rows that run makes of a slice of sentences and its pruned arcs, as lists of columns in the order of the schema."""
+def on_arcs(rows: DataFrame, limits: DataFrame, schema: str, run: Callable, keep_gold: bool = True, columns: Sequence[str] = (), tokens: int = TOKENS, stateful: bool = False) -> DataFrame:
+    """Rows that run(slice, arcs) makes of a slice of sentences and its pruned arcs, as lists of columns in the order of the schema.
+
+    columns: more list columns of tokens, given as arcs.flat. tokens: of a slice. stateful: run() is called once for each task
+    and gives the function and another one for the end.
+    """
     packed = limits.agg(F.sort_array(F.collect_list(F.struct("m_tag", "h_tag", "side", "distance"))).alias("limits"))
     whole = rows.withColumn("limits", packed.scalar())
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    lists = ["tag", "head", *columns]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags = limit = None
+        on, end = run() if stateful else (run, lambda: ())
+        made = lambda found: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in found], names=names)
         for big in batches:
             if big.num_rows and tags is None:
                 tags, limit = _limit(big.column("limits")[0].as_py())
-            for part, offset, (tag, head) in slices_of(big, "tag", "head"):
-                codes = pc.fill_null(pc.index_in(tag, tags), len(tags)).to_numpy().astype(np.int64)
-                arcs = pruned(codes, head.to_numpy().astype(np.int64), offset, limit, keep_gold)
-                for columns in run(part, arcs):
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+            for part, offset, flat in slices_of(big, lists, tokens):
+                codes = pc.fill_null(pc.index_in(flat[0], tags), len(tags)).to_numpy().astype(np.int64)
+                arcs = pruned(codes, flat[1].to_numpy().astype(np.int64), offset, limit, keep_gold)
+                arcs.flat = dict(zip(lists, flat, strict=True))
+                yield from map(made, on(part, arcs))
+        yield from map(made, end())
 
-    return whole.select(*SENT, "tag", "head", "limits").mapInArrow(each, schema)
+    return whole.select(*SENT, *lists, "limits").mapInArrow(each, schema)
 
 
 def _ids(part: pa.RecordBatch, sent: np.ndarray) -> list[pa.Array]:
@@ -344,7 +353,7 @@ def top_heads(rows: DataFrame, limits: DataFrame, k: int = 10, ratio: float = 1e
     return on_arcs(rows, limits, "doc_id bigint, sent_id int, m int, h int, rank int, p double", run)
 
 
-def parsed(rows: DataFrame, limits: DataFrame, decoder: Callable[[np.ndarray], list[int]], score: Score = silver_score) -> DataFrame:
+def parsed(rows: DataFrame, limits: DataFrame, decoder: Callable[[np.ndarray], list[int]], score: Score = silver_score, columns: Sequence[str] = ()) -> DataFrame:
     """doc_id, sent_id, m, h: the decoder's heads from the matrix of a sentence's scores."""
 
     def run(part: pa.RecordBatch, a: Arcs) -> Iterator[list]:
@@ -359,4 +368,32 @@ def parsed(rows: DataFrame, limits: DataFrame, decoder: Callable[[np.ndarray], l
         sent = np.repeat(np.arange(len(n)), n)
         yield [*_ids(part, sent), (np.arange(len(sent)) - a.offset[sent] + 1).astype(np.int32), np.concatenate(heads) if heads else np.zeros(0, np.int32)]
 
-    return on_arcs(spread_of(rows), limits, "doc_id bigint, sent_id int, m int, h int", run)
+    return on_arcs(spread_of(rows), limits, "doc_id bigint, sent_id int, m int, h int", run, columns=columns)
+
+
+def tree_totals(rows: DataFrame, limits: DataFrame, decoder: Callable[[np.ndarray], list[int]], score: Score = silver_score) -> DataFrame:
+    """doc_id, sent_id, n, is_tree, greedy, total: whether the decoder's heads are a tree, whether each token's best head (of equal
+    ones the smallest) makes one, and if so the total of the decoder's tree, which must be theirs."""
+
+    def run(part: pa.RecordBatch, a: Arcs) -> Iterator[list]:
+        s, out = score(part, a), []
+        for k, n in enumerate(np.diff(a.offset).tolist()):
+            of = slice(int(a.start[a.offset[k]]), int(a.start[a.offset[k + 1]]))
+            matrix = np.full((n + 1, n + 1), -np.inf)
+            matrix[a.h[of], a.m[of]] = s[of]
+            heads, best = np.array(decoder(matrix)), matrix.argmax(0)
+            greedy = reaches_root(best)
+            out.append((n, reaches_root(heads), greedy, float(matrix[heads[1:], np.arange(1, n + 1)].sum()) if greedy else None))
+        n, tree, greedy, total = zip(*out, strict=True) if out else ([], [], [], [])
+        yield [*[part.column(c) for c in SENT], pa.array(n, pa.int64()), pa.array(tree, pa.bool_()), pa.array(greedy, pa.bool_()), pa.array(total, pa.float64())]
+
+    return on_arcs(spread_of(rows), limits, "doc_id bigint, sent_id int, n bigint, is_tree boolean, greedy boolean, total double", run)
+
+
+def reaches_root(heads: np.ndarray) -> bool:
+    """Whether all nodes from 1 on come to 0 by their heads: pointers jump twice as far each time."""
+    at = heads.copy()
+    at[0] = 0
+    for _ in range(int(len(heads)).bit_length()):
+        at = at[at]
+    return not at.any()

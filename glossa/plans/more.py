@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as X
+from glossa.operators import automata as H
 from glossa.operators import corpus as C
+from glossa.operators import decode as D
 from glossa.operators import learn as L
 from glossa.operators import packed as A
 from glossa.operators import parts as P
 from glossa.operators import semantics as S
 from glossa.operators import templates as T
+from glossa.operators import treelearn as TL
 from glossa.plans import catalogue as K
 from glossa.plans.catalogue import query
 
@@ -233,6 +236,42 @@ def hamming_accuracy(t, docs):
     return arcs.agg(F.count("*").alias("n_parts"), F.sum(((F.col("gold") == 1) == (F.col("h") == F.col("pred_head"))).cast("int")).alias("n_agree"))
 
 
+def _walk_score(h, m, s):
+    return ((h * 3 + m * 5 + s * 7) % 5 - 2).astype(float)
+
+
+def _grand_score(g, h, m):
+    return ((g * 2 + h * 3 + m * 5) % 3 - 1).astype(float)
+
+
+@query()
+def second_order_trees(t, docs):
+    """Trees by scores of arcs, neighbouring modifiers and heads of heads; valid: the heads are a tree with the value's arcs."""
+    found = H.second_order(*packed_arcs(docs), sibling=_walk_score, grand=_grand_score, rounds=40, grid=1.0)
+    return found.select("doc_id", "sent_id", F.size("heads").alias("n"), F.array_join(F.col("heads").cast("array<string>"), " ").alias("heads"), "value", "exact")
+
+
+_GREEDY = """(with recursive best as (select doc_id, sent_id, m, arg_max(h, (score, -h)) as h, max(score) as score from sc group by 1, 2, 3),
+ up(doc_id, sent_id, m, pos) as (select doc_id, sent_id, m, h from best union select u.doc_id, u.sent_id, u.m, b.h from up u join best b on b.doc_id = u.doc_id and b.sent_id = u.sent_id and b.m = u.pos),
+ good as (select doc_id, sent_id, count(distinct m) as reached from up where pos = 0 group by 1, 2)
+ select b.doc_id, b.sent_id, count(*) as n, sum(score) as total, count(*) = coalesce(max(g.reached), 0) as greedy from best b left join good g on g.doc_id = b.doc_id and g.sent_id = b.sent_id group by 1, 2)"""
+
+
+@query(f"select doc_id, sent_id, n, true as is_tree, greedy, case when greedy then total end as total from {_GREEDY}")
+def spanning_tree_totals(t, docs):
+    """Of each sentence's maximum spanning tree: that it is one, and its total where each token's best head makes a tree."""
+    return A.tree_totals(*packed_arcs(docs), D.arborescence)
+
+
+@query()
+def trained_pruning(t, docs):
+    """What a first-order model, trained by tree marginals on every document but the Spanish ones, keeps of the arcs of each language."""
+    rows, limits = packed_arcs(docs)
+    weights = TL.trained(rows.where("lang <> 'es'"), limits)
+    kept = TL.pruned_by(rows, limits, weights, k=3, ratio=1e-3).join(docs.select("doc_id", "lang"), "doc_id")
+    return kept.groupBy("lang").agg(F.sum("gold").alias("n_gold"), F.count("*").alias("n_kept"), F.count_distinct("doc_id", "sent_id", "m").alias("n_tokens"))
+
+
 # --- features and weights -------------------------------------------------------------------------------------------
 
 
