@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.corpus import SENT, with_heads
-from glossa.sources.tables import table
 
 
 def predicate_arguments(tokens: DataFrame) -> DataFrame:
@@ -82,40 +81,6 @@ def mentions(entities: DataFrame, nouns: DataFrame) -> DataFrame:
     return both.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "start", "end")))
 
 
-#: Mentions of a document that a mention is compared with.
-REACH = 10
-
-
-def antecedents(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, j, k, mentions, sentences, score: each mention k with the mentions j before it within reach, and none (j = 0).
-
-    Distances stop at 10. Candidates are made by number and joined by equality. The score is a rule over positions.
-    """
-    k = found.select("doc_id", F.col("ord").alias("k"), F.col("sent_id").alias("k_sent"), F.col("start").alias("k_start"))
-    j = found.select("doc_id", F.col("ord").alias("j"), F.col("sent_id").alias("j_sent"), F.col("start").alias("j_start"))
-    pairs = k.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(1), F.col("k") - reach), F.col("k")))).where("j < k").join(j, ["doc_id", "j"])
-    apart, sents = F.least(F.lit(10), F.col("k") - F.col("j")), F.least(F.lit(10), F.col("k_sent") - F.col("j_sent"))
-    score = (F.col("j_start") * 7 + F.col("k_start") * 13 + F.col("doc_id")) % 17 - apart
-    real = pairs.select("doc_id", "j", "k", apart.alias("mentions"), sents.alias("sentences"), score.alias("score"))
-    return real.unionByName(k.select("doc_id", F.lit(0).alias("j"), "k", F.lit(0).alias("mentions"), F.lit(0).alias("sentences"), F.lit(4).alias("score")))
-
-
-def entity_clusters(scored: DataFrame) -> DataFrame:
-    """doc_id, k, antecedent (0: none), entity: each mention's best antecedent (the nearest of equal ones) and its chain's first.
-
-    Chains are followed by doubling: each round a mention takes its antecedent's antecedent; lineage is cut each round.
-    """
-    best = scored.groupBy("doc_id", "k").agg(F.max_by("j", F.struct("score", "j")).alias("antecedent"))
-    links = table(best.withColumn("entity", F.when(F.col("antecedent") == 0, F.col("k")).otherwise(F.col("antecedent"))))
-    while True:
-        jump = links.select("doc_id", F.col("k").alias("entity"), F.col("entity").alias("beyond"))
-        moved = (F.col("beyond") != F.col("entity")).alias("moved")
-        new = table(links.join(jump, ["doc_id", "entity"]).select("doc_id", "k", "antecedent", F.col("beyond").alias("entity"), moved))
-        if not new.where("moved").limit(1).count():
-            return new.drop("moved")
-        links = new.drop("moved")
-
-
 def number_and_gender(counts: DataFrame) -> DataFrame:
     """counts (male, female, neutral, plural) with number and gender; a gender needs 3 and twice the others, else unknown."""
     m, f, n = F.col("male"), F.col("female"), F.col("neutral")

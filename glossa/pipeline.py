@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as X
+from glossa.operators import coreference as R
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
 from glossa.operators import learn as L
@@ -64,5 +65,5 @@ class Annotator:
         """Mentions with their entity: doc_id, sent_id, start, end, kind, ord, entity."""
         runs = S.descendant_runs(parsed, C.ancestors(parsed), F.col("tag").isin("NOUN", "PROP"))
         found = S.mentions(self.recognize_entities(parsed, kinds), S.biggest_by_head(runs))
-        clusters = S.entity_clusters(S.antecedents(found)).select("doc_id", F.col("k").alias("ord"), "entity")
+        clusters = R.entity_clusters(R.document_rows(found)).select("doc_id", F.col("k").alias("ord"), "entity")
         return found.join(clusters, ["doc_id", "ord"])

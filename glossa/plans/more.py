@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as X
 from glossa.operators import automata as H
+from glossa.operators import coreference as R
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
 from glossa.operators import learn as L
@@ -166,19 +167,36 @@ def mentions(t, docs):
     return _mentions(t)
 
 
-_ANTE = f"""(select k.doc_id, j.ord as j, k.ord as k, least(10, k.ord - j.ord) as mentions, least(10, k.sent_id - j.sent_id) as sentences, (j.start * 7 + k.start * 13 + k.doc_id) % 17 - least(10, k.ord - j.ord) as score from (select *, unnest(range(greatest(1, ord - 10), ord)) as jo from {_MENTIONS}) k join {_MENTIONS} j on j.doc_id = k.doc_id and j.ord = k.jo
+_ANTE = f"""(select k.doc_id, j.ord as j, k.ord as k, least(10, k.ord - j.ord) as mentions, least(10, k.sent_id - j.sent_id) as sentences, (j.start * 7 + k.start * 13 + k.doc_id) % 17 - least(10, k.ord - j.ord) as score from {_MENTIONS} k join {_MENTIONS} j on j.doc_id = k.doc_id and j.ord < k.ord
  union all select doc_id, 0, ord, 0, 0, 4 from {_MENTIONS})"""
 
 
 @query(f"select mentions, sentences, count(*) as n, sum(score)::bigint as score from {_ANTE} group by 1, 2")
 def mention_pairs(t, docs):
-    return S.antecedents(_mentions(t)).groupBy("mentions", "sentences").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return R.pair_distances(R.document_rows(_mentions(t)))
 
 
 @query(f"""select doc_id, k, antecedent, entity from (with recursive best as materialized (select doc_id, k, arg_max(j, (score, j)) as antecedent from {_ANTE} group by 1, 2),
  chain(doc_id, k, antecedent, entity) as (select doc_id, k, antecedent, k from best where antecedent = 0 union all select b.doc_id, b.k, b.antecedent, c.entity from chain c join best b on b.doc_id = c.doc_id and b.antecedent = c.k) select * from chain)""")
 def entity_clusters(t, docs):
-    return S.entity_clusters(S.antecedents(_mentions(t)))
+    return R.entity_clusters(R.document_rows(_mentions(t)))
+
+
+@query()
+def learned_clusters(t, docs):
+    """A model of latent antecedents, trained on documents of three languages with entities of equal last forms, on all documents:
+    mentions, and those whose antecedent is of their entity or rightly none, by language."""
+    last = t.select("doc_id", "sent_id", F.col("tok_id").alias("end"), "lang", X.ascii_lower(F.col("form")).alias("head"))
+    found = _mentions(t).join(last, ["doc_id", "sent_id", "end"]).withColumn("entity", F.col("head"))
+    rows = R.document_rows(found, "head", "kind", "entity")
+    weights = R.trained(rows.join(docs.where("lang <> 'es'").select("doc_id"), "doc_id", "left_semi"))
+    chosen = R.entity_clusters(rows, *R.scorers(rows, weights))
+    gold = found.select("doc_id", F.col("ord").alias("k"), "lang", "entity")
+    first = gold.groupBy("doc_id", "entity").agg(F.min("k").alias("first"))
+    both = chosen.select("doc_id", "k", "antecedent").join(gold, ["doc_id", "k"]).join(first, ["doc_id", "entity"])
+    other = gold.select("doc_id", F.col("k").alias("antecedent"), F.col("entity").alias("theirs"))
+    right = F.when(F.col("antecedent") == 0, F.col("k") == F.col("first")).otherwise(F.col("theirs") == F.col("entity"))
+    return both.join(other, ["doc_id", "antecedent"], "left").groupBy("lang").agg(F.count("*").alias("n"), F.sum(right.cast("int")).alias("n_right"))
 
 
 _COUNTS = "select form, sum((lang = 'en')::int)::bigint as male, sum((lang = 'de')::int)::bigint as female, sum((lang = 'fr')::int)::bigint as neutral, sum((lang = 'es')::int)::bigint as plural from tok group by form"
