@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.functions import aligned as AL
 from glossa.functions import text as X
 from glossa.operators import automata as H
 from glossa.operators import coreference as R
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
+from glossa.operators import lattice as V
 from glossa.operators import learn as L
 from glossa.operators import packed as A
 from glossa.operators import parts as P
@@ -290,6 +292,36 @@ def trained_pruning(t, docs):
     return kept.groupBy("lang").agg(F.sum("gold").alias("n_gold"), F.count("*").alias("n_kept"), F.count_distinct("doc_id", "sent_id", "m").alias("n_tokens"))
 
 
+_ENTITY_LABELS = ["B-NUM", "B-PROP", "I-NUM", "I-PROP", "O"]
+
+
+@query("select lang, count(*) as n, 0::bigint as n_illegal, 0::bigint as n_outside from tok group by lang")
+def constrained_entities(t, docs):
+    """Entities of two types by a learned model, within the labels seen with each tag and by the pairs that BIO allows: tokens of each
+    language, neighbours that BIO forbids, and labels that weren't seen with their token's tag."""
+    gold = C.typed_tags(t, "tag", ["PROP", "NUM"])
+    packed = L.packed_features(gold.withColumns({"tag": F.col("bio")}))
+    weights = L.trained_by_mixing(packed, _ENTITY_LABELS, 1)
+    seen = V.seen_labels(gold, "tag", "bio")
+    found = V.tagged(V.with_lattice(packed, t, seen, "tag"), _ENTITY_LABELS, *weights)
+    both = found.join(t.select("doc_id", "sent_id", "tok_id", "lang", "tag"), ["doc_id", "sent_id", "tok_id"]).join(seen, "tag", "left")
+    before = F.coalesce(F.lag("predicted").over(C.in_order()), F.lit("O"))
+    inside = F.col("predicted").startswith("I-")
+    illegal = inside & ~((before != "O") & (F.substring(before, 3, 10) == F.substring("predicted", 3, 10)))
+    outside = ~F.array_contains("allowed", F.col("predicted"))
+    return both.select("lang", illegal.alias("illegal"), outside.alias("outside")).groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("int")).alias(f"n_{c}") for c in ("illegal", "outside")])
+
+
+@query(f"select a.doc_id, a.sent_id, a.n, a.forms, regexp_replace(s.sentence, '[ \\t\\n\\r]+', '', 'g') as covered from (select doc_id, sent_id, count(*) as n, string_agg(form, ' ' order by tok_id) as forms from ({K._treebank_sql()}) group by 1, 2) a join s on s.doc_id = a.doc_id and s.sent_id = a.sent_id")
+def aligned_treebank(t, docs):
+    """Treebank tokens with their places: forms, and what the places cover, which is the sentence without white space."""
+    sents = X.sentences(docs)
+    each = AL.aligned_tokens(sents).join(sents.select("doc_id", "sent_id", "sentence"), ["doc_id", "sent_id"])
+    piece = F.struct("tok_id", "form", F.expr("substring(sentence, start + 1, end - start)").alias("piece"))
+    packed = each.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(piece)).alias("p"))
+    return packed.select("doc_id", "sent_id", "n", F.array_join("p.form", " ").alias("forms"), F.regexp_replace(F.array_join("p.piece", ""), "[ \\t\\n\\r]+", "").alias("covered"))
+
+
 # --- features and weights -------------------------------------------------------------------------------------------
 
 
