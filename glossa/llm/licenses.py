@@ -328,8 +328,8 @@ def _spelled(core: str) -> str:
 @lru_cache
 def rules() -> tuple[tuple[str, str, str, float], ...]:
     """(label, keyword, pattern, confidence) in order of priority; a name's confidence is 0 until its context is known."""
-    # One id or one of an expression: the words between are of the expression.
-    before = r"(?<= spdx license identifier | spdx license identifier [a-z0-9 ]{1,120} (?:or|and) )"
+    # One id or one of an expression: the words between are of the expression, some 400 ids long (look-behind needs a bound).
+    before = r"(?<= spdx license identifier | spdx license identifier [a-z0-9 ]{1,4000} (?:or|and) )"
     spdx = [(label, "spdx", f"(?<= )(?={core} ){before}{core}(?= )", 1.0) for label, core in SPDX_IDS]
     texts = [(label, keyword, f"(?<= ){_spelled(core)}(?= )", 0.95) for label, keyword, core in (*TEXTS, *NOTICES)]
     keywords = lambda k: ("license", "licence") if k == "license" else (k,)

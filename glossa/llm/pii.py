@@ -46,8 +46,8 @@ def _iban_pattern() -> str:
 
 #: Kinds in order of preference where two would start at the same place, each with its pattern.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,})(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,24}",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?i:password|passwd|pwd|token|secret|api_?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9_+/-]{8,})(?![A-Za-z0-9])",
     "iban": _iban_pattern(),
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
@@ -60,7 +60,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 def hinted(x: Column) -> Column:
     """Whether x has what every match has: a digit, @, = or :, or a known key prefix. Other texts skip the patterns."""
-    return x.rlike("[0-9@=:]") | x.contains("ghp_") | x.contains("sk-") | x.contains("AKIA")
+    return x.rlike("[0-9@=:]") | x.contains("ghp_") | x.contains("sk-") | x.contains("AKIA") | x.contains("glpat-") | x.contains("eyJ")
 
 
 def _digits(x: Column) -> Column:
@@ -227,7 +227,7 @@ def _ssn(x: Column, key: str) -> Column:
 
 def _secret(x: Column, key: str) -> Column:
     """The name before = or : and a known prefix stay, the value is permuted."""
-    head = F.regexp_extract(x, r"^((?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?|AKIA|ghp_|sk-)", 1)
+    head = F.regexp_extract(x, r"^((?i:password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?|AKIA|ghp_|sk-|glpat-|eyJ)", 1)
     return F.concat(head, permuted(F.substring(x, F.length(head) + 1, F.length(x)), key, "secret"))
 
 

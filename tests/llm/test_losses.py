@@ -5,7 +5,7 @@ import hashlib
 import re
 import string
 
-from glossa.llm import pii
+from glossa.llm import licenses, pii
 
 
 def test_values_followed_by_other_tokens(spark):
@@ -117,3 +117,18 @@ def test_pii_keeps_clashing_columns(spark):
     assert got.columns[:5] == ["doc_id", "text", "found", "made", "a.b"] and got.first()[2:5] == ("a", "b", "c") and got.first()["n_pii"] == 1
     long = spark.createDataFrame([(1, "mail a@b.co " * 40000), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.n_email for r in pii.pseudonymised(long).collect()} == {1: 40000, 2: 0}
+
+
+def test_values_beyond_earlier_bounds_are_found(spark):
+    long_domain, long_name = "me@" + ".".join("abcdefghijkl") + ".com", "n" * 90 + "@site.org"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+    texts = [long_domain, long_name, "password      =       hunter2hunter2", "glpat-" + "aB3_" * 6, f"bearer {jwt}"]
+    out = [r.text for r in pii.pseudonymised(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").orderBy("doc_id")).orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts, out, strict=True))
+    assert out[0].endswith(".com") and out[1].endswith("@" + out[1].rpartition("@")[2]) and out[2].startswith("password      =       ") and out[3].startswith("glpat-") and "eyJ" in out[4]
+
+
+def test_late_ids_of_an_expression_are_found(spark):
+    ids = " OR ".join(["MIT", "Apache-2.0", "GPL-2.0-only", "LGPL-2.1-only", "MPL-2.0", "EPL-2.0", "BSD-3-Clause", "ISC", "AGPL-3.0-only", "BSD-2-Clause"] * 4 + ["Zlib"])
+    row = licenses.scanned(spark.createDataFrame([(1, f"SPDX-License-Identifier: {ids} end")], "doc_id long, text string")).first()
+    assert "zlib" in row.labels.split(",")
