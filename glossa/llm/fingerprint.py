@@ -7,10 +7,11 @@ character class and step, how many steps the walk stays. A fingerprint samples S
 same steps for all texts of about one length (each slot takes the step with the smallest hash of those below the
 walk's length), and keeps 8 bits of the characters there.
 
-Bands of sampled slots are the keys of buckets: two texts that agree in a share p of their slots share one of 32 bands of 6
-slots with probability 0.78 at p = 0.6, 0.98 at 0.7 and 1.00 at 0.8. Candidates are verified by the edit distance of the whole
-texts (`near_classes` for any pairs of a corpus, `compared` for neighbours). The embedding is random: two walks may stay apart
-after an early edit, so `near_classes` misses some links (3 of 120 documents of its test), but joins nothing that distances don't.
+A walk that falls out of step early stays out for long, and a shift by a sentence is never made up. So the bands that find near
+copies take WALKS short walks of a text, which start where the hash of a GRAM-character string is least (a place that an edit
+elsewhere doesn't move) and go over STRETCH characters. A band samples BAND_SLOTS slots of different walks, so texts that
+share one passage, and with it a few walks, seldom share a band. Candidates are verified by the edit distance of the whole texts
+(`near_classes`). Of the pairs of sf0.01 with an edit similarity of 0.8 or more at least 0.9 share a band (test_fingerprint).
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint; texts are walked whole; equal texts have
 equal fingerprints; repeated rows get equal rows; an empty table gives an empty one; other columns are not read.
@@ -35,8 +36,10 @@ from glossa.llm.neardup import grouped, keyed_texts
 from glossa.llm.session import ranges, written
 
 SLOTS = 128
+#: Walks of the bands, the strings at whose least hash they start, and the characters that they go over.
+WALKS, GRAM, STRETCH = 16, 12, 96
 #: Bands of sampled slots, and the edit similarity that links two texts.
-BANDS, BAND_SLOTS, SIMILARITY = 32, 6, 0.8
+BANDS, BAND_SLOTS, SIMILARITY = 48, 4, 0.8
 CELLS = 16
 CLASSES, PERIOD = 64, 1024
 MASK = PERIOD - 1
@@ -72,8 +75,11 @@ for _i, _r in enumerate(_RECORDS):
     _TABLE[_i, : len(_r)] = _r
 
 
-#: The slots of each band, drawn without repeats inside a band.
-_BAND_PLACES = np.stack([np.random.Generator(np.random.PCG64(100 + k)).choice(SLOTS, BAND_SLOTS, replace=False) for k in range(BANDS)])
+_DRAW = np.random.Generator(np.random.PCG64(100))
+#: The walk and the slot of each of a band's samples; a band's walks differ.
+_BAND_WALKS = np.stack([_DRAW.choice(WALKS, BAND_SLOTS, replace=False) for _ in range(BANDS)])
+_BAND_PLACES = _DRAW.integers(0, SLOTS, (BANDS, BAND_SLOTS))
+_STARTS = _DRAW.integers(1, 2**63, WALKS, dtype=np.uint64)
 
 
 def classes_of(text: np.ndarray) -> np.ndarray:
@@ -112,17 +118,23 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
-def band_keys(fingerprint: bytes) -> np.ndarray:
-    """BANDS 64-bit keys of BAND_SLOTS sampled slots each."""
-    slots = np.frombuffer(fingerprint, np.uint8)[_BAND_PLACES].astype(np.uint64)
+def band_keys(text: np.ndarray) -> np.ndarray:
+    """BANDS 64-bit keys of a text (code points), from slots of its short walks."""
+    grams = np.zeros(max(len(text) - GRAM + 1, 1), np.uint64)
+    for k in range(min(GRAM, len(text))):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + text[k : k + len(grams)].astype(np.uint64)
+    starts = [int(mix(grams + seed).argmin()) for seed in _STARTS]
+    parts = [text[a : a + STRETCH] for a in starts]
+    slots = np.stack([np.frombuffer(_sample(p, walk(p)), np.uint8) for p in parts])[_BAND_WALKS, _BAND_PLACES].astype(np.uint64)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND_SLOTS):
         out = mix(out * np.uint64(256) + slots[:, k] + np.uint64(1))
     return out
 
 
-def edit_distance(a: str, b: str) -> int:
-    """The least number of inserted, deleted and replaced characters, by bit vectors over the shorter text."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """The least number of inserted, deleted and replaced characters, by bit vectors over the shorter text; any number above
+    `most` if it is more, found as soon as the rest of the longer text can't make up for it."""
     if len(a) > len(b):
         a, b = b, a
     start = len(commonprefix([a, b]))
@@ -136,7 +148,9 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)  # vertical steps of +1 and -1 of the current column
-    for c in b:
+    for left_over, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        if most is not None and distance - left_over - 1 > most:
+            return distance
         match = places.get(c, 0)
         zero = (((match & up) + up) ^ up) | match | down
         right, left = down | (full & ~(zero | up)), up & zero  # horizontal steps
@@ -157,7 +171,7 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
         return 1.0
     if min(len(a), len(b)) < least * longer:
         return 0.0
-    found = 1 - edit_distance(a, b) / longer
+    found = 1 - edit_distance(a, b, int((1 - least) * longer) + 1) / longer
     return found if found >= least else 0.0
 
 
@@ -182,8 +196,8 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
     return chosen.mapInArrow(run, T.StructType([*chosen.schema, T.StructField("fingerprint", T.StringType())]))
 
 
-RESULT = T.StructType([T.StructField(n, t) for n, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()), ("next_similarity", T.DoubleType()))])
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+RESULT = T.StructType([T.StructField(n, t) for n, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 class _Comparer:
@@ -206,19 +220,15 @@ class _Comparer:
         tail, split = next_points[:half], len(points) - half
         # Up to the split the edited text's walk is the text's own.
         new = _sample(np.concatenate([points[:split], tail]), np.concatenate([steps[:split], walk(tail, int(steps[split]))]))
-        meet = bool((band_keys(own) == band_keys(next_own)).any())
         digest = hashlib.sha256(edited(text, after).encode()).hexdigest()
-        return len(points), digest, own.hex(), new.hex(), likeness(own, new), likeness(own, next_own), edit_similarity(text, after, SIMILARITY) if meet else None
+        return len(points), digest, own.hex(), new.hex(), likeness(own, new), likeness(own, next_own)
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_similarity.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Each document is compared with the next: that of the next smaller doc_id, after the last one the first; rows of equal
     doc_id stand in the order of their texts' hashes, null doc_ids last. A single document is its own next.
-    next_similarity: where the two share a band, one less their edit distance by the longer length if that is at least
-    SIMILARITY, else 0; null where they share none.
-
     Rows are sorted by ranges of doc_id, whose number follows the input's size. A range's last row meets its next in a
     second step that reads one first and one last row a range.
     """
@@ -279,7 +289,7 @@ def _described(docs: DataFrame) -> DataFrame:
         for big in batches:
             for start in range(0, big.num_rows, 1500):
                 b = big.slice(start, 1500)
-                keys = np.stack([band_keys(f) for f in fingerprints([t or "" for t in b.column("text").to_pylist()])])
+                keys = np.stack([band_keys(code_points(t or "")) for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:3]], *map(pa.array, np.ascontiguousarray(keys.T).view(np.int64))], names=names)
 
     return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))

@@ -42,6 +42,11 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by fingerprints' bands and edit similarity."""
+    return fingerprint.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -71,7 +76,7 @@ def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if (k.startswith("op") or k == "edit_classes") and callable(v)}
 
 
 
