@@ -60,6 +60,11 @@ class Arcs:
         order = np.argsort(key, kind="stable")
         return order, key[order]
 
+    def kept(self, keep: np.ndarray) -> Arcs:
+        """Only some of the arcs."""
+        start = np.append(0, np.cumsum(keep))[self.start]
+        return Arcs(self.sent[keep], self.h[keep], self.m[keep], self.gold[keep], start, self.offset, self.flat)
+
     def heads_of(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.start[token], self.start[token + 1] - self.start[token]
 
@@ -150,6 +155,27 @@ def coparents(a: Arcs) -> Parts:
         yield a.sent[i], [a.h[i], a.h[j], a.m[i]], a.gold[i] * a.gold[j]
 
 
+def consecutive_coparents(a: Arcs) -> Parts:
+    """h1, h2, m: two heads of a token. Gold: both are, and no gold one is between."""
+    following = np.minimum.accumulate(np.where(a.gold == 1, np.arange(len(a.gold)), len(a.gold))[::-1])[::-1]
+    then = np.append(following[1:], len(a.gold))
+    for i, j in _expanded(*_followers(a.token)):
+        yield a.sent[i], [a.h[i], a.h[j], a.m[i]], a.gold[i] * a.gold[j] * (then[i] == j)
+
+
+def headed_by(*tags: str) -> Callable[[Arcs], np.ndarray]:
+    """Chooses the arcs whose head is a token of one of the tags: those of predicates."""
+
+    def keep(a: Arcs) -> np.ndarray:
+        chosen = pc.fill_null(pc.is_in(a.flat["tag"], pa.array(tags)), False).to_numpy(zero_copy_only=False)
+        low = a.h > 0
+        out = np.zeros(len(a.h), bool)
+        out[low] = chosen[a.offset[a.sent[low]] + a.h[low] - 1]
+        return out
+
+    return keep
+
+
 def _sided(a: Arcs) -> tuple[np.ndarray, ...]:
     """Arcs from tokens by head, side and modifier."""
     order, key = a.by_head
@@ -204,6 +230,7 @@ KINDS: dict[str, tuple[Callable[[Arcs], Parts], tuple[str, ...]]] = {
     "grandparents": (grandparents, ("g", "h", "m")),
     "head bigrams": (head_bigrams, ("h", "m", "prev_h")),
     "coparents": (coparents, ("h1", "h2", "m")),
+    "consecutive coparents": (consecutive_coparents, ("h1", "h2", "m")),
     "tri-siblings": (tri_siblings, ("h", "m", "s", "t")),
     "grand-siblings": (grand_siblings, ("g", "h", "m", "s")),
     "consecutive siblings": (consecutive_siblings, ("h", "m", "s")),
@@ -278,14 +305,15 @@ def parts(rows: DataFrame, limits: DataFrame, kind: str, keep_gold: bool = True)
     return on_arcs(rows, limits, f"doc_id bigint, sent_id int, {', '.join(f'{p} int' for p in places)}, gold int", run, keep_gold)
 
 
-def counted(rows: DataFrame, limits: DataFrame, kind: str, keep_gold: bool = True) -> DataFrame:
+def counted(rows: DataFrame, limits: DataFrame, kind: str, keep_gold: bool = True, keep: Callable[[Arcs], np.ndarray] | None = None) -> DataFrame:
     """doc_id, sent_id, n, n_gold, places, hashed of each sentence that has parts of a kind: parts, gold ones, the sum of their places
-    (each times its number) and the sum of their places' hashes. Parts are made and summed in pieces, and are never rows."""
+    (each times its number) and the sum of their places' hashes. Parts are made and summed in pieces, and are never rows.
+    keep: chooses the arcs that parts are made of."""
     make, _ = KINDS[kind]
 
     def run(part: pa.RecordBatch, arcs: Arcs) -> Iterator[list]:
         sums = np.zeros((4, part.num_rows), np.int64)
-        for sent, values, gold in make(arcs):
+        for sent, values, gold in make(arcs.kept(keep(arcs)) if keep else arcs):
             if len(sent):
                 at = np.flatnonzero(np.append(True, sent[1:] != sent[:-1]))
                 hashed = sum(v * f for v, f in zip(values, FACTORS, strict=False)) % MODULUS

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.corpus import SENT, with_heads
+from glossa.operators.factors import assigned_roles
 
 
 def predicate_arguments(tokens: DataFrame) -> DataFrame:
@@ -103,3 +108,28 @@ def pronoun_flags(code: Column) -> list[Column]:
             value = F.when(c == letter, F.lit(meaning).cast("string")).otherwise(value)
         out.append(value.alias(name))
     return out
+
+
+def role_graphs(candidates: DataFrame, roles: Sequence[str], once: Sequence[str]) -> DataFrame:
+    """doc_id, sent_id, p, sense, value, n_args, free: the best graph of each predicate (`factors.assigned_roles`).
+
+    candidates: doc_id, sent_id, p, senses (array of scores), args (array of arrays: an argument's score by role, in the order of
+    roles). once: roles that a predicate gives to one argument only. free: no two arguments want such a role, so none gives way.
+    """
+    single = [r in once for r in roles]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for senses, args in zip(b.column("senses").to_pylist(), b.column("args").to_pylist(), strict=True):
+                scores = np.array(args, float).reshape(len(args), len(roles))
+                sense, chosen, value = assigned_roles(senses, scores, single)
+                wanted = [int(r.argmax()) for r in scores if r.max() > 0]
+                out.append((sense, value, sum(r is not None for r in chosen), all(wanted.count(k) <= 1 for k, one in enumerate(single) if one)))
+            sense, value, n, free = zip(*out, strict=True) if out else ((), (), (), ())
+            found = [pa.array(sense, pa.int32()), pa.array(value, pa.float64()), pa.array(n, pa.int32()), pa.array(free, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*SENT, "p")], *found], names=[*SENT, "p", "sense", "value", "n_args", "free"])
+
+    types = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    keys = ", ".join(f"{c} {types[c]}" for c in (*SENT, "p"))
+    return candidates.select(*SENT, "p", "senses", "args").mapInArrow(run, f"{keys}, sense int, value double, n_args int, free boolean")

@@ -134,6 +134,46 @@ def semantic_graph(t, docs):
     return S.semantic_graph(scored, senses)
 
 
+_OF_VERBS = "(select a.* from arcs a join tok h on h.doc_id = a.doc_id and h.sent_id = a.sent_id and h.tok_id = a.h where h.tag = 'VERB')"
+
+
+def _verb_pairs(on: str, cols: str, gold: str, *places: str) -> str:
+    ranked = f"(select *, min(case when gold = 1 then h end) over (partition by doc_id, sent_id, m order by h rows between 1 following and unbounded following) as then from {_OF_VERBS})"
+    return _counted_sql(f"select a.doc_id, a.sent_id, {cols}, {gold} as gold from {ranked} a join {ranked} b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and {on}", *places)
+
+
+@query(_verb_pairs("a.h = b.h and a.m < b.m", "a.h as h, a.m as m, b.m as s", "a.gold * b.gold", "h", "m", "s"))
+def semantic_siblings(t, docs):
+    return A.counted(*packed_arcs(docs), "siblings", keep=A.headed_by("VERB"))
+
+
+@query(_verb_pairs("a.m = b.h and a.h <> b.m", "a.h as g, b.h as h, b.m as m", "a.gold * b.gold", "g", "h", "m"))
+def semantic_grandparents(t, docs):
+    return A.counted(*packed_arcs(docs), "grandparents", keep=A.headed_by("VERB"))
+
+
+@query(_verb_pairs("a.m = b.m and a.h < b.h", "a.h as h1, b.h as h2, a.m as m", "a.gold * b.gold * coalesce(a.then = b.h, false)::int", "h1", "h2", "m"))
+def semantic_coparents(t, docs):
+    return A.counted(*packed_arcs(docs), "consecutive coparents", keep=A.headed_by("VERB"))
+
+
+_ROLES = ["A0", "A1", "AM"]
+
+
+@query("""select doc_id, sent_id, p, free, case when free then greatest(0, sense + total) end as value from (select v.doc_id, v.sent_id, v.tok_id as p, greatest(-9, (length(form) % 5) - 12)::double as sense,
+ coalesce(sum(greatest(0, a0, a1, am)), 0) as total, coalesce(sum((a0 > 0 and a0 >= a1 and a0 >= am)::int), 0) <= 1 and coalesce(sum((a1 > 0 and a1 > a0 and a1 >= am)::int), 0) <= 1 as free
+ from tok v left join (select doc_id, sent_id, h, score - 4 - m % 3 as a0, score - 6 - 2 * ((m + 1) % 2) as a1, score - 9 as am from sc where h > 0) a on a.doc_id = v.doc_id and a.sent_id = v.sent_id and a.h = v.tok_id where v.tag = 'VERB' group by all)""")
+def role_graphs(t, docs):
+    """Graphs of predicates in which A0 and A1 are had once; the value where no two arguments want one of them, as SQL can say it."""
+    score = ((F.col("h") * 7 + F.col("m") * 13 + F.col("doc_id") % 11) % 17 + F.col("gold") * 5).cast("double")
+    arcs = A.parts(*packed_arcs(docs), "arcs").where("h > 0").withColumn("s", score)
+    roles = F.array(F.col("s") - 4 - F.col("m") % 3, F.col("s") - 6 - 2 * ((F.col("m") + 1) % 2), F.col("s") - 9)
+    args = arcs.groupBy("doc_id", "sent_id", F.col("h").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", roles.alias("r")))), lambda x: x["r"]).alias("args"))
+    verbs = t.where("tag = 'VERB'").select("doc_id", "sent_id", F.col("tok_id").alias("p"), F.array(F.lit(-9.0), (F.length("form") % 5 - 12).cast("double")).alias("senses"))
+    whole = verbs.join(args, ["doc_id", "sent_id", "p"], "left").withColumn("args", F.coalesce("args", F.array().cast("array<array<double>>")))
+    return S.role_graphs(whole, _ROLES, _ROLES[:2]).select("doc_id", "sent_id", "p", "free", F.when(F.col("free"), F.col("value")).alias("value"))
+
+
 _UP = "(select doc_id, sent_id, tok_id, anc, depth from anc union all select doc_id, sent_id, tok_id, tok_id, 0 from tok)"
 _LCA = f"(select a.doc_id, a.sent_id, a.tok_id, arg_min(a.anc, a.depth) as lca, min(a.depth) as da, min(b.depth) as db from {_UP} a join {_UP} b on a.doc_id = b.doc_id and a.sent_id = b.sent_id and a.tok_id + 1 = b.tok_id and a.anc = b.anc group by 1, 2, 3)"
 
