@@ -48,6 +48,21 @@ def lines(nodes: DataFrame) -> DataFrame:
     return rows.select("tree_id", F.array_join(F.col("x.part"), " ").alias("tree"))
 
 
+def with_parents(nodes: DataFrame) -> DataFrame:
+    """nodes with parent and parent_label (null for the root): the last node before it that is one level up, by one window."""
+    up = nodes.select("tree_id", F.col("depth").alias("level"), F.col("node").alias("at"), F.struct(F.col("node").alias("parent"), F.col("label").alias("parent_label")).alias("over"), F.lit(None).cast(nodes.select(F.struct("*")).schema[0].dataType).alias("own"))
+    own = nodes.select("tree_id", (F.col("depth") - 1).alias("level"), F.col("node").alias("at"), F.lit(None).cast(up.schema["over"].dataType).alias("over"), F.struct("*").alias("own"))
+    before = Window.partitionBy("tree_id", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    found = up.unionByName(own).withColumn("over", F.last("over", ignorenulls=True).over(before)).where("own is not null")
+    return found.select("own.*", "over.parent", "over.parent_label")
+
+
+def productions(nodes: DataFrame) -> DataFrame:
+    """label, children (labels in order, joined by blanks), n: how often a node of a label has just these children."""
+    rows = with_parents(nodes).where("parent is not null").groupBy("tree_id", "parent").agg(F.first("parent_label").alias("label"), F.array_sort(F.collect_list(F.struct("node", F.col("label").alias("l")))).alias("c"))
+    return rows.groupBy("label", F.array_join("c.l", " ").alias("children")).agg(F.count("*").alias("n"))
+
+
 #: Between the labels of one collapsed chain.
 SEPARATOR = "|"
 

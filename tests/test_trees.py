@@ -75,3 +75,12 @@ def test_node_labels(spark):
     gold = spark.createDataFrame([(1, 0, "A"), (1, 1, "A"), (1, 2, "-"), (1, 3, "-")], "tree_id long, node int, label string")
     assert tuple(trees.label_counts(gold, best, "-").first()) == (2, 2, 1)
     assert tuple(trees.label_counts(gold.limit(0), best.limit(0)).first()) == (0, 0, 0)
+
+
+def test_parents_and_productions(spark):
+    lines = [(1, "(S (NP (DT a) (NN b)) (VP (V c) (NP (NN d))))"), (2, "(S (NP (DT x) (NN y)) (VP (V z)))"), (3, None), (4, "(X w)")]
+    found = trees.nodes(spark.createDataFrame(lines, "tree_id long, tree string"))
+    up = {(r.tree_id, r.node): (r.parent, r.parent_label) for r in trees.with_parents(found).collect()}
+    assert up[1, 0] == (None, None) and up[1, 3] == (1, "NP") and up[1, 6] == (4, "VP") and up[1, 7] == (6, "NP") and up[4, 0] == (None, None) and len(up) == found.count()
+    got = {(r.label, r.children): r.n for r in trees.productions(found).collect()}
+    assert got == {("S", "NP VP"): 2, ("NP", "DT NN"): 2, ("VP", "V NP"): 1, ("VP", "V"): 1, ("NP", "NN"): 1}
