@@ -14,13 +14,15 @@ from glossa.operators import coreference as R
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
 from glossa.operators import learn as L
+from glossa.operators import packed as A
 from glossa.operators import semantics as S
+from glossa.operators import treelearn as TL
 
 
 class Annotator:
-    """Settings and models of one run; `models` has weight tables by step: tag, entity."""
+    """Settings and models of one run; `models` has weights by step: tables for tag and entity, an array for parse."""
 
-    def __init__(self, models: dict[str, DataFrame] | None = None, tokenizer: str = "treebank"):
+    def __init__(self, models: dict | None = None, tokenizer: str = "treebank"):
         if tokenizer not in ("treebank", "whitespace", "offsets"):
             raise ValueError(f"unknown tokenizer {tokenizer}")
         self.models, self.tokenizer = models or {}, tokenizer
@@ -51,11 +53,18 @@ class Annotator:
         return C.spans(C.typed_tags(tagged, "tag", kinds))
 
     def parse(self, tagged: DataFrame, limits: DataFrame, scores: DataFrame | None = None, projective: bool = False) -> DataFrame:
-        """tagged with head: the best tree over arcs within the limits; scores has (doc_id, sent_id, h, m, score), missing ones count 0."""
-        arcs = C.pruned_arcs(tagged.withColumn("head", F.lit(-1)), limits, keep_gold=False).drop("gold")
-        scored = arcs.join(scores, [*C.SENT, "h", "m"], "left").fillna(0.0, ["score"]) if scores is not None else arcs.withColumn("score", -F.abs(F.col("h") - F.col("m")).cast("double"))
-        heads = D.parsed(scored, D.projective if projective else D.arborescence)
-        return tagged.drop("head").join(heads.select(*C.SENT, F.col("m").alias("tok_id"), F.col("h").alias("head")), [*C.SENT, "tok_id"], "left")
+        """tagged with head: the best tree over arcs within the limits, by scores (doc_id, sent_id, h, m, score; missing ones count 0) or
+        by the model of `treelearn.trained` that models["parse"] has."""
+        decoder, heads = D.projective if projective else D.arborescence, tagged.withColumn("head", F.lit(-1))
+        if scores is not None:
+            arcs = C.pruned_arcs(heads, limits, keep_gold=False).drop("gold")
+            found = D.parsed(arcs.join(scores, [*C.SENT, "h", "m"], "left").fillna(0.0, ["score"]), decoder)
+        elif self.has("parse"):
+            rows = A.sentence_rows(heads, "form", "tag", "head")
+            found = A.parsed(rows, limits, decoder, TL.scorer(rows, self.models["parse"]), columns=("form",))
+        else:
+            raise ValueError("parsing needs scores of arcs or a model: models={'parse': weights}")
+        return tagged.drop("head").join(found.select(*C.SENT, F.col("m").alias("tok_id"), F.col("h").alias("head")), [*C.SENT, "tok_id"], "left")
 
     def parse_semantic_dependencies(self, parsed: DataFrame) -> DataFrame:
         """doc_id, sent_id, p, a, predicate, role."""

@@ -5,6 +5,8 @@ import pytest
 from glossa.functions import text as X
 from glossa.operators import corpus as C
 from glossa.operators import learn as L
+from glossa.operators import packed as A
+from glossa.operators import treelearn as TL
 from glossa.operators import parts as P
 from glossa.pipeline import Annotator
 from glossa.sources import lexicons
@@ -48,7 +50,9 @@ def test_settings_and_models():
 def test_annotator(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
     gold = C.silver(docs)
-    a = Annotator({"tag": L.association_weights(L.feature_rows(gold))}, tokenizer="whitespace")
+    rows = C.silver_rows(docs)
+    model = TL.trained(rows, A.limits_of(rows), learners=2)
+    a = Annotator({"tag": L.association_weights(L.feature_rows(gold)), "parse": model}, tokenizer="whitespace")
     tokens = a.tokenize(a.split_sentences(docs))
     tagged = a.tag(tokens).cache()
     assert tagged.count() == gold.count()
@@ -58,8 +62,13 @@ def test_annotator(spark):
     assert parsed.where("head is null").count() == 0 and C.ancestors(parsed).where("anc = 0").count() == parsed.count()
     found = a.resolve_coreferences(parsed, ["PROP"])
     assert found.count() == found.where("entity <= ord").count() > 0 and a.parse_semantic_dependencies(parsed).count() > 0
+    by_score = a.parse(tagged, C.distance_limits(gold), C.silver_scores(C.pruned_arcs(gold, C.distance_limits(gold))))
+    heads = lambda found: found.join(gold.select("doc_id", "sent_id", "tok_id", "head"), ["doc_id", "sent_id", "tok_id", "head"]).count()
+    assert min(heads(by_score), heads(parsed)) > 0.4 * gold.count()
     with pytest.raises(ValueError):
         Annotator().tag(tokens)
+    with pytest.raises(ValueError):
+        Annotator().parse(tagged, C.distance_limits(gold))
 
 
 def test_offsets(spark):
