@@ -6,6 +6,11 @@ node; a bracket without a label has an empty one; unbalanced brackets fail.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +68,63 @@ def productions(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("label", F.array_join("c.l", " ").alias("children")).agg(F.count("*").alias("n"))
 
 
+def counted_productions(trees: DataFrame) -> DataFrame:
+    """The same from lines (column tree), whose brackets are matched inside the task: only counts are shuffled."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, LINES):
+                yield _productions_of(b.column("tree").slice(a, LINES).cast(pa.large_string()))
+
+    found = trees.select("tree").mapInArrow(each, "label string, children string, n bigint")
+    return found.groupBy("label", "children").agg(F.sum("n").alias("n"))
+
+
+#: Lines whose brackets are matched together.
+LINES = 2_000
+_KIND = np.ones(256, np.uint8)  # of each byte: 0 blank, 1 of a word, 2 opens, 3 closes
+_KIND[list(b" \t\n\x0b\x0c\r")], _KIND[40], _KIND[41] = 0, 2, 3
+
+
+def _productions_of(lines: pa.Array) -> pa.RecordBatch:
+    """label, children, n of the lines: a node's parent is the last node before it that is one level up."""
+    lines = pa.concat_arrays([lines.drop_null()])
+    ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    kind = _KIND[data]
+    fresh = np.append(True, kind[1:] != 1) if len(kind) else np.zeros(0, bool)
+    fresh[1:] |= kind[:-1] != 1
+    fresh[ends[:-1][np.diff(ends) > 0]] = True
+    token = np.flatnonzero((kind > 0) & fresh)
+    what = kind[token]
+    level = np.cumsum((what == 2).astype(np.int64) - (what == 3))
+    if (level < 0).any() or np.append(0, level)[np.searchsorted(token, ends)].any():
+        raise ValueError("unbalanced brackets")
+    word = token[what == 1]
+    stop = np.append(np.flatnonzero(~((kind == 1) & ~fresh)), len(kind))  # where no word goes on
+    size = stop[np.searchsorted(stop, word, side="right")] - word
+    place = np.append(0, np.cumsum(size))
+    text = data[np.arange(place[-1]) + np.repeat(word - place[:-1], size)]
+    words = pa.concat_arrays([pa.LargeStringArray.from_buffers(len(word), pa.py_buffer(place.astype(np.int64)), pa.py_buffer(text)), pa.array([""], pa.large_string())]).dictionary_encode()
+    number = np.cumsum(what == 1) - 1
+    after = np.append(what, [3, 3])
+    opens = np.flatnonzero(what == 2)
+    named, leaf = after[opens + 1] == 1, (after[opens + 1] == 1) & (after[opens + 2] == 1)
+    names = pa.concat_arrays([words.dictionary, pc.replace_substring_regex(words.dictionary, ATTRIBUTES, "")]).cast(pa.string())
+    code = words.indices.to_numpy()[np.where(named, number[np.minimum(opens + 1, len(what) - 1)], len(word))] + np.where(leaf, len(words.dictionary), 0)
+    depth, many = level[opens], len(token) + 1
+    key = depth * many + opens
+    order = np.argsort(key)
+    below = np.flatnonzero(depth > 1)
+    parent = order[np.searchsorted(key[order], key[below] - many) - 1] if len(below) else below
+    by = np.argsort(parent, kind="stable")
+    some, count = np.unique(parent, return_counts=True)
+    children = pc.binary_join(pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), names.take(pa.array(code[below[by]]))), " ")
+    table = pa.table({"label": names.take(pa.array(code[some])), "children": children})
+    table = table.group_by(["label", "children"]).aggregate([([], "count_all")]).combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], t) for c, t in (("label", pa.string()), ("children", pa.string()), ("count_all", pa.int64()))], names=["label", "children", "n"])
+
+
 #: Between the labels of one collapsed chain.
 SEPARATOR = "|"
 
