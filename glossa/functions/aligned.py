@@ -6,6 +6,7 @@ written instead of others takes the place of all of them. A token reaches from i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -39,6 +40,8 @@ def _written(text: str, source: str, places: Places, edge: int) -> Places:
 
 def rewritten(text: str, places: Places, rules: Sequence[Rule]) -> tuple[str, Places]:
     for pattern, parts in rules:
+        if not pattern.search(text):
+            continue
         out: list[str] = []
         to: Places = []
         last = 0
@@ -90,6 +93,45 @@ def universal(sentence: str, lang: str | None = None) -> list[tuple[str, int, in
     return tokens_of(*rewritten(sentence, [(i, i + 1) for i in range(len(sentence))], _universal(lang if lang in UNIVERSAL_LANGUAGES else "other")))
 
 
+#: What takes more than marks that always stand alone and a period at the end.
+_RARE = re.compile(r"""['"()\[\]{}<>`]|--|\.\.\.|[Cc]annot|[Gg]imme|[Gg]onna|[Gg]otta|[Ll]emme|[Ww]anna""")
+_PLAIN = re.compile(r"[,;:@#$%&?!]|[^ \t\n\r,;:@#$%&?!]+")
+
+
+def plain_treebank(sentence: str) -> list[str] | None:
+    """Treebank-style tokens where each is a piece of the sentence and together they cover it; None where other rules may apply."""
+    if _RARE.search(sentence):
+        return None
+    found = _PLAIN.findall(sentence)
+    if found and len(found[-1]) > 1 and found[-1][-1] == "." != found[-1][-2]:
+        found[-1:] = [found[-1][:-1], "."]
+    return found
+
+
+def covered_treebank(sents: DataFrame) -> DataFrame:
+    """doc_id, sent_id, n, forms, covered of each sentence with treebank-style tokens: how many, joined by blanks, and the characters at
+    their places without white space. Made where the sentence is, without a row for each token."""
+    space = str.maketrans("", "", " \t\n\r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, at = [], []
+            for i, s in enumerate(b.column("sentence").to_pylist()):
+                if (plain := plain_treebank(s)) is not None:
+                    row = (len(plain), " ".join(plain), "".join(plain))
+                else:
+                    found = treebank(s)
+                    row = (len(found), " ".join([f for f, _, _ in found]), "".join([s[a:z] for _, a, z in found]).translate(space))
+                if row[0]:
+                    at.append(i)
+                    out.append(row)
+            n, forms, covered = zip(*out, strict=True) if out else ((), (), ())
+            own = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(own) for c in ("doc_id", "sent_id")], pa.array(n, pa.int64()), pa.array(forms, pa.string()), pa.array(covered, pa.string())], names=["doc_id", "sent_id", "n", "forms", "covered"])
+
+    return sents.select("doc_id", "sent_id", "sentence").mapInArrow(run, "doc_id bigint, sent_id int, n bigint, forms string, covered string")
+
+
 def aligned_tokens(sents: DataFrame, tokenise: Callable[[str, str | None], list[tuple[str, int, int]]] = treebank) -> DataFrame:
     """doc_id, lang, sent_id, tok_id (from 1), form, start, end: tokens with their places in the sentence, in code points.
 

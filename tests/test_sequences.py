@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from glossa.functions import aligned as AL
 from glossa.operators import corpus as C
 from glossa.operators import decode as D
 from glossa.operators import flat
@@ -46,3 +47,21 @@ def test_best_paths_are_those_of_viterbi():
 def test_tokens_are_not_packed_by_shuffles(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_aligned_sentences_need_no_rows_of_tokens(spark):
+    plan = entry.queries()["aligned_treebank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_plain_sentences_have_the_tokens_of_the_rules():
+    rng = np.random.default_rng(2)
+    pieces, plain = ["a", "B.", ".", ",", "?", "!", "...", "--", "-", " ", "  ", "\n", "\t", "cannot", "Wanna", "x", "3", "%", "'", '"', "(", "é", ":", "\x0b"], 0
+    for _ in range(20_000):
+        s = "".join(rng.choice(pieces, rng.integers(1, 9)))
+        found = AL.plain_treebank(s)
+        if found is not None:
+            plain += 1
+            assert found == [f for f, _, _ in AL.treebank(s)], s
+            assert all(f == s[a:z] for f, a, z in AL.treebank(s)), s
+    assert plain > 1000
