@@ -162,3 +162,14 @@ def test_bigrams():
     ok = set(C.allowed_bigrams(tags))
     assert ("B-X", "L-X") in ok and ("B-X", "O") not in ok and (C.START, "I-X") not in ok and ("I-X", C.STOP) not in ok
     assert ("B-X", "O") in set(C.allowed_bigrams(["O", "B-X", "I-X"]))
+
+
+def test_projective_trees_of_one_length_at_once():
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 5, 9):
+        for limit in (2, n):
+            scores = rng.integers(0, 4, (30, n, n)).astype(float)
+            far = np.abs(np.arange(n)[:, None] - np.arange(n)) > limit
+            far[0] = False
+            scores[:, far] = -np.inf
+            assert D.projective_many(scores).tolist() == [D.projective(x) for x in scores]
