@@ -159,6 +159,35 @@ def tag_parts(docs: DataFrame, order: int) -> DataFrame:
     return found.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("n_gold").alias("n_gold"))
 
 
+def bigram_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, sent_id, tok_id, t1, t2, gold: `corpus.bigram_parts` of all tags that words have anywhere; none of a null doc_id, which
+    no join would meet. A token's parts leave the task as one list of codes."""
+    k = len(flat.TAGS)
+
+    def finish(t: flat.Tokens, tables: list[Counts], word: np.ndarray) -> list:
+        may = tables[0][1] > 0
+        code = np.where(may.any(1), may @ (1 << np.arange(k)), 0)[word]  # the word's tags as bits
+        sets, there = np.unique(np.stack([code[:-1], code[1:]], 1) if len(code) else np.zeros((0, 2), np.int64), axis=0, return_inverse=True)
+        bits = (sets[:, :, None] >> np.arange(k)) & 1
+        both = [np.flatnonzero(np.outer(a, b)) for a, b in bits]  # parts of two sets of tags, as tag before x k + tag
+        size = np.array([len(x) for x in both], np.int64)
+        parts, start = np.concatenate([*both, np.zeros(0, np.int64)]).astype(np.int32), np.cumsum(size) - size
+        token = np.flatnonzero((t.at > 1) & ~t.ids.is_null().to_numpy(zero_copy_only=False)[t.sent])
+        of = there.reshape(-1)[token - 1]
+        ends = np.append(0, np.cumsum(size[of]))
+        flatly = parts[np.arange(ends[-1]) + np.repeat(start[of] - ends[:-1], size[of])]
+        own = np.repeat(t.tag[token - 1].astype(np.int32) * k + t.tag[token], size[of])
+        codes = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flatly * 2 + (flatly == own), pa.int32()))
+        sent = t.sent[token]
+        return [t.ids.take(pa.array(sent)), pa.array(t.sent_id[sent], pa.int32()), pa.array(t.at[token], pa.int32()), codes]
+
+    found = with_sums(docs, _tag_counts, finish, "doc_id bigint, sent_id int, tok_id int, codes array<int>")
+    tags = F.array(*[F.lit(x) for x in flat.TAGS])
+    rows = found.select("doc_id", "sent_id", "tok_id", F.explode("codes").alias("x"))
+    part = F.shiftright("x", 1)
+    return rows.select("doc_id", "sent_id", "tok_id", F.get(tags, F.floor(part / k).cast("int")).alias("t1"), F.get(tags, part % k).alias("t2"), F.col("x").bitwiseAND(F.lit(1)).alias("gold"))
+
+
 # --- scores of the tagger's features by counts ----------------------------------------------------------------------
 
 
