@@ -41,15 +41,48 @@ def _tokens(table: pa.Table) -> flat.Tokens:
     return flat.annotated(column("text", pa.string()), column("doc_id", pa.int64()))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, kind: str, width: int) -> np.ndarray:
-    """Rows of numbers that stand in a binary column as bytes."""
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(values.to_pylist()), kind).reshape(-1, width)
-
-
-def _bytes(rows: np.ndarray, kind: str) -> pa.Array:
-    rows = np.ascontiguousarray(rows.astype(kind))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1] * rows.itemsize).astype(np.int32)), pa.py_buffer(rows)]) if len(rows) else pa.array([], pa.binary())
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Rows of counts as bytes: how many aren't 0; the place of each with the code of its size (1, 2, 4 or 8 bytes); their bytes."""
+    if rows.shape[1] > 64:
+        raise ValueError("a table has at most 64 counts a word")
+    row, col = np.nonzero(rows)
+    value = rows[row, col].astype("<i8")
+    code = np.searchsorted([1 << 8, 1 << 16, 1 << 32], value, side="right")
+    many, size = np.bincount(row, minlength=len(rows)), 1 << code
+    ends = np.append(0, np.cumsum(1 + many + np.bincount(row, size, len(rows)).astype(np.int64)))
+    out = np.zeros(ends[-1], np.uint8)
+    out[ends[:-1]] = many
+    first = np.cumsum(many) - many
+    out[ends[row] + 1 + np.arange(len(row)) - first[row]] = col * 4 + code
+    at = np.append(0, np.cumsum(size))[:-1]
+    if len(row):
+        at = ends[row] + 1 + many[row] + at - at[np.minimum(first, len(row) - 1)][row]
+    raw = value.view(np.uint8).reshape(-1, 8)
+    for c in range(4):
+        some = np.flatnonzero(code == c)
+        out[at[some, None] + np.arange(1 << c)] = raw[some, : 1 << c]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
+
+
+def _counts(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
+    """The counts of `_packed`; without a width as many columns as are used."""
+    values = column.combine_chunks().cast(pa.large_binary())
+    begin = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values)]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    many = data[begin].astype(np.int64)
+    row, first = np.repeat(np.arange(len(begin)), many), np.cumsum(many) - many
+    head = data[begin[row] + 1 + np.arange(len(row)) - first[row]].astype(np.int64)
+    code, col = head & 3, head >> 2
+    at = np.append(0, np.cumsum(1 << code))[:-1]
+    if len(row):
+        at = begin[row] + 1 + many[row] + at - at[np.minimum(first, len(row) - 1)][row]
+    raw = np.zeros((len(row), 8), np.uint8)
+    for c in range(4):
+        some = np.flatnonzero(code == c)
+        raw[some, : 1 << c] = data[at[some, None] + np.arange(1 << c)]
+    out = np.zeros((len(begin), width or int(col.max(initial=0)) + 1), np.int64)
+    out[row, col] = raw.view("<i8")[:, 0]
+    return out
 
 
 def with_sums(docs: DataFrame, tables: Callable[[flat.Tokens], tuple[list[Counts], object]], finish: Callable[[flat.Tokens, list[Counts], object], list], schema: str) -> DataFrame:
@@ -63,7 +96,7 @@ def with_sums(docs: DataFrame, tables: Callable[[flat.Tokens], tuple[list[Counts
 
     def own(key: tuple, table: pa.Table) -> pa.Table:
         found, _ = tables(_tokens(table))
-        out = [pa.table([pa.array(np.full(len(words), k), pa.int32()), words.cast(pa.string()), pa.array(np.full(len(words), key[0].as_py()), pa.int32()), _bytes(counts, "<i4")], names=["kind", "word", "bucket", "v"]) for k, (words, counts) in enumerate(found)]
+        out = [pa.table([pa.array(np.full(len(words), k), pa.int32()), words.cast(pa.string()), pa.array(np.full(len(words), key[0].as_py()), pa.int32()), _packed(counts).cast(pa.binary())], names=["kind", "word", "bucket", "v"]) for k, (words, counts) in enumerate(found)]
         return pa.concat_tables(out)
 
     def summed(key: tuple, table: pa.Table) -> pa.Table:
@@ -81,11 +114,9 @@ def with_sums(docs: DataFrame, tables: Callable[[flat.Tokens], tuple[list[Counts
             part = part.take(pa.array(order))
             code = code[order]
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            values = part["v"].combine_chunks()
-            width = len(values[0].as_py()) // 4
-            sums = np.add.reduceat(_matrix(values, "<i4", width).astype(np.int64), first, axis=0)
-            whole = np.repeat(sums, np.diff(np.append(first, len(code))), axis=0)
-            out.append(pa.table([part["kind"], part["word"], part["bucket"], _bytes(whole, "<i8")], names=["kind", "word", "bucket", "v"]))
+            sums = _packed(np.add.reduceat(_counts(part["v"]), first, axis=0))
+            whole = sums.take(pa.array(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))))
+            out.append(pa.table([part["kind"], part["word"], part["bucket"], whole.cast(pa.binary())], names=["kind", "word", "bucket", "v"]))
         return pa.concat_tables(out) if out else table.slice(0, 0).select(["kind", "word", "bucket", "v"])
 
     def end(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -99,7 +130,7 @@ def with_sums(docs: DataFrame, tables: Callable[[flat.Tokens], tuple[list[Counts
             part = right.filter(pa.array(kind == k))
             if part.num_rows:
                 at = pc.index_in(part["word"].combine_chunks().cast(words.type), words).to_numpy()
-                found[k][1][at] = _matrix(part["v"], "<i8", counts.shape[1])
+                found[k][1][at] = _counts(part["v"], counts.shape[1])
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in finish(t, found, more)], names=names).cast(kinds)
 
     local = rows.groupBy("bucket").applyInArrow(own, "kind int, word string, bucket int, v binary")
