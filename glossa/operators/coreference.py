@@ -27,6 +27,8 @@ class Mentions:
 
     doc_id: int | None
     columns: dict[str, np.ndarray]
+    #: What `Pairs` has found out of all mentions.
+    known: tuple | None = None
 
     def __len__(self) -> int:
         return len(next(iter(self.columns.values())))
@@ -103,6 +105,19 @@ def entity_clusters(rows: DataFrame, pair: PairScore = silver_pair, new: NewScor
     return rows.mapInArrow(run, "doc_id bigint, k int, antecedent int, entity int")
 
 
+def right_antecedents(rows: DataFrame, pair: PairScore = silver_pair, new: NewScore = silver_new) -> DataFrame:
+    """doc_id, n, n_right: mentions, and those whose antecedent is of their entity or that have none and start their entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in _documents(batches):
+            best = chosen(d, pair, new)
+            _, first, entity = np.unique(d.columns["entity"], return_index=True, return_inverse=True)
+            right = np.where(best < 0, first[entity] == np.arange(len(best)), entity[best] == entity)
+            yield pa.RecordBatch.from_arrays([pa.array([d.doc_id], pa.int64()), *[pa.array([int(x)], pa.int64()) for x in (len(best), right.sum())]], names=["doc_id", "n", "n_right"])
+
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, n_right bigint")
+
+
 def pair_distances(rows: DataFrame, pair: PairScore = silver_pair, new: NewScore = silver_new, most: int = 10) -> DataFrame:
     """mentions, sentences (both at most `most`; 0 and 0 for no antecedent), n, score: all pairs of mentions by their distances."""
 
@@ -162,6 +177,50 @@ def new_features(d: Mentions, bits: int = BITS) -> np.ndarray:
         return np.stack([np.broadcast_to(_row(*f, bits=bits), at.shape) for f in ((11, 0), (12, kind), (13, head), (14, first))], -1)
 
 
+class Pairs:
+    """The features of a matrix of pairs (`pair_features`) by what they depend on: a code of few values (the first six), the two
+    heads, and the later head with the distance. Rows of the model are made once for each value, not for each pair."""
+
+    def __init__(self, d: Mentions, j: np.ndarray, k: np.ndarray, bits: int = BITS):
+        """k: a column of places, j: a row of places."""
+        if d.known is None:
+            heads, head = np.unique(_code(d, "head"), return_inverse=True)
+            kinds, kind = np.unique(_code(d, "kind"), return_inverse=True)
+            d.known = heads, head, kinds, kind, np.searchsorted([1, 2, 3, 4, 6, 10, 20], np.arange(len(d)), side="right")
+        heads, head, kinds, kind, far_of = d.known
+        k, j, sent, n = k[:, 0], j[0], d.columns["sent_id"], len(kinds)
+        far = np.where(k[:, None] > j, far_of[np.abs(k[:, None] - j)], 0)
+        apart = np.searchsorted([0, 1, 2, 5, 10], sent[k][:, None] - sent[j], side="right")
+        same = head[j] == head[k][:, None]
+        self.code = ((same * 8 + far) * 6 + apart) * (n * n) + (kind[j] * n + kind[k][:, None])
+        same, far_, apart, kind = np.unravel_index(np.arange(2 * 8 * 6 * n * n), (2, 8, 6, n * n))
+        some, own = np.unique(head[k], return_inverse=True)
+        self.heads = own[:, None] * len(heads) + head[j]
+        self.late = np.arange(len(k))[:, None] * 8 + far
+        with np.errstate(over="ignore"):
+            kind = kinds[kind // n] * np.uint64(31) + kinds[kind % n]
+            same = same.astype(np.uint64)
+            found = [(1, same), (2, far_), (3, apart), (4, kind), (5, same, far_), (6, same, kind)]
+            self.by_code = [_row(*f, bits=bits) for f in found]
+            self.by_heads = _row(7, heads[None], heads[some][:, None], bits=bits).ravel()
+            self.by_late = _row(8, heads[head[k]][:, None], np.arange(8)[None], bits=bits).ravel()
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of the pairs' weights, in the order that numpy adds up eight numbers."""
+        w = [weights[x] for x in self.by_code]
+        out = (w[4] + w[5])[self.code] + (weights[self.by_heads][self.heads] + weights[self.by_late][self.late])
+        return ((w[0] + w[1]) + (w[2] + w[3]))[self.code] + out
+
+    def add(self, slope: np.ndarray, used: np.ndarray, gap: np.ndarray) -> None:
+        """Adds the gaps of used pairs to the slope of their features."""
+        gap = gap[used]
+        for at, rows in ((self.code, self.by_code), (self.heads, [self.by_heads]), (self.late, [self.by_late])):
+            sums = np.bincount(at[used], gap, len(rows[0]))
+            some = np.flatnonzero(sums)
+            for row in rows:
+                np.add.at(slope, row[some], sums[some])
+
+
 def loss_and_slope(weights: np.ndarray, d: Mentions, bits: int = BITS, costs: dict[str, float] = COSTS) -> tuple[float, np.ndarray]:
     """Of a document with gold entities (column entity): log of all choices' weight, wrong ones raised by their costs, less that of the
     right ones (earlier mentions of the entity, or none if there are none); and its slope by weights."""
@@ -170,8 +229,8 @@ def loss_and_slope(weights: np.ndarray, d: Mentions, bits: int = BITS, costs: di
     alone = weights[none].sum(1)
     for k, j, before in d.blocks():
         at = k[:, 0]
-        ids = pair_features(d, j, k, bits)
-        s = np.where(before, weights[ids].sum(-1), -np.inf)
+        pairs = Pairs(d, j, k, bits)
+        s = np.where(before, pairs.scores(weights), -np.inf)
         right = before & (entity[j] == entity[k])
         old = right.any(1)
         cost = np.where(right, 0.0, np.where(old[:, None], costs["wrong link"], costs["false link"]))
@@ -185,7 +244,7 @@ def loss_and_slope(weights: np.ndarray, d: Mentions, bits: int = BITS, costs: di
             share.append(e / e.sum(1, keepdims=True))
         gap = share[0] - share[1]
         used = np.abs(gap[:, 1:]) > 1e-12
-        np.add.at(slope, ids[used], gap[:, 1:][used][:, None])
+        pairs.add(slope, used, gap[:, 1:])
         np.add.at(slope, none[at], gap[:, :1])
     return loss, slope
 
@@ -223,4 +282,4 @@ def trained(rows: DataFrame, rounds: int = 2, learners: int | None = None, rate:
 def scorers(rows: DataFrame, weights: np.ndarray) -> tuple[PairScore, NewScore]:
     """Scores by a model, which is sent once."""
     model, bits = rows.sparkSession.sparkContext.broadcast(weights), int(len(weights)).bit_length() - 1
-    return (lambda d, j, k: model.value[pair_features(d, j, k, bits)].sum(-1)), (lambda d: model.value[new_features(d, bits)].sum(1))
+    return (lambda d, j, k: Pairs(d, j, k, bits).scores(model.value)), (lambda d: model.value[new_features(d, bits)].sum(1))
